@@ -28,7 +28,7 @@ def attach(
     check_bytes: int = CHECK_BYTES,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Join `df` to `lookup`, which has at most one row per key.
+    """Join `df` to `lookup`, which has one row, or a few, per key.
 
     A lookup below the broadcast threshold, or a `df` below `check_bytes`, is a
     plain join. Otherwise rows of hot keys are split off and meet their few

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from seqbraid.operators.ordering import with_position
 from seqbraid.operators.skew import attach
+from seqbraid.session import materialise
 
 
 def read_lines(spark: SparkSession, path: str, max_lines: int | None = None) -> DataFrame:
@@ -151,32 +152,37 @@ def targeted_records(
     kept too. A segment stays when its name is kept, a link when both ends are.
     """
     kind, fields = F.col("kind"), F.col("fields")
-    contig = F.coalesce(tag_value(fields, 4, "SN"), F.lit(""))
-    hits = (
-        records.filter(is_segment(kind, fields))
-        .select(fields[1].alias("name"), contig.alias("SN"))
-        .join(targets.select("SN").distinct(), "SN", "left_semi")
-        .select("name")
+    segment = is_segment(kind, fields)
+    # The names are needed in several passes; one columnar copy of the parse
+    # lets each pass read just the names instead of parsing the text again.
+    parsed = materialise(
+        records.filter(segment | is_link(kind, fields)).select(
+            "*",
+            fields[1].alias("a"),
+            F.when(kind == "L", fields[3]).alias("b"),
+            F.when(segment, F.coalesce(tag_value(fields, 4, "SN"), F.lit(""))).alias("SN"),
+        )
+    )
+    segment_rows, link_rows = parsed.filter("kind = 'S'"), parsed.filter("kind = 'L'")
+    hits = materialise(
+        segment_rows.join(targets.select("SN").distinct(), "SN", "left_semi")
+        .select(F.col("a").alias("name"))
         .distinct()
     )
-    link_rows = records.filter(is_link(kind, fields))
     kept = hits
     if include_link_neighbors:
-        ends = link_rows.select(fields[1].alias("a"), fields[3].alias("b"))
+        ends = link_rows.select("a", "b")
         a_hit = attach(ends, hits.withColumnRenamed("name", "a"), ["a"], "left_semi")
         b_hit = attach(ends, hits.withColumnRenamed("name", "b"), ["b"], "left_semi")
         near = a_hit.select("a", "b").union(b_hit.select("a", "b"))
-        kept = hits.union(near.select(F.explode(F.array("a", "b")).alias("name"))).distinct()
-    segments = attach(
-        records.filter(is_segment(kind, fields)).withColumn("name", fields[1]),
-        kept,
-        ["name"],
-        "left_semi",
-    ).select(*records.columns)
-    named = link_rows.withColumn("a", fields[1]).withColumn("b", fields[3])
-    links = attach(named, kept.withColumnRenamed("name", "a"), ["a"], "left_semi")
-    links = attach(links, kept.withColumnRenamed("name", "b"), ["b"], "left_semi")
-    return hits, kept, segments.unionByName(links.select(*records.columns))
+        kept = materialise(
+            hits.union(near.select(F.explode(F.array("a", "b")).alias("name"))).distinct()
+        )
+    of_a, of_b = kept.withColumnRenamed("name", "a"), kept.withColumnRenamed("name", "b")
+    segments = attach(segment_rows, of_a, ["a"], "left_semi")
+    links = attach(attach(link_rows, of_a, ["a"], "left_semi"), of_b, ["b"], "left_semi")
+    kept_rows = segments.select(*records.columns).unionByName(links.select(*records.columns))
+    return hits, kept, kept_rows
 
 
 def targeted_stats(
