@@ -1,7 +1,7 @@
-"""A portable integer hash, so sampling depends on data and seed only.
+"""A portable draw, so sampling depends on data and seed only.
 
-All intermediate values stay below 2^53 and use only modulo, multiplication,
-exclusive-or and shifts, which every SQL engine evaluates alike.
+Any SQL engine has MD5, so the same draw can be recomputed elsewhere, and the
+result does not depend on partitioning, task order or retries.
 """
 
 from __future__ import annotations
@@ -9,42 +9,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# --- fixed values -----------------------------------------------------------
-PRIME = 2147483647
-STEP_ONE = 48271
-STEP_TWO = 69621
-# --- end of fixed values ------------------------------------------------------
+DRAW_DIGITS = 15  # hexadecimal digits kept, so a draw lies in [0, 2^60)
+DRAW_RANGE = 1 << (4 * DRAW_DIGITS)
 
 
-def mix(x: Column) -> Column:
-    """Scramble a non-negative integer into [0, 2^31)."""
-    a = F.pmod(F.pmod(x, F.lit(PRIME)) * STEP_ONE, F.lit(PRIME))
-    b = a.bitwiseXOR(F.shiftright(a, 15))
-    c = F.pmod(b * STEP_TWO, F.lit(PRIME))
-    return c.bitwiseXOR(F.shiftright(c, 13))
+def draw(seed: int, *keys: Column | str) -> Column:
+    """A non-negative integer from the seed and the text form of the keys."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *keys))
+    return F.conv(F.substring(digest, 1, DRAW_DIGITS), 16, 10).cast("long")
 
 
-def mixed(seed: int, *keys: Column) -> Column:
-    """Hash several integer keys under one seed."""
-    state = F.lit(mix_int(seed)).cast("long")
-    for key in keys:
-        state = mix(state + key)
-    return state
-
-
-def mix_int(x: int) -> int:
-    """`mix` for a constant."""
-    a = x % PRIME * STEP_ONE % PRIME
-    b = a ^ (a >> 15)
-    c = b * STEP_TWO % PRIME
-    return c ^ (c >> 13)
-
-
-def text_key(text: Column) -> Column:
-    """A non-negative 28-bit integer for a string."""
-    return F.conv(F.substring(F.md5(text), 1, 7), 16, 10).cast("long")
-
-
-def keep_fraction(key: Column, fraction: float) -> Column:
-    """True for about `fraction` of the values of a mixed key."""
-    return key < F.lit(int(fraction * (1 << 31)))
+def keep_fraction(drawn: Column, fraction: float) -> Column:
+    """True for about `fraction` of all draws."""
+    return drawn < F.lit(int(fraction * DRAW_RANGE))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqbraid.functions.hashing import mixed
+from seqbraid.functions.hashing import draw
 from seqbraid.operators.adjacency import Adjacency
 from seqbraid.operators.skew import attach
 from seqbraid.session import materialise
@@ -111,7 +111,7 @@ def sampled_path_length(
     small = sizes.filter(F.col("_n") <= max_nodes) if max_nodes else sizes
     pool = parts.filter("component = 0")
     pool = attach(pool, small, keys, "left_semi") if keys else pool.join(small, how="cross").drop("_n")
-    order = Window.partitionBy(*keys).orderBy(mixed(seed, F.col("oid")), "oid")
+    order = Window.partitionBy(*keys).orderBy(draw(seed, "oid"), "oid")
     sources = (
         pool.withColumn("_r", F.row_number().over(order))  # limited map-side before the shuffle
         .filter(F.col("_r") <= n_samples)

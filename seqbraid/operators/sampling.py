@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqbraid.functions.hashing import keep_fraction, mix, mixed, text_key
+from seqbraid.functions.hashing import draw, keep_fraction
 from seqbraid.operators.index import oriented_degree
 from seqbraid.operators.ordering import with_position
 from seqbraid.operators.skew import attach
@@ -98,28 +98,28 @@ def sample_negatives(
     metadata: DataFrame,
     rule: NegativeRule = NegativeRule(),
     seed: int = 42,
-    round_tries: int | None = None,
+    first_round: int = 16,
 ) -> DataFrame:
     """(slice_id, link_id, u, v): the first accepted pair of every anchor that found one.
 
     `slice_links` has slice_id, link_id, u, v; `metadata` is keyed by oid.
     """
     limit = TRY_LIMIT[rule.sampler]
-    step = round_tries or (8 if rule.sampler == "random" else 32)
     nodes = materialise(_slice_nodes(slice_links, metadata))
     ranked = materialise(with_position(nodes, ["oid"], rule.pool, "rank"))
     sizes = ranked.groupBy(*rule.pool).agg(F.count("*").alias("n"))
-    anchors = attach(_anchors(slice_links, nodes), sizes, rule.pool, "inner").withColumn(
-        "base", mixed(seed, text_key(F.col("slice_id")), F.col("link_id"))
-    )
+    anchors = attach(_anchors(slice_links, nodes), sizes, rule.pool, "inner")
     waiting = materialise(anchors)
     positives = slice_links.select("slice_id", "u", "v").distinct()
     found: list[DataFrame] = []
-    for first in range(0, limit, step):
-        tries = F.sequence(F.lit(first), F.lit(min(first + step, limit) - 1))
+    first, step = 0, first_round
+    while first < limit:
+        # Each round is four times as long as the one before, for fewer anchors.
+        last = min(first + step, limit)
+        tries = F.sequence(F.lit(first), F.lit(last - 1))
         draws = waiting.select("*", F.explode(tries).alias("try"))
         for end, turn in (("u", 0), ("v", 1)):
-            drawn = mix(F.col("base") + F.col("try") * 2 + turn) % F.col("n")
+            drawn = draw(seed, "slice_id", "link_id", F.col("try") * 2 + turn) % F.col("n")
             side = ranked.select(
                 *rule.pool,
                 F.col("rank").alias(f"rank_{end}"),
@@ -138,6 +138,7 @@ def sample_negatives(
         waiting = materialise(waiting.join(hits, ["slice_id", "link_id"], "left_anti"))
         if waiting.isEmpty():
             break
+        first, step = last, step * 4
     out = found[0]
     for part in found[1:]:
         out = out.unionByName(part)
@@ -162,7 +163,7 @@ def balanced_edges(
             F.col("u").alias("u_oid"),
             F.col("v").alias("v_oid"),
             F.lit(label).alias("label"),
-            mixed(seed, F.col("link_id"), F.lit(label).cast("long")).alias("shuffle_key"),
+            draw(seed, "link_id", F.lit(label)).alias("shuffle_key"),
         )
 
     both = labelled(slice_links, 1).unionByName(labelled(negatives, 0))
@@ -173,7 +174,7 @@ def drop_edges(edges: DataFrame, key: str, rate: float, seed: int = 42) -> DataF
     """Keep every edge with probability 1 - rate, decided by its key."""
     if rate <= 0:
         return edges
-    return edges.filter(keep_fraction(mixed(seed, F.col(key)), 1.0 - rate))
+    return edges.filter(keep_fraction(draw(seed, key), 1.0 - rate))
 
 
 def downsample(
@@ -187,7 +188,7 @@ def downsample(
     if fraction >= 1:
         return rows
     marked = rows.withColumn("_class", F.coalesce(condition, F.lit(False)))
-    chosen = marked.filter("_class").select(F.col(key), mixed(seed, F.col(key)).alias("_h"))
+    chosen = marked.filter("_class").select(F.col(key), draw(seed, key).alias("_h"))
     ranked = materialise(with_position(chosen, ["_h", key], name="_rank"))
     quota = ranked.agg(F.floor(F.count("*") * F.lit(fraction)).alias("_quota"))
     kept = ranked.join(F.broadcast(quota), how="cross").filter("_rank < _quota").select(key)

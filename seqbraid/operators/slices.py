@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqbraid.functions.hashing import mix, mixed, text_key
+from seqbraid.functions.hashing import draw
 from seqbraid.functions.names import slice_name
 from seqbraid.operators.index import oriented_metadata
 from seqbraid.operators.intervals import overlap_counts, window_core
@@ -58,9 +58,10 @@ def choose_windows(
     drawn = (
         attempts.join(sizes, "target_sn")
         .withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(max_tries - 1))))
-        .withColumn("h", mixed(seed, text_key(F.col("target_sn")), F.col("attempt"), F.col("try")))
-        .withColumn("rank", mix(F.col("h")) % F.col("n"))
-        .withColumn("shift", mix(F.col("h") + 1) % F.lit(window_bp))
+        .withColumn("rank", draw(seed, "target_sn", "attempt", "try", F.lit("at")) % F.col("n"))
+        .withColumn(
+            "shift", draw(seed, "target_sn", "attempt", "try", F.lit("shift")) % F.lit(window_bp)
+        )
     )
     tries = materialise(
         drawn.join(ranked, ["target_sn", "rank"]).select(
@@ -290,8 +291,8 @@ def build_slices(
         for begin in range(0, ATTEMPTS_PER_WINDOW * n_windows, n_windows):
             if open_targets.isEmpty():
                 break
-            numbers = F.sequence(F.lit(begin), F.lit(begin + n_windows - 1))
-            attempts = open_targets.select("target_sn", F.explode(numbers).cast("long").alias("attempt"))
+            numbers = F.expr(f"sequence({begin}L, {begin + n_windows - 1}L)")
+            attempts = open_targets.select("target_sn", F.explode(numbers).alias("attempt"))
             batch = _attempt_slices(
                 index, links, metadata, attempts, closure, window_bp, rule, seed + number
             )

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqbraid.functions.hashing import mixed, text_key
+from seqbraid.functions.hashing import draw
 from seqbraid.functions.names import normalize_chrom, normalize_chrom_text
 from seqbraid.operators.ordering import with_position
 from seqbraid.operators.skew import attach
@@ -68,11 +68,9 @@ def slice_split(
 ) -> DataFrame:
     """Per-slice test/val/train split in hash order; slices with few train rows dropped.
 
-    `order` are integer columns that together identify a row of a slice.
+    `order` are columns that together identify a row of a slice.
     """
-    hashed = edges.withColumn(
-        "_h", mixed(seed, text_key(F.col("slice_id")), *[F.col(c).cast("long") for c in order])
-    )
+    hashed = edges.withColumn("_h", draw(seed, "slice_id", *order))
     ranked = with_position(hashed, ["_h", *order], ["slice_id"], "_rank")
     sizes = edges.groupBy("slice_id").agg(F.count("*").alias("_n"))
     n_test = F.floor(F.col("_n") * F.lit(test_share))
