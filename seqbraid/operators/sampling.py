@@ -112,12 +112,16 @@ def sample_negatives(
     waiting = materialise(anchors)
     positives = slice_links.select("slice_id", "u", "v").distinct()
     found: list[DataFrame] = []
+    width = 2 * slice_links.sparkSession.sparkContext.defaultParallelism
     first, step = 0, first_round
     while first < limit:
         # Each round is four times as long as the one before, for fewer anchors.
         last = min(first + step, limit)
         tries = F.sequence(F.lit(first), F.lit(last - 1))
-        draws = waiting.select("*", F.explode(tries).alias("try"))
+        # One anchor becomes many draws, so anchors are spread before, not after.
+        draws = waiting.repartition(width, "slice_id", "link_id").select(
+            "*", F.explode(tries).alias("try")
+        )
         for end, turn in (("u", 0), ("v", 1)):
             drawn = draw(seed, "slice_id", "link_id", F.col("try") * 2 + turn) % F.col("n")
             side = ranked.select(

@@ -288,10 +288,11 @@ def build_slices(
     parts: dict[str, list[DataFrame]] = {k: [] for k in ("windows", "segments", "links", "edges")}
     for number, closure in enumerate(closures):
         open_targets = materialise(targets.withColumn("made", F.lit(0).cast("long")))
-        for begin in range(0, ATTEMPTS_PER_WINDOW * n_windows, n_windows):
-            if open_targets.isEmpty():
-                break
-            numbers = F.expr(f"sequence({begin}L, {begin + n_windows - 1}L)")
+        begin, batch_size = 0, n_windows
+        # Batches of 1, 2, 4 and 8 attempts per wanted window make up the limit.
+        while begin < ATTEMPTS_PER_WINDOW * n_windows and not open_targets.isEmpty():
+            last = min(begin + batch_size, ATTEMPTS_PER_WINDOW * n_windows) - 1
+            numbers = F.expr(f"sequence({begin}L, {last}L)")
             attempts = open_targets.select("target_sn", F.explode(numbers).alias("attempt"))
             batch = _attempt_slices(
                 index, links, metadata, attempts, closure, window_bp, rule, seed + number
@@ -300,7 +301,7 @@ def build_slices(
             fresh = batch["windows"]
             for done in earlier:
                 fresh = fresh.join(done, "slice_id", "left_anti")
-            order = Window.partitionBy("target_sn").orderBy("attempt")  # at most n_windows rows
+            order = Window.partitionBy("target_sn").orderBy("attempt")  # at most a batch of attempts
             fresh = materialise(
                 fresh.join(open_targets, "target_sn")
                 .withColumn("nth", F.row_number().over(order) + F.col("made"))
@@ -316,6 +317,7 @@ def build_slices(
                 .select("target_sn", (F.col("made") + F.coalesce("new", F.lit(0))).alias("made"))
                 .filter(F.col("made") < n_windows)
             )
+            begin, batch_size = last + 1, batch_size * 2
     merged: dict[str, DataFrame] = {}
     for key, tables in parts.items():
         out = tables[0]
