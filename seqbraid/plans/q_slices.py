@@ -396,6 +396,6 @@ def slice_builder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Manifest of chosen windows; the rounds of attempts have no single-statement form."""
     g = graph(spark, sf_dir)
     targets = g.segments.filter("startswith(SN, 'GRCh38')").select("SN").distinct()
-    rule = sm.NegativeRule("distance_matched", tol_bp=50_000)
+    rule = sm.NegativeRule("random")
     made = sl.build_slices(g.segments, g.links, targets, WINDOW_BP, 2, ("strict", "1hop"), rule, SEED)
     return made["manifest"]
