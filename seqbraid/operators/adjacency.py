@@ -56,7 +56,7 @@ class Adjacency:
         # At most edges/hub_rows hubs, so this side stays small.
         salted = edges.join(F.broadcast(hubs), [*keys, "src"], "left").select(
             *edges.columns,
-            F.pmod(F.xxhash64("dst"), F.coalesce("salts", F.lit(1))).alias("salt"),
+            F.pmod(F.xxhash64("dst"), F.expr("coalesce(salts, 1L)")).alias("salt"),
         )
         return Adjacency(keys, materialise(salted), hubs)
 
@@ -65,10 +65,10 @@ class Adjacency:
         front = frontier.withColumnRenamed("node", "src")
         on = [*self.keys, "src"]
         if self.hubs is not None:
-            spread = F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))
+            spread = F.explode(F.expr("sequence(0L, coalesce(salts, 1L) - 1L)"))
             front = (
                 front.join(F.broadcast(self.hubs), on, "left")
-                .withColumn("salt", spread.cast("long"))
+                .withColumn("salt", spread)
                 .drop("salts")
             )
             on = [*on, "salt"]

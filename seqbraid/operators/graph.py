@@ -13,7 +13,7 @@ from seqbraid.operators.adjacency import symmetric
 from seqbraid.operators.index import oriented_degree
 from seqbraid.operators.ordering import with_position
 from seqbraid.operators.skew import attach
-from seqbraid.session import materialise
+from seqbraid.session import materialise, materialise_observed
 
 MAX_ROUNDS = 60
 
@@ -28,15 +28,14 @@ def component_labels(links: DataFrame, keys: list[str] | None = None) -> DataFra
     """
     keys = keys or []
     nodes = links.select(*keys, F.explode(F.array("u", "v")).alias("oid")).distinct()
-    edges = materialise(
+    edges, state = _written(
         links.filter("u <> v")
         .select(*keys, F.greatest("u", "v").alias("hi"), F.least("u", "v").alias("lo"))
         .distinct()
     )
-    state = _fingerprint(edges)
     for _ in range(MAX_ROUNDS):
-        edges = materialise(_contract_smaller(_contract_larger(edges, keys), keys))
-        previous, state = state, _fingerprint(edges)
+        previous = state
+        edges, state = _written(_contract_smaller(_contract_larger(edges, keys), keys))
         if state == previous:
             break
     else:
@@ -45,13 +44,10 @@ def component_labels(links: DataFrame, keys: list[str] | None = None) -> DataFra
     return nodes.join(roots, [*keys, "oid"], "left").withColumn("root", F.coalesce("root", "oid"))
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    return tuple(
-        edges.agg(
-            F.count("*"),
-            F.sum(F.xxhash64(*edges.columns).cast("decimal(38,0)")),
-        ).first()
-    )
+def _written(edges: DataFrame) -> tuple[DataFrame, dict]:
+    """The edge list as a table, with a fingerprint that shows whether a round changed it."""
+    digest = F.sum(F.xxhash64(*edges.columns).cast("decimal(38,0)"))
+    return materialise_observed(edges, digest=digest)
 
 
 def _contract_larger(edges: DataFrame, keys: list[str]) -> DataFrame:

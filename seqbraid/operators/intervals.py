@@ -82,16 +82,12 @@ def class_overlap_wide(intervals: DataFrame, segments: DataFrame) -> DataFrame:
     )
     sums: dict[str, Column] = {}
     for i in range(len(CLASSES)):
-        step = F.when(F.col("code") == i, F.col("step")).otherwise(0)
-        sums[f"n{i}"] = step
-        sums[f"x{i}"] = step * F.col("at")
+        sums[f"n{i}"] = F.expr(f"if(code = {i}, step, 0L)")
+        sums[f"x{i}"] = F.expr(f"if(code = {i}, step * at, 0L)")
     placed = running_sums(
         steps.unionByName(probes), ["at", "segid", "sign", "code"], ["chrom"], sums
     )
-    covered = [
-        F.sum(F.col("sign") * (F.col("at") * F.col(f"n{i}") - F.col(f"x{i}"))).alias(f"b{i}")
-        for i in range(len(CLASSES))
-    ]
+    covered = [F.expr(f"sum(sign * (at * n{i} - x{i})) as b{i}") for i in range(len(CLASSES))]
     bp = placed.filter("segid is not null").groupBy("segid").agg(*covered)
     return bp.select("segid", F.array(*[f"b{i}" for i in range(len(CLASSES))]).alias("class_bp"))
 
@@ -109,16 +105,16 @@ def class_overlaps(intervals: DataFrame, segments: DataFrame) -> DataFrame:
 
 def dominant(class_bp: Column) -> tuple[Column, Column, Column, Column]:
     """(class, total bp, dominant bp, number of classes) from an array of class bp."""
+    table = ", ".join(
+        f"struct({ELEMENT_PRIORITY[c]} as priority, '{c}' as name)" for c in CLASSES
+    )
     ranked = F.array_max(
-        F.array(
-            *[
-                F.struct(
-                    F.coalesce(class_bp[i], F.lit(0)).alias("bp"),
-                    F.lit(ELEMENT_PRIORITY[c]).alias("priority"),
-                    F.lit(c).alias("name"),
-                )
-                for i, c in enumerate(CLASSES)
-            ]
+        F.zip_with(
+            F.coalesce(class_bp, F.expr(f"array_repeat(0L, {len(CLASSES)})")),
+            F.expr(f"array({table})"),
+            lambda bp, c: F.struct(
+                bp.alias("bp"), c["priority"].alias("priority"), c["name"].alias("name")
+            ),
         )
     )
     any_bp = ranked["bp"] > 0
@@ -219,7 +215,7 @@ def overlap_pairs(
     on = [*keys, "_bin"]
     if salts > 1:
         a = a.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)))
-        b = b.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long"))
+        b = b.withColumn("_salt", F.explode(F.expr(f"sequence(0L, {salts - 1}L)")))
         on.append("_salt")
     later = F.greatest("start", "r_start")
     return (

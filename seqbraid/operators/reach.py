@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from seqbraid.functions.hashing import draw
 from seqbraid.operators.adjacency import Adjacency
 from seqbraid.operators.skew import attach
-from seqbraid.session import materialise
+from seqbraid.session import materialise, materialise_observed
 
 MAX_RADIUS = 8
 
@@ -26,15 +26,17 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 def _next_level(
     adjacency: Adjacency, frontier: DataFrame, levels: list[DataFrame], node: list[str]
-) -> DataFrame:
-    """Nodes one hop beyond `frontier`.
+) -> int:
+    """Append the nodes one hop beyond `frontier` to `levels` and return their number.
 
     In an undirected graph they can only repeat nodes of the last two levels,
     so nothing older is compared against.
     """
     step = adjacency.expand(frontier).withColumnRenamed("dst", "node").distinct()
     known = _union([level.select(*node) for level in levels[-2:]])
-    return materialise(step.join(known, node, "left_anti"))
+    level, seen = materialise_observed(step.join(known, node, "left_anti"))
+    levels.append(level)
+    return seen["rows"]
 
 
 def branch_distance(
@@ -45,8 +47,8 @@ def branch_distance(
     node = [*keys, "node"]
     start = degrees.filter("degree > 2").select(*keys, F.col("oid").alias("node"))
     levels = [materialise(start)]
-    while len(levels) < max_radius and not levels[-1].isEmpty():
-        levels.append(_next_level(adjacency, levels[-1], levels, node))
+    while len(levels) < max_radius and _next_level(adjacency, levels[-1], levels, node):
+        pass
     hops = _union([level.withColumn("hop", F.lit(i)) for i, level in enumerate(levels)])
     nodes = degrees.select(*keys, F.col("oid").alias("node"))
     return nodes.join(hops, node, "left").select(
@@ -64,10 +66,10 @@ def khop_pairs(adjacency: Adjacency, roots: DataFrame) -> DataFrame:
     keys = adjacency.keys
     node = [*keys, "oid", "node"]
     start = roots.filter("hops > 0").select(*keys, "oid", "hops", F.col("oid").alias("node"))
-    levels = [materialise(start)]
-    while len(levels) == 1 or not levels[-1].isEmpty():
+    levels, more = [materialise(start)], 1
+    while more:
         live = levels[-1].filter(F.col("hops") >= len(levels))
-        levels.append(_next_level(adjacency, live, levels, node))
+        more = _next_level(adjacency, live, levels, node)
     return _union(levels[1:]).select(*keys, "oid", F.col("node").alias("nb"))
 
 
@@ -118,13 +120,13 @@ def sampled_path_length(
         .select(*node)
     )
     levels = [materialise(sources.select(*node, F.col("oid").alias("node")))]
-    while not levels[-1].isEmpty():
-        levels.append(_next_level(adjacency, levels[-1], levels, [*node, "node"]))
+    while _next_level(adjacency, levels[-1], levels, [*node, "node"]):
+        pass
     out = _union(
         [
             level.groupBy(*keys).agg(F.count("*").alias("n")).withColumn("hop", F.lit(i))
             for i, level in enumerate(levels)
-            if i > 0 or len(levels) == 1
+            if i > 0
         ]
     )
     reached = out.groupBy(*keys).agg(

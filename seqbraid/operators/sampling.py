@@ -18,7 +18,7 @@ from seqbraid.functions.hashing import draw, keep_fraction
 from seqbraid.operators.index import oriented_degree
 from seqbraid.operators.ordering import with_position
 from seqbraid.operators.skew import attach
-from seqbraid.session import materialise
+from seqbraid.session import materialise, materialise_observed
 
 SAMPLERS = ("random", "hard_coord_degree", "distance_matched")
 # Tries per anchor before its slice counts as unable to supply negatives.
@@ -139,8 +139,10 @@ def sample_negatives(
             .select("slice_id", "link_id", "p.u", "p.v")
         )
         found.append(hits)
-        waiting = materialise(waiting.join(hits, ["slice_id", "link_id"], "left_anti"))
-        if waiting.isEmpty():
+        waiting, left = materialise_observed(
+            waiting.join(hits, ["slice_id", "link_id"], "left_anti")
+        )
+        if not left["rows"]:
             break
         first, step = last, step * 4
     out = found[0]

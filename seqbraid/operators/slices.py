@@ -13,7 +13,7 @@ from seqbraid.operators.ordering import with_position
 from seqbraid.operators.sampling import NegativeRule, balanced_edges, sample_negatives
 from seqbraid.operators.skew import attach
 from seqbraid.schemas import META_KEYS
-from seqbraid.session import materialise
+from seqbraid.session import materialise, materialise_observed
 
 ATTEMPTS_PER_WINDOW = 15
 
@@ -188,7 +188,7 @@ def verify_slices(
         F.count("*").alias("n_lnk"), F.count_if(F.col("overlap") != "0M").alias("n_overlap")
     )
     profile = degree_profile(slice_links)
-    out = metadata
+    out = metadata.drop("max_degree", "branching_frac_deg_gt_2")
     for part in (segments, dangling, links, profile):
         out = out.join(part, "slice_id", "left")
     if edge_pred is not None:
@@ -284,13 +284,16 @@ def build_slices(
     attempts. Accepted slices only are returned.
     """
     metadata = materialise(oriented_metadata(index))
-    targets = targets.select(F.col("SN").alias("target_sn")).distinct()
+    # Contigs without a segment can never be filled, so they are not tried.
+    targets = targets.select("SN").distinct().join(index.select("SN"), "SN", "left_semi")
+    targets = targets.withColumnRenamed("SN", "target_sn")
     parts: dict[str, list[DataFrame]] = {k: [] for k in ("windows", "segments", "links", "edges")}
     for number, closure in enumerate(closures):
         open_targets = materialise(targets.withColumn("made", F.lit(0).cast("long")))
         begin, batch_size = 0, n_windows
         # Batches of 1, 2, 4 and 8 attempts per wanted window make up the limit.
-        while begin < ATTEMPTS_PER_WINDOW * n_windows and not open_targets.isEmpty():
+        remaining = {"rows": 1}
+        while begin < ATTEMPTS_PER_WINDOW * n_windows and remaining["rows"]:
             last = min(begin + batch_size, ATTEMPTS_PER_WINDOW * n_windows) - 1
             numbers = F.expr(f"sequence({begin}L, {last}L)")
             attempts = open_targets.select("target_sn", F.explode(numbers).alias("attempt"))
@@ -312,7 +315,7 @@ def build_slices(
                 parts[key].append(attach(batch[key], fresh.select("slice_id"), ["slice_id"], "left_semi"))
             parts["windows"].append(fresh)
             new = fresh.groupBy("target_sn").agg(F.count("*").alias("new"))
-            open_targets = materialise(
+            open_targets, remaining = materialise_observed(
                 open_targets.join(new, "target_sn", "left")
                 .select("target_sn", (F.col("made") + F.coalesce("new", F.lit(0))).alias("made"))
                 .filter(F.col("made") < n_windows)

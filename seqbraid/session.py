@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "seqbraid", master: str | None = None, **conf: str) -> SparkSession:
@@ -54,6 +55,18 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialise_observed(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
+    """`materialise`, and the row count (`rows`) and other aggregates seen while writing.
+
+    Loops use this to decide on the next round without a job of its own. The
+    metrics are taken in the writing stage, where a retried task counts once.
+    """
+    seen = Observation()
+    extra = [column.alias(name) for name, column in metrics.items()]
+    table = materialise(df.observe(seen, F.count(F.lit(1)).alias("rows"), *extra))
+    return table, seen.get
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate; exact for Parquet scans, an upper guess otherwise."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
