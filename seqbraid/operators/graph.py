@@ -13,7 +13,7 @@ from seqbraid.operators.adjacency import symmetric
 from seqbraid.operators.index import oriented_degree
 from seqbraid.operators.ordering import with_position
 from seqbraid.operators.skew import attach
-from seqbraid.session import materialise, materialise_observed
+from seqbraid.session import materialise, materialise_counted
 
 MAX_ROUNDS = 60
 
@@ -47,7 +47,7 @@ def component_labels(links: DataFrame, keys: list[str] | None = None) -> DataFra
 def _written(edges: DataFrame) -> tuple[DataFrame, dict]:
     """The edge list as a table, with a fingerprint that shows whether a round changed it."""
     digest = F.sum(F.xxhash64(*edges.columns).cast("decimal(38,0)"))
-    return materialise_observed(edges, digest=digest)
+    return materialise_counted(edges, digest=digest)
 
 
 def _contract_larger(edges: DataFrame, keys: list[str]) -> DataFrame:

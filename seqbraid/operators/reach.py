@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from seqbraid.functions.hashing import draw
 from seqbraid.operators.adjacency import Adjacency
 from seqbraid.operators.skew import attach
-from seqbraid.session import materialise, materialise_observed
+from seqbraid.session import materialise, materialise_counted
 
 MAX_RADIUS = 8
 
@@ -34,7 +34,7 @@ def _next_level(
     """
     step = adjacency.expand(frontier).withColumnRenamed("dst", "node").distinct()
     known = _union([level.select(*node) for level in levels[-2:]])
-    level, seen = materialise_observed(step.join(known, node, "left_anti"))
+    level, seen = materialise_counted(step.join(known, node, "left_anti"))
     levels.append(level)
     return seen["rows"]
 

@@ -18,7 +18,7 @@ from seqbraid.functions.hashing import draw, keep_fraction
 from seqbraid.operators.index import oriented_degree
 from seqbraid.operators.ordering import with_position
 from seqbraid.operators.skew import attach
-from seqbraid.session import materialise, materialise_observed
+from seqbraid.session import materialise, materialise_counted
 
 SAMPLERS = ("random", "hard_coord_degree", "distance_matched")
 # Tries per anchor before its slice counts as unable to supply negatives.
@@ -139,7 +139,7 @@ def sample_negatives(
             .select("slice_id", "link_id", "p.u", "p.v")
         )
         found.append(hits)
-        waiting, left = materialise_observed(
+        waiting, left = materialise_counted(
             waiting.join(hits, ["slice_id", "link_id"], "left_anti")
         )
         if not left["rows"]:

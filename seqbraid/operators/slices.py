@@ -13,7 +13,7 @@ from seqbraid.operators.ordering import with_position
 from seqbraid.operators.sampling import NegativeRule, balanced_edges, sample_negatives
 from seqbraid.operators.skew import attach
 from seqbraid.schemas import META_KEYS
-from seqbraid.session import materialise, materialise_observed
+from seqbraid.session import materialise, materialise_counted
 
 ATTEMPTS_PER_WINDOW = 15
 
@@ -315,7 +315,7 @@ def build_slices(
                 parts[key].append(attach(batch[key], fresh.select("slice_id"), ["slice_id"], "left_semi"))
             parts["windows"].append(fresh)
             new = fresh.groupBy("target_sn").agg(F.count("*").alias("new"))
-            open_targets, remaining = materialise_observed(
+            open_targets, remaining = materialise_counted(
                 open_targets.join(new, "target_sn", "left")
                 .select("target_sn", (F.col("made") + F.coalesce("new", F.lit(0))).alias("made"))
                 .filter(F.col("made") < n_windows)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -55,16 +55,16 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def materialise_observed(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
-    """`materialise`, and the row count (`rows`) and other aggregates seen while writing.
+def materialise_counted(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
+    """`materialise`, and the row count (`rows`) and other aggregates of the table.
 
-    Loops use this to decide on the next round without a job of its own. The
-    metrics are taken in the writing stage, where a retried task counts once.
+    Read back from the written files, where a count needs only their footers.
+    An Observation on the write would be free, but its manager makes the session
+    unserialisable, and fitted ML models carry the session in their summary.
     """
-    seen = Observation()
+    table = materialise(df)
     extra = [column.alias(name) for name, column in metrics.items()]
-    table = materialise(df.observe(seen, F.count(F.lit(1)).alias("rows"), *extra))
-    return table, seen.get
+    return table, table.agg(F.count(F.lit(1)).alias("rows"), *extra).first().asDict()
 
 
 def estimated_bytes(df: DataFrame) -> int:
