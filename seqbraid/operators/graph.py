@@ -119,7 +119,7 @@ def degree_stats(
         F.count_if(F.col("degree") == 0).alias("n_isolated"),
         F.when(usable >= 5, 1.0 + usable / _sum_degree_log(d_min)).alias("degree_exponent"),
     )
-    n = F.col("n_nodes")
+    n = F.col("n_nodes").cast("double")  # the product of two counts may not fit a long
     joined = stats.join(n_links, keys) if keys else stats.join(n_links, how="cross")
     return joined.select(
         *keys,
@@ -225,7 +225,7 @@ def closed_pairs(links: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 def local_clustering(closed: DataFrame) -> DataFrame:
     """Add `clustering`: closed pairs over all pairs, 0 below degree 2."""
-    k = F.col("degree")
+    k = F.col("degree").cast("double")
     return closed.withColumn(
         "clustering", F.when(k >= 2, 2.0 * F.col("closed") / (k * (k - 1))).otherwise(0.0)
     )
@@ -237,7 +237,7 @@ def clustering_summary(closed: DataFrame, keys: list[str] | None = None) -> Data
     A triangle is met at all three corners, so three times the closed share,
     `transitivity_ref`, is 3 for a lone triangle; `transitivity` is a third of it.
     """
-    k = F.col("degree")
+    k = F.col("degree").cast("double")
     share = F.sum("closed") / F.sum((k * (k - 1) / 2))
     share = F.coalesce(F.when(F.sum(k * (k - 1)) > 0, share), F.lit(0.0))
     return (

@@ -54,7 +54,7 @@ def ranking_metrics(
         (pos / n).alias("pos_frac"),
         (F.sum("sq") / n).alias("brier"),
         F.when(both, wins / (pos.cast("double") * (n - pos))).alias("auroc"),
-        F.when(both, F.sum(F.col("pos") * F.col("tp") / F.col("seen")) / pos).alias("auprc"),
+        F.when(both, F.sum(F.col("pos") * (F.col("tp") / F.col("seen"))) / pos).alias("auprc"),
     )
 
 

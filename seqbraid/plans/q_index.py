@@ -68,7 +68,7 @@ parsed as (
 
 @query("gfa_segments", oracle(SEGMENTS_SQL, PARSED_SQL, "select id, name, seq, LN, SN, SO, SR from parsed"))
 def gfa_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gfa.segments_of(_records(spark, sf_dir))
+    return gfa.read_segments(spark, gfa_text(spark, sf_dir))
 
 
 @query(
@@ -79,7 +79,7 @@ def gfa_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def gfa_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gfa.links_of(_records(spark, sf_dir)).drop("line_no")
+    return gfa.read_links(spark, gfa_text(spark, sf_dir))
 
 
 @query(
@@ -95,7 +95,7 @@ def gfa_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def gfa_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gfa.parse_stats(gfa.read_lines(spark, gfa_text(spark, sf_dir)))
+    return gfa.parse_stats(spark.read.text(gfa_text(spark, sf_dir)))
 
 
 TARGETED_SQL = """

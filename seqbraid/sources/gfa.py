@@ -7,44 +7,83 @@ from pyspark.sql import functions as F
 
 from seqbraid.operators.ordering import with_position
 from seqbraid.operators.skew import attach
-from seqbraid.session import materialise
+from seqbraid.session import materialise, materialise_counted
 
 
-def read_lines(spark: SparkSession, path: str, max_lines: int | None = None) -> DataFrame:
-    """Lines of plain or gzip text as `value`, with `line_no` in file order.
+# File blocks up to this number are joined by broadcast, 16 bytes each. At the
+# default block size that is half a petabyte of text.
+BROADCAST_BLOCKS = 4_000_000
 
-    Each file block numbers its own lines and only the per-block counts are
-    ordered, so no line is moved. A gzip file is one block and one task, so it
-    is spread out right after the numbering.
-    """
-    scan = spark.read.text(path).select(
+
+def _scan(spark: SparkSession, path: str) -> DataFrame:
+    """Text lines with the file block they come from, in scan order."""
+    return spark.read.text(path).select(
         "value",
         F.col("_metadata.file_path").alias("_path"),
         F.col("_metadata.file_block_start").alias("_start"),
-        F.monotonically_increasing_id().alias("_row"),
     )
-    lines = _number_blocks(scan, "line_no").drop("_path", "_start", "_row")
-    if max_lines is not None:
-        lines = lines.filter(F.col("line_no") < max_lines)
-    if path.endswith(".gz"):
-        lines = lines.repartition(spark.sparkContext.defaultParallelism, "line_no")
-    return lines
 
 
-def _number_blocks(rows: DataFrame, name: str) -> DataFrame:
-    """Turn the scan's row ids into one running number over (path, block, row)."""
+def _number_blocks(lines: DataFrame, name: str) -> DataFrame:
+    """Number rows along (path, block, row in block) without moving a row.
+
+    `lines` comes straight from `_scan`, at most filtered, so that row ids follow
+    the scan. Only the row count of every block is gathered and ordered. Should
+    the file splits change between the two scans, the query fails.
+    """
+    rows = lines.withColumn("_row", F.monotonically_increasing_id())
     block = ["_path", "_start"]
     sizes = rows.groupBy(*block).agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
     # One row per file block, far fewer than lines.
     before = Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sizes.select(
-        *block, (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift")
+    shifts, counted = materialise_counted(
+        sizes.select(
+            F.xxhash64("_path").alias("_file"),
+            "_start",
+            (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"),
+        )
     )
-    return attach(rows, shifts, block, how="inner").select(
-        *rows.columns, (F.col("_row") + F.col("_shift")).alias(name)
+    if counted["rows"] <= BROADCAST_BLOCKS:
+        shifts = F.broadcast(shifts)
+    shift = F.coalesce("_shift", F.raise_error(F.lit("file blocks changed between two scans")))
+    return (
+        rows.withColumn("_file", F.xxhash64("_path"))
+        .join(shifts, ["_file", "_start"], "left")
+        .select("value", (F.col("_row") + shift).alias(name))
     )
 
 
+def _spread(lines: DataFrame, path: str) -> DataFrame:
+    """A gzip file is one block and one task, so its rows are spread for the next step."""
+    if not path.endswith(".gz"):
+        return lines
+    return lines.repartition(lines.sparkSession.sparkContext.defaultParallelism)
+
+
+def read_lines(spark: SparkSession, path: str, max_lines: int | None = None) -> DataFrame:
+    """Lines of plain or gzip text as `value`, with `line_no` in file order."""
+    lines = _number_blocks(_scan(spark, path), "line_no")
+    if max_lines is not None:
+        lines = lines.filter(F.col("line_no") < max_lines)
+    return _spread(lines, path)
+
+
+def read_segments(spark: SparkSession, path: str) -> DataFrame:
+    """Segment table of a whole file; `id` counts S records in line order.
+
+    Same rows as `segments_of`, but ids come from per-block counts, so that the
+    sequences are never shuffled.
+    """
+    fields = F.split("value", "\t")
+    kept = _scan(spark, path).filter(F.col("value").startswith("S\t") & (F.size(fields) >= 3))
+    return _spread(_number_blocks(kept, "id"), path).select("id", *segment_columns(fields))
+
+
+def read_links(spark: SparkSession, path: str) -> DataFrame:
+    """Link table of a whole file; no order is needed, so lines are not numbered."""
+    return links_of(split_records(_spread(spark.read.text(path), path)))
+
+
 def split_records(lines: DataFrame) -> DataFrame:
     """Keep record lines (comments dropped) with their tab fields and record type."""
     fields = F.split("value", "\t")
@@ -106,7 +145,7 @@ def link_columns(fields: Column) -> list[Column]:
 
 
 def segments_of(records: DataFrame) -> DataFrame:
-    """Segment table; `id` counts the kept S records in line order."""
+    """Segment table of any record selection; `id` counts its S records in line order."""
     kind, fields = F.col("kind"), F.col("fields")
     kept = records.filter(is_segment(kind, fields)).select("line_no", *segment_columns(fields))
     # Number the narrow key only, so that long sequences are moved once.
@@ -116,7 +155,8 @@ def segments_of(records: DataFrame) -> DataFrame:
 
 def links_of(records: DataFrame) -> DataFrame:
     kind, fields = F.col("kind"), F.col("fields")
-    return records.filter(is_link(kind, fields)).select("line_no", *link_columns(fields))
+    keep = [c for c in records.columns if c == "line_no"]
+    return records.filter(is_link(kind, fields)).select(*keep, *link_columns(fields))
 
 
 def parse_stats(lines: DataFrame) -> DataFrame:

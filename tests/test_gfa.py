@@ -73,6 +73,8 @@ def test_gzip_text_reads_the_same(spark, tmp_path):
     lines = gfa.read_lines(spark, str(path))
     assert [r[0] for r in rows(lines.select("line_no"), "line_no")] == list(range(10))
     assert gfa.parse_stats(lines).first().segments == 3
+    assert [r[1] for r in rows(gfa.read_segments(spark, str(path)), "id")] == ["a1", "a2", "a3"]
+    assert gfa.read_links(spark, str(path)).count() == 1
 
 
 def test_line_numbers_cross_file_blocks(spark, tmp_path):
@@ -81,6 +83,7 @@ def test_line_numbers_cross_file_blocks(spark, tmp_path):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
     try:
         segs = gfa.segments_of(gfa.split_records(gfa.read_lines(spark, str(path))))
+        assert sorted(rows(gfa.read_segments(spark, str(path)))) == sorted(rows(segs))
         wrong = segs.filter(F.concat(F.lit("n"), F.lpad("id", 5, "0")) != F.col("name"))
         assert wrong.count() == 0 and segs.count() == 5000
     finally:
