@@ -75,7 +75,8 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
     sequences are never shuffled.
     """
     fields = F.split("value", "\t")
-    kept = _scan(spark, path).filter(F.col("value").startswith("S\t") & (F.size(fields) >= 3))
+    # At least three fields: the mark, a tab, and one more tab further on.
+    kept = _scan(spark, path).filter(F.col("value").like("S\t%\t%"))
     return _spread(_number_blocks(kept, "id"), path).select("id", *segment_columns(fields))
 
 
