@@ -50,3 +50,16 @@ def map_arrow(
                 yield out
 
     return df.mapInArrow(run, schema)
+
+
+def lookup(rows: DataFrame, found: DataFrame, key: str, count: str, hot_rows: int) -> DataFrame:
+    """Inner join of `rows` to `found`, one row per key with the `count` of rows that have it.
+
+    Keys with at least `hot_rows` rows, so at most rows / hot_rows of them, are broadcast;
+    the others, none of which fills a task, meet by a shuffle.
+    """
+    hot = found.filter(F.col(count) >= hot_rows)
+    cold = found.filter(F.col(count) < hot_rows)
+    by_hot = rows.join(F.broadcast(hot), key)
+    by_cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
+    return by_hot.unionByName(by_cold)

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqbraid.llm.common import materialise, text_of
+from seqbraid.llm.common import lookup, materialise, text_of
 
 MIN_CHARS = 10
 MIN_DOCS = 2
@@ -77,17 +77,8 @@ def dropped_lines(
     rows = line_rows(docs, min_chars)
     keys = materialise(repeated_keys(rows, min_docs))
     later = F.col("doc_id") > F.col("first_doc")
-    hot = keys.filter(F.col("n_lines") >= hot_rows).select("hash", "first_doc")
-    cold = keys.filter(F.col("n_lines") < hot_rows).select("hash", "first_doc")
-    # The broadcast side has at most lines / hot_rows rows of 24 bytes.
-    by_hot = rows.join(F.broadcast(hot), "hash").filter(later)
-    by_cold = rows.join(F.broadcast(hot), "hash", "left_anti").join(cold, "hash").filter(later)
-    return (
-        by_hot.select("doc_id", "pos")
-        .unionByName(by_cold.select("doc_id", "pos"))
-        .groupBy("doc_id")
-        .agg(F.collect_list("pos").alias("gone"))
-    )
+    lost = lookup(rows, keys, "hash", "n_lines", hot_rows).filter(later)
+    return lost.groupBy("doc_id").agg(F.collect_list("pos").alias("gone"))
 
 
 def dedup_lines(
