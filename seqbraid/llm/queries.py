@@ -6,7 +6,7 @@ import importlib
 
 from seqbraid.llm.registry import ORACLES, QUERIES
 
-for _family in ("q_native", "q_filters"):
+for _family in ("q_native", "q_filters", "q_tokens"):
     importlib.import_module(f"seqbraid.llm.{_family}")
 
 __all__ = ["ORACLES", "QUERIES"]
