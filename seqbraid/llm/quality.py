@@ -23,14 +23,14 @@ from seqbraid.llm.common import map_arrow, materialise, ready, text_of
 from seqbraid.llm.textnp import Slice, gram_hashes, mix, range_hashes, slices, words
 
 BUCKETS = 1 << 16
-GRAM = 4
+GRAM = 3
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-THRESHOLD = -0.05
+THRESHOLD = -0.5
 TARGET_DOCS = 50_000
 # The trusted counts get this share of extra mass, spread as the raw corpus is.
-PRIOR = 1e-3
+PRIOR = 0.03
 
 _IS_SYMBOL = np.zeros(256, bool)
 _IS_SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -201,7 +201,7 @@ def quality_rules(
     """Quality columns of every document.
 
     Null texts count as empty: no words, no lines, base_failed, not kept. Texts of fewer
-    than 4 bytes have llr 0. Repeated rows are judged one by one with equal results. An
+    than 3 bytes have llr 0. Repeated rows are judged one by one with equal results. An
     empty label table gives llr 0 everywhere, so the base rules decide alone; an empty
     document table gives an empty result. Other columns of `docs` are not read.
     """
