@@ -212,23 +212,28 @@ class PrefixCounter:
             )
         return sum(self.chunk_counts(self.chunks(text)))
 
+    def _char_counts(self, piece: str) -> list[int]:
+        """The count of every prefix of one pre-token, by characters, from 0."""
+        byte_counts = self._dp.table(self.symbols(piece))[1]
+        ends = accumulate((len(c.encode("utf-8", "surrogatepass")) for c in piece), initial=0)
+        return [byte_counts[e] for e in ends]
+
     def chunk_table(self, chunk: str) -> list[int]:
         """The count of every prefix of a chunk, by characters, from 0."""
         run = _RUN.match(chunk)
         space = run.end() if run else 0
-        out = [self._word(chunk[:i]) if i else 0 for i in range(space + 1)]
+        out = self._char_counts(chunk[:space])
         if space == len(chunk):
             return out
         done, at = 0, 0
         for piece in _PIECES.findall(chunk):
             if at + len(piece) > space:
-                if piece[0] == "'" and len(piece) == 3:
+                if piece in ("'re", "'ve", "'ll"):
+                    # Cut short, a contraction is an apostrophe and a letter.
                     inner = [self._word("'"), self._word("'") + self._word(piece[1])]
                     inner.append(self._word(piece))
                 else:
-                    byte_counts = self._dp.table(self.symbols(piece))[1]
-                    ends = list(accumulate(len(c.encode("utf-8", "surrogatepass")) for c in piece))
-                    inner = [byte_counts[e] for e in ends]
+                    inner = self._char_counts(piece)[1:]
                 skip = max(0, space - at)
                 out += [done + n for n in inner[skip:]]
             done += self._word(piece)

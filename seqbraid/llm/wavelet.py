@@ -32,6 +32,8 @@ END_ID = 1
 BITS = 16
 SHARD_TOKENS = 1 << 20
 RANGE_BYTES = 128 << 20
+# The planner's estimate for tables it knows nothing about is above this.
+UNKNOWN_BYTES = 1 << 60
 BLOCK = 512
 MEMO_ENTRIES = 400_000
 
@@ -224,10 +226,10 @@ def write_shards(
     spark = docs.sparkSession
     ready(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    parts = max(
-        int(spark.conf.get("spark.sql.shuffle.partitions")),
-        -(-estimated_bytes(texts) // RANGE_BYTES),
-    )
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = estimated_bytes(texts)
+    if size < UNKNOWN_BYTES:
+        parts = max(parts, -(-size // RANGE_BYTES))
     placed = texts.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
