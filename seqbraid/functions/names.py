@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -102,32 +103,52 @@ def segid_from_label(raw: Column) -> Column:
 
 
 def slice_name(target: Column, start: Column, end: Column, closure: Column) -> Column:
-    """File-safe slice id of at most 120 characters."""
+    """File-safe text for people; different slices may share it, see `slice_id`."""
     safe = F.regexp_replace(target, "[#/ ]", "_")
     return F.substring(F.concat_ws("_", F.lit("slice"), safe, start, end, closure), 1, 120)
 
 
-def _with_prefix(chrom: str, prefix: str | None) -> str:
-    if not prefix:
-        return chrom
-    if "{}" in prefix:
-        return prefix.replace("{}", chrom)
-    return prefix + chrom if prefix[-1] in "#|:/_-" else f"{prefix}#{chrom}"
+def slice_id(target: Column, start: Column, end: Column, closure: Column) -> Column:
+    """The key of a slice: a hash of its window and closure as they are, never shortened."""
+    parts = F.concat_ws("|", start, end, closure, target)
+    return F.concat(F.lit("slice_"), F.md5(parts))
 
 
-def expand_targets(names: Iterable[str], prefix: str | None = None) -> list[str]:
-    """Expand presets and bare chromosome names to contig names; full names stay."""
-    presets = dict.fromkeys(("all", "all-canonical", "canonical"), CANONICAL_CHROMS) | dict.fromkeys(
-        ("ccre-paper", "paper-ccre"), PAPER_CHROMS
-    )
-    out: list[str] = []
-    for name in names:
-        complete = "#" in name or "|" in name or name.startswith("id=")
-        for chrom in presets.get(name.lower(), [name]):
-            out.append(chrom if complete else _with_prefix(chrom, prefix))
-    return out
+# --- fixed values -----------------------------------------------------------
+TARGET_PRESETS = {
+    "all": CANONICAL_CHROMS,
+    "all-canonical": CANONICAL_CHROMS,
+    "canonical": CANONICAL_CHROMS,
+    "ccre-paper": PAPER_CHROMS,
+    "paper-ccre": PAPER_CHROMS,
+}
+# A name with one of these is a full contig name.
+FULL_NAME = r"[#|]|^id="
+# A prefix that ends in one of these is joined as it is, any other with a #.
+PREFIX_ENDS = r"[#|:/_-]$"
+# --- end of fixed values ------------------------------------------------------
+
+
+def contig_name(name: Column, prefix: str | None) -> Column:
+    """The contig of a chromosome under a prefix or a pattern with {}."""
+    if not prefix:
+        return name
+    pattern = prefix if "{}" in prefix else prefix + "{}"
+    if "{}" not in prefix and not re.search(PREFIX_ENDS, prefix):
+        pattern = prefix + "#{}"
+    named = F.replace(F.lit(pattern), F.lit("{}"), name)
+    return F.when(name.rlike(FULL_NAME), name).otherwise(named)
 
 
 def targets_table(spark: SparkSession, names: Iterable[str], prefix: str | None = None) -> DataFrame:
-    """`expand_targets` as a one-column table for semi-joins."""
-    return spark.createDataFrame([(n,) for n in expand_targets(names, prefix)], "SN string")
+    """SN, in the order asked for: presets replaced by their chromosomes, then named by contig."""
+    asked = spark.createDataFrame(list(enumerate(names)), "at int, name string")
+    preset = spark.createDataFrame(
+        [(key, i, chrom) for key, chroms in TARGET_PRESETS.items() for i, chrom in enumerate(chroms)],
+        "preset string, i int, chrom string",
+    )
+    return (
+        asked.join(F.broadcast(preset), F.lower("name") == F.col("preset"), "left")
+        .orderBy("at", "i")
+        .select(contig_name(F.coalesce("chrom", "name"), prefix).alias("SN"))
+    )

@@ -15,7 +15,6 @@ from seqbraid.operators.ordering import with_position
 from seqbraid.operators.skew import attach
 from seqbraid.session import materialise, materialise_counted
 
-MAX_ROUNDS = 60
 
 
 def component_labels(links: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -33,13 +32,10 @@ def component_labels(links: DataFrame, keys: list[str] | None = None) -> DataFra
         .select(*keys, F.greatest("u", "v").alias("hi"), F.least("u", "v").alias("lo"))
         .distinct()
     )
-    for _ in range(MAX_ROUNDS):
+    previous = None
+    while state != previous:
         previous = state
         edges, state = _written(_contract_smaller(_contract_larger(edges, keys), keys))
-        if state == previous:
-            break
-    else:
-        raise RuntimeError("component contraction did not settle")
     roots = edges.groupBy(*keys, F.col("hi").alias("oid")).agg(F.min("lo").alias("root"))
     return nodes.join(roots, [*keys, "oid"], "left").withColumn("root", F.coalesce("root", "oid"))
 

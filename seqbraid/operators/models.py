@@ -72,7 +72,7 @@ def with_balanced_weights(train: DataFrame, label: str = "y") -> tuple[DataFrame
 
 
 def fit_logistic(
-    train: DataFrame, label: str = "y", balanced: bool = True, max_iter: int = 100, c: float = 1.0
+    train: DataFrame, label: str = "y", balanced: bool = True, max_iter: int = 800, c: float = 1.0
 ) -> Model:
     """L2 logistic regression on `features`; strength 1/C on the summed, weighted loss.
 
@@ -103,11 +103,22 @@ def fit_mlp(
     ).fit(train)
 
 
-def fit_forest(train: DataFrame, label: str = "y", seed: int = 42, trees: int = 400) -> Model:
-    """Balanced random forest with at least two rows per leaf."""
+def fit_forest(
+    train: DataFrame,
+    label: str = "y",
+    seed: int = 42,
+    trees: int = 400,
+    max_depth: int = 30,
+    max_bins: int = 64,
+) -> Model:
+    """Balanced random forest with at least two rows per leaf.
+
+    `max_depth` is the deepest that the ML library grows; `max_bins` are the split
+    candidates of a feature.
+    """
     rows, _ = with_balanced_weights(train, label)
     return RandomForestClassifier(
-        labelCol=label, weightCol="weight", numTrees=trees, minInstancesPerNode=2, seed=seed
+        labelCol=label, weightCol="weight", numTrees=trees, minInstancesPerNode=2, seed=seed, maxDepth=max_depth, maxBins=max_bins
     ).fit(rows)
 
 

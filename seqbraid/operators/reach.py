@@ -100,19 +100,15 @@ def sampled_path_length(
     parts: DataFrame,
     n_samples: int = 200,
     seed: int = 42,
-    max_nodes: int | None = 50_000,
 ) -> DataFrame:
     """(keys, sampled_avg_shortest_path) from hash-chosen sources in the largest component.
 
-    Null when that component has one node; slices above `max_nodes` are left
-    out, as in the rule this follows.
+    Null when that component has one node. Graphs of every size are walked.
     """
     keys = adjacency.keys
     node = [*keys, "oid"]
     sizes = parts.groupBy(*keys).agg(F.count("*").alias("_n"))
-    small = sizes.filter(F.col("_n") <= max_nodes) if max_nodes else sizes
     pool = parts.filter("component = 0")
-    pool = attach(pool, small, keys, "left_semi") if keys else pool.join(small, how="cross").drop("_n")
     order = Window.partitionBy(*keys).orderBy(draw(seed, "oid"), "oid")
     sources = (
         pool.withColumn("_r", F.row_number().over(order))  # limited map-side before the shuffle
@@ -130,7 +126,9 @@ def sampled_path_length(
         ]
     )
     reached = out.groupBy(*keys).agg(
-        (F.sum(F.col("hop") * F.col("n")) / F.sum("n")).alias("sampled_avg_shortest_path")
+        F.try_divide(F.sum(F.col("hop") * F.col("n")), F.sum("n")).alias(
+            "sampled_avg_shortest_path"
+        )
     )
     return sizes.join(reached, keys, "left").drop("_n") if keys else reached
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from seqbraid.session import broadcast_limit, estimated_bytes, materialise
 
 # Below this input size no single key can be more than a task can carry.
-CHECK_BYTES = 8 << 30
+CHECK_BYTES = 256 << 20
 # A key is hot from this many rows on, so there are at most rows/HOT_ROWS hot keys.
 HOT_ROWS = 2_000_000
 

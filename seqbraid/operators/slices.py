@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqbraid.functions.hashing import draw
-from seqbraid.functions.names import slice_name
+from seqbraid.functions.names import slice_id, slice_name
 from seqbraid.operators.index import oriented_metadata
 from seqbraid.operators.intervals import overlap_counts, window_core
 from seqbraid.operators.ordering import with_position
@@ -28,7 +28,7 @@ def grid_windows(index: DataFrame, targets: Column, window_bp: int, closure: str
         .withColumn("end", F.col("start") + window_bp)
         .withColumn("closure", F.lit(closure))
         .withColumn(
-            "slice_id", slice_name(F.col("target_sn"), F.col("start"), F.col("end"), F.col("closure"))
+            "slice_id", slice_id(F.col("target_sn"), F.col("start"), F.col("end"), F.col("closure"))
         )
     )
 
@@ -120,6 +120,16 @@ def top_counts(rows: DataFrame, value: str, name: str, top_k: int) -> DataFrame:
     return ranked.groupBy("slice_id").agg(F.map_from_entries(pairs).alias(name))
 
 
+def value_counts(rows: DataFrame, value: str, name: str) -> DataFrame:
+    """(slice_id, map of all values and their counts), for a column of few values."""
+    counts = rows.groupBy("slice_id", F.col(value).cast("string").alias("key")).agg(
+        F.count("*").alias("n")
+    )
+    order = F.array_sort(F.collect_list(F.struct(-F.col("n"), "key", "n")))
+    pairs = F.transform(order, lambda e: F.struct(e["key"], e["n"]))
+    return counts.groupBy("slice_id").agg(F.map_from_entries(pairs).alias(name))
+
+
 def name_degrees(slice_links: DataFrame) -> DataFrame:
     """Degree per slice and segment over nodes that have a link."""
     ends = slice_links.select("slice_id", F.explode(F.array("from_seg", "to_seg")).alias("name"))
@@ -146,8 +156,8 @@ def slice_qc(slice_segments: DataFrame, slice_links: DataFrame, top_k: int = 10)
         top_counts(slice_segments, "SR", "SR_counts_top", top_k),
         top_counts(slice_segments, "SN", "SN_counts_top", top_k),
         degree_profile(slice_links),
-        top_counts(slice_links, "from_orient", "from_orient_counts", 1000),
-        top_counts(slice_links, "to_orient", "to_orient_counts", 1000),
+        value_counts(slice_links, "from_orient", "from_orient_counts"),
+        value_counts(slice_links, "to_orient", "to_orient_counts"),
     ):
         out = out.join(part, "slice_id", "left")
     return out.select(
@@ -246,7 +256,7 @@ def _attempt_slices(
     """Windows of one closure with their accepted links and balanced edges."""
     windows = choose_windows(index, attempts, window_bp, seed)
     named = windows.withColumn("closure", F.lit(closure)).withColumn(
-        "slice_id", slice_name(F.col("target_sn"), F.col("start"), F.col("end"), F.lit(closure))
+        "slice_id", slice_id(F.col("target_sn"), F.col("start"), F.col("end"), F.lit(closure))
     )
     # Two attempts may settle on the same window; the first one keeps the name.
     first = materialise(
@@ -275,26 +285,28 @@ def build_slices(
     closures: tuple[str, ...] = ("strict", "1hop"),
     rule: NegativeRule = NegativeRule(),
     seed: int = 42,
+    attempts_per_window: int = ATTEMPTS_PER_WINDOW,
 ) -> dict[str, DataFrame]:
     """Slice tables and manifest: `n_windows` accepted windows per contig and closure.
 
     Attempts are numbered per contig; a window without links or with too few
-    negatives is rejected and a later attempt takes its place, up to 15 per
-    wanted window. All contigs are tried together, one round per batch of
-    attempts. Accepted slices only are returned.
+    negatives is rejected and a later attempt takes its place, up to
+    `attempts_per_window` per wanted window. All contigs are tried together, one round
+    per batch of attempts. `shortfall` (target_sn, closure, wanted, made) lists the
+    contigs that could not be filled, and those without a segment.
     """
     metadata = materialise(oriented_metadata(index))
     # Contigs without a segment can never be filled, so they are not tried.
-    targets = targets.select("SN").distinct().join(index.select("SN"), "SN", "left_semi")
-    targets = targets.withColumnRenamed("SN", "target_sn")
+    asked = targets.select(F.col("SN").alias("target_sn")).distinct()
+    targets = asked.join(index.select(F.col("SN").alias("target_sn")), "target_sn", "left_semi")
     parts: dict[str, list[DataFrame]] = {k: [] for k in ("windows", "segments", "links", "edges")}
     for number, closure in enumerate(closures):
         open_targets = materialise(targets.withColumn("made", F.lit(0).cast("long")))
         begin, batch_size = 0, n_windows
         # Batches of 1, 2, 4 and 8 attempts per wanted window make up the limit.
         remaining = {"rows": 1}
-        while begin < ATTEMPTS_PER_WINDOW * n_windows and remaining["rows"]:
-            last = min(begin + batch_size, ATTEMPTS_PER_WINDOW * n_windows) - 1
+        while begin < attempts_per_window * n_windows and remaining["rows"]:
+            last = min(begin + batch_size, attempts_per_window * n_windows) - 1
             numbers = F.expr(f"sequence({begin}L, {last}L)")
             attempts = open_targets.select("target_sn", F.explode(numbers).alias("attempt"))
             batch = _attempt_slices(
@@ -330,7 +342,15 @@ def build_slices(
     columns = ["segid", "id", "name", "LN", "SN", "SO", "SR"]
     segments = attach(merged["segments"], index.select(*columns), ["segid"], "inner")
     manifest = slice_metadata(merged["windows"], segments, merged["links"], window_bp, rule)
+    wanted = asked.withColumn("closure", F.explode(F.array(*map(F.lit, closures))))
+    made = manifest.groupBy("target_sn", "closure").agg(F.count("*").alias("made"))
+    shortfall = (
+        wanted.join(made, ["target_sn", "closure"], "left")
+        .select("target_sn", "closure", F.lit(n_windows).alias("wanted"), F.coalesce("made", F.lit(0)).alias("made"))
+        .filter("made < wanted")
+    )
     return {
+        "shortfall": shortfall,
         "slice_segments": segments,
         "slice_links": merged["links"],
         "slice_edge_pred": merged["edges"],
@@ -354,10 +374,14 @@ def slice_metadata(
         "negative_tol_frac": rule.tol_frac,
         "negative_degree_matched": rule.degree_matched,
     }
+    plain = slice_links.groupBy("slice_id").agg(
+        F.bool_and(F.col("overlap") == "0M").alias("overlap_all_0M")
+    )
     return (
-        windows.select(
+        windows.join(plain, "slice_id", "left")
+        .select(
             "slice_id",
-            F.col("slice_id").alias("name"),
+            slice_name(F.col("target_sn"), F.col("start"), F.col("end"), F.col("closure")).alias("name"),
             F.lit("window").alias("type"),
             "target_sn",
             "start",
@@ -365,7 +389,7 @@ def slice_metadata(
             F.lit(window_bp).alias("window_bp"),
             "closure",
             F.col("n_core").alias("core_overlap_segments"),
-            F.lit(True).alias("overlap_all_0M"),
+            F.coalesce("overlap_all_0M", F.lit(True)).alias("overlap_all_0M"),
             *[F.lit(v).alias(k) for k, v in settings.items()],
         )
         .join(slice_qc(slice_segments, slice_links), "slice_id")

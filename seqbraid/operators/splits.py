@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqbraid.functions.hashing import draw
@@ -13,38 +13,41 @@ from seqbraid.operators.ordering import with_position
 from seqbraid.operators.skew import attach
 
 
-def validate_split(
-    train: Iterable[str] | None = None,
-    val: Iterable[str] | None = None,
-    test: Iterable[str] | None = None,
-    allow_missing_train: bool = True,
-) -> dict[str, list[str]]:
-    """Normalised, sorted chromosome lists, or one error that names every overlap."""
-    sets = {
-        name: {normalize_chrom_text(str(c)) for c in chroms or []}
-        for name, chroms in (("train", train), ("val", val), ("test", test))
-    }
-    problems = [
-        f"{a}/{b} overlap: {sorted(sets[a] & sets[b])}"
-        for a, b in (("val", "test"), ("train", "val"), ("train", "test"))
-        if sets[a] & sets[b]
-    ]
-    if not allow_missing_train and not sets["train"]:
-        problems.append("train_chrs must be provided")
-    if problems:
-        raise ValueError("; ".join(problems))
-    return {f"{name}_chrs": sorted(chroms) for name, chroms in sets.items()}
+def split_table(spark: SparkSession, **chroms: Iterable[str] | None) -> DataFrame:
+    """(chrom, split) of the chromosomes listed for every split, normalised, each once."""
+    rows = [(split, str(c)) for split, listed in chroms.items() for c in listed or ()]
+    table = spark.createDataFrame(rows, "split string, name string")
+    return table.select(normalize_chrom(F.col("name")).alias("chrom"), "split").distinct()
+
+
+def shared_keys(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """The distinct keys that both tables have."""
+    return a.select(*keys).intersect(b.select(*keys))
+
+
+def split_overlaps(table: DataFrame, key: str = "chrom") -> DataFrame:
+    """(key, splits) of the keys that stand in more than one split."""
+    splits = table.groupBy(key).agg(F.sort_array(F.collect_set("split")).alias("splits"))
+    return splits.filter(F.size("splits") > 1)
+
+
+def require_split(table: DataFrame, *needed: str) -> None:
+    """Raise if a chromosome has two splits, or a needed split has none. The lists are short."""
+    twice = {r.chrom: r.splits for r in split_overlaps(table).limit(100).collect()}
+    if twice:
+        raise ValueError(f"chromosomes in more than one split: {dict(sorted(twice.items()))}")
+    present = {r.split for r in table.select("split").distinct().collect()}
+    if set(needed) - present:
+        raise ValueError(f"no chromosome is listed for {sorted(set(needed) - present)}")
 
 
 def chrom_split(chrom: Column, val: Iterable[str], test: Iterable[str]) -> Column:
-    """test, val or train by chromosome; the two lists must be disjoint."""
-    lists = validate_split(val=val, test=test)
+    """test, val or train by chromosome; a chromosome in both lists is an error."""
+    held = {"val": {*map(normalize_chrom_text, val)}, "test": {*map(normalize_chrom_text, test)}}
+    if held["val"] & held["test"]:
+        raise ValueError(f"chromosomes for both val and test: {sorted(held['val'] & held['test'])}")
     name = normalize_chrom(chrom)
-    return (
-        F.when(name.isin(lists["test_chrs"]), "test")
-        .when(name.isin(lists["val_chrs"]), "val")
-        .otherwise("train")
-    )
+    return F.coalesce(*[F.when(name.isin(*c), s) for s, c in held.items() if c], F.lit("train"))
 
 
 def missing_targets(requested: DataFrame, available: DataFrame) -> DataFrame:

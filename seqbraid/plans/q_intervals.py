@@ -106,12 +106,20 @@ def label_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _remap_sql(scheme: str) -> str:
-    cases = " ".join(f"when {i} then {v}" for i, v in enumerate(lb.SCHEME_LABELS[scheme]))
+    # The expected labels of the nine classes, in class order, stated here once more.
+    expected = {
+        "binary": "011111111",
+        "group3": "021122222",
+        "group4": "021132333",
+        "group5": "021132334",
+        "full9": "012345678",
+    }[scheme]
+    cases = " ".join(f"when {i} then {v}" for i, v in enumerate(expected))
     return oracle(*BASE, f"select segid, cast(case ccre_label {cases} end as integer) as y from labels_n")
 
 
 def _register_scheme(key: str, scheme: str) -> None:
-    @query(key, _remap_sql(lb.canonical_scheme(scheme)))
+    @query(key, _remap_sql(key.removeprefix("label_")))
     def remapped(spark: SparkSession, sf_dir: str) -> DataFrame:
         return lb.label_set(labels(spark, sf_dir), scheme)[0].select("segid", "y")
 
@@ -152,7 +160,7 @@ def label_category_all_negative(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("segid", "y")
 
 
-_GROUP4 = " ".join(f"when {i} then {v}" for i, v in enumerate(lb.SCHEME_LABELS["group4"]))
+_GROUP4 = " ".join(f"when {i} then {v}" for i, v in enumerate("021132333"))
 _GROUP4_NAMES = ", ".join(f"({i}, '{n}')" for i, n in enumerate(lb.SCHEME_CLASSES["group4"]))
 GROUP4_SQL = f"""
 g4 as (select segid, chrom, case ccre_label {_GROUP4} end as y from labels_n),

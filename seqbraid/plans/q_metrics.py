@@ -225,15 +225,14 @@ def per_chrom_f1_present(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Links of one-hop slices as scored edges: some slices have one class or few rows.
 EDGE_SQL = """
 se as (select slice_id, u, v, case when link_id % 7 < 3 then 1 else 0 end as y,
-         ((link_id * 37) % 101) / 101.0 as p from sk where link_id % 11 < 9)"""
+         ((link_id * 37) % 101) / 101.0 as p from sk)"""
 
 
 def scored_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     link = F.col("link_id")
     return (
         slices(spark, sf_dir, "1hop")
-        .links.filter("link_id % 11 < 9")
-        .select(
+        .links.select(
             "slice_id",
             "u",
             "v",
@@ -369,7 +368,7 @@ def weighted_logloss(spark: SparkSession, sf_dir: str) -> DataFrame:
     "multiclass_focal",
     """with x as (select vec_id, label, cast(unnest(embedding) as double) as z,
                     generate_subscripts(embedding, 1) - 1 as p from embeddings),
-        lg as (select * from x where p < 10),
+        lg as (select * from x),
         ag as (select vec_id, label, ln(sum(exp(z))) as lse, avg(z) as mz,
                  sum(z) filter (p = label) as zt from lg group by vec_id, label),
         tl as (select label, zt - lse as lt, lse - mz as sm, 0.5 + 0.1 * label as w from ag)
@@ -378,8 +377,8 @@ def weighted_logloss(spark: SparkSession, sf_dir: str) -> DataFrame:
        from tl group by label""",
 )
 def multiclass_focal_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    logits = F.slice(F.col("embedding").cast("array<double>"), 1, 10)
-    weights = [0.5 + 0.1 * i for i in range(10)]
+    logits = F.col("embedding").cast("array<double>")
+    weights = [0.5 + 0.1 * i for i in range(64)]
     loss = multiclass_focal(logits, F.col("label"), 2.0, weights, 0.1)
     table = read(spark, sf_dir, "embeddings").groupBy("label").agg(
         F.count("*").alias("n"), F.avg(loss).alias("loss")

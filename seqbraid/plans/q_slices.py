@@ -25,8 +25,8 @@ def windows_sql(closure: str) -> str:
 win as (
   select distinct SN as target_sn, SO // {WINDOW_BP} * {WINDOW_BP} as w_start,
          SO // {WINDOW_BP} * {WINDOW_BP} + {WINDOW_BP} as w_end,
-         concat('slice_', replace(SN, '#', '_'), '_', SO // {WINDOW_BP} * {WINDOW_BP}, '_',
-                SO // {WINDOW_BP} * {WINDOW_BP} + {WINDOW_BP}, '_{closure}') as slice_id
+         concat('slice_', md5(concat(SO // {WINDOW_BP} * {WINDOW_BP}, '|',
+                SO // {WINDOW_BP} * {WINDOW_BP} + {WINDOW_BP}, '|{closure}|', SN))) as slice_id
   from seg_u where SN like 'GRCh38%'),
 core as (
   select slice_id, segid from win join seg_u on SN = target_sn and SO < w_end and SO + LN > w_start)"""

@@ -34,7 +34,7 @@ l_ord as (
   select l_orderkey as a, case when l_returnflag = 'R' then '-' else '+' end as fo, l_partkey,
          row_number() over (order by l_partkey, l_shipdate, l_orderkey, l_linenumber,
                                      l_suppkey, l_extendedprice) - 1 as link_id
-  from lineitem where l_linenumber <= 3),
+  from lineitem),
 g_link as (
   select x.link_id, concat('s', x.a) as from_seg, x.fo as from_orient,
          concat('s', y.a) as to_seg, y.fo as to_orient, '0M' as overlap
@@ -100,7 +100,6 @@ def raw_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     ends = (
         read(spark, sf_dir, "lineitem")
-        .filter("l_linenumber <= 3")
         .select(
             *order, F.when(F.col("l_returnflag") == "R", "-").otherwise("+").alias("from_orient")
         )

@@ -10,11 +10,6 @@ from seqbraid.operators.skew import attach
 from seqbraid.session import materialise, materialise_counted
 
 
-# File blocks up to this number are joined by broadcast, 16 bytes each. At the
-# default block size that is half a petabyte of text.
-BROADCAST_BLOCKS = 4_000_000
-
-
 def _scan(spark: SparkSession, path: str) -> DataFrame:
     """Text lines with the file block they come from, in scan order."""
     return spark.read.text(path).select(
@@ -36,15 +31,14 @@ def _number_blocks(lines: DataFrame, name: str) -> DataFrame:
     sizes = rows.groupBy(*block).agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
     # One row per file block, far fewer than lines.
     before = Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
-    shifts, counted = materialise_counted(
+    # Written, so that the planner sees its size and broadcasts it only if it is small.
+    shifts = materialise(
         sizes.select(
             F.xxhash64("_path").alias("_file"),
             "_start",
             (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"),
         )
     )
-    if counted["rows"] <= BROADCAST_BLOCKS:
-        shifts = F.broadcast(shifts)
     shift = F.coalesce("_shift", F.raise_error(F.lit("file blocks changed between two scans")))
     return (
         rows.withColumn("_file", F.xxhash64("_path"))

@@ -41,6 +41,10 @@ def csv_columns(spark: SparkSession, path: str) -> list[str]:
     return spark.read.option("header", True).csv(path).columns
 
 
+# Stands for null in a CSV file; no field of a graph table has a control character.
+NO_NULL = "\x00"
+
+
 def missing_columns(found: Iterable[str], required: Iterable[str]) -> list[str]:
     have = set(found)
     return [c for c in required if c not in have]
@@ -57,7 +61,11 @@ def _read_checked(spark: SparkSession, path: str, schema: T.StructType, required
         columns = T.StructType([T.StructField(c, types.get(c, T.StringType())) for c in header])
         # An empty CSV field is an empty string; a segment may be called NA.
         table = (
-            spark.read.schema(columns).option("header", True).option("emptyValue", "").csv(path)
+            spark.read.schema(columns)
+            .option("header", True)
+            .option("emptyValue", "")
+            .option("nullValue", NO_NULL)
+            .csv(path)
         )
     if absent:
         raise ValueError(f"{path} lacks the columns {absent}")
@@ -167,6 +175,7 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame
     return spark.read.schema(schema).json(path)
 
 
+FILES_PER_CONTIG = 8
 SLICE_TABLES = ("slice_segments", "slice_links", "slice_edge_pred")
 
 
@@ -178,7 +187,9 @@ def write_slices(tables: dict[str, DataFrame], manifest: DataFrame, path: str) -
     layout = manifest.select("slice_id", "closure", "target_sn")
     for name in SLICE_TABLES:
         table = tables[name].drop("closure", "target_sn").join(layout, "slice_id")
-        table.write.mode("overwrite").partitionBy("closure", "target_sn").parquet(f"{path}/{name}")
+        # Salted by slice, so that a large contig is written by several tasks, a small one by few.
+        spread = table.repartition("closure", "target_sn", F.pmod(F.xxhash64("slice_id"), F.lit(FILES_PER_CONTIG)))
+        spread.write.mode("overwrite").partitionBy("closure", "target_sn").parquet(f"{path}/{name}")
     manifest.write.mode("overwrite").parquet(f"{path}/manifest")
 
 

@@ -87,13 +87,17 @@ def test_rollup_skips_undefined_metrics(spark):
 
 def test_label_spaces(spark):
     df = spark.createDataFrame([(i,) for i in range(9)] + [(-100,), (None,)], "ccre_label int")
-    for scheme, classes in lb.SCHEME_LABELS.items():
+    expected = {"binary": "011111111", "group3": "021122222", "group4": "021132333", "group5": "021132334"}
+    for scheme, digits in expected.items():
+        classes = [int(c) for c in digits]
         got, names = lb.label_set(df, scheme)
         assert sorted(rows(got)) == sorted(enumerate(classes)) and max(classes) < len(names)
     some, _ = lb.label_set(df, "category-binary", "Promoter-Like")
     assert sorted(rows(some)) == [(0, 0), (1, 1), (5, 1)]
-    assert lb.n_classes("4class") == 4 and lb.canonical_scheme("Binary-CCRE") == "binary"
-    assert lb.describe_scheme("category_binary", "ca")["positive_original_labels"] == ["CA"]
+    assert lb.n_classes("4class") == 4 and lb.scheme_name("Binary-CCRE") == "binary"
+    table = lb.scheme_table(spark)
+    assert rows(table.filter("scheme = 'category:ca' and y = 1").select("element_class")) == [("CA",)]
+    assert table.filter("scheme = 'group5'").count() == 9
     for bad in (lambda: lb.scheme_classes("six"), lambda: lb.category_label(F.lit(1), "zzz")):
         with pytest.raises(ValueError):
             bad()
@@ -103,11 +107,18 @@ def test_label_spaces(spark):
 
 
 def test_splits(spark):
-    assert sp.validate_split(val=["GRCh38#0#chr2"], test=["chr1", "chr3"])["val_chrs"] == ["chr2"]
-    with pytest.raises(ValueError, match="val/test overlap: .*; train/test overlap"):
-        sp.validate_split(["chr1"], ["chr2"], ["chr2", "a#chr1"])
-    with pytest.raises(ValueError, match="provided"):
-        sp.validate_split(allow_missing_train=False)
+    good = sp.split_table(spark, train=["chr9"], val=["X#0#chr2", "chr2"], test=["chr4"])
+    assert rows(good, "chrom") == [("chr2", "val"), ("chr4", "test"), ("chr9", "train")]
+    sp.require_split(good, "train", "val")
+    bad = sp.split_table(spark, val=["chr5", "chr6"], test=["a#chr6"])
+    assert rows(sp.split_overlaps(bad)) == [("chr6", ["test", "val"])]
+    assert rows(sp.shared_keys(good, bad, ["chrom"])) == []
+    with pytest.raises(ValueError, match="chr6"):
+        sp.require_split(bad)
+    with pytest.raises(ValueError, match="train"):
+        sp.require_split(sp.split_table(spark, val=["chr5"]), "train")
+    with pytest.raises(ValueError, match="both"):
+        sp.chrom_split(F.col("c"), ["chr1"], ["k#chr1"])
     edges = spark.createDataFrame([("a", i) for i in range(25)] + [("b", i) for i in range(13)], "slice_id string, k long")
     got = sp.slice_split(edges, ["k"]).groupBy("slice_id", "split").count()
     assert dict(((r[0], r[1]), r[2]) for r in got.collect()) == {
