@@ -28,7 +28,10 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 def line_key(line: Column) -> Column:
     """The line without ASCII white space at both ends, A-Z in lower case."""
     stripped = F.trim(line, F.lit(_BLANK))
-    return F.translate(stripped, _UPPER, _UPPER.lower())
+    # lower() works on bytes where a line is ASCII and equals translate() there only.
+    return F.when(F.octet_length(line) == F.length(line), F.lower(stripped)).otherwise(
+        F.translate(stripped, _UPPER, _UPPER.lower())
+    )
 
 
 def _lines(text: Column) -> Column:
@@ -74,7 +77,7 @@ def dropped_lines(
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """doc_id and the sorted positions of its lines that go; only documents that lose any."""
-    rows = line_rows(docs, min_chars)
+    rows = materialise(line_rows(docs, min_chars))
     keys = materialise(repeated_keys(rows, min_docs))
     later = F.col("doc_id") > F.col("first_doc")
     lost = lookup(rows, keys, "hash", "n_lines", hot_rows).filter(later)
@@ -98,8 +101,11 @@ def dedup_lines(
     """
     gone = materialise(dropped_lines(docs, min_chars, min_docs, hot_rows))
     gone = gone.select(F.col("doc_id").alias("_gone_id"), F.col("gone").alias("_gone"))
-    joined = docs.join(gone, docs["doc_id"] == gone["_gone_id"], "left").drop("_gone_id")
+    # The list grows with the documents, so it is merged at every size.
+    joined = docs.join(gone.hint("merge"), docs["doc_id"] == gone["_gone_id"], "left")
+    joined = joined.drop("_gone_id")
     lines = _lines(text_of())
+    breaks = F.octet_length(text_of()) - F.octet_length(F.replace(text_of(), F.lit("\n"), F.lit("")))
     kept = F.when(
         F.col("_gone").isNull(), text_of()
     ).otherwise(
@@ -107,7 +113,7 @@ def dedup_lines(
     )
     return joined.withColumns(
         {
-            "n_lines": F.size(lines).cast("long"),
+            "n_lines": (breaks + 1).cast("long"),
             "n_dropped": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"),
             "text": kept,
         }
