@@ -12,20 +12,25 @@ Jaccard similarity. Coordinates that got no dart make the document look further
 (theta doubles), which never changes those already filled.
 
 Bands of rows_per_band coordinates are joined. Buckets are not expanded into pairs:
-in every round a few leaders of each unfinished bucket are compared, by exact
-weighted Jaccard, with the members that are not yet in their component, and then
+in every round a few leaders of each unfinished bucket, those with the most company
+first, are compared with the members that are not yet in their component, and then
 leave the bucket. A bucket is finished when all its members are connected. So every
-pair of a bucket is either compared or already connected through verified links, and
-a group of thousands of near copies costs one comparison per member and leader.
+pair of a bucket is either compared or already connected through verified links.
+
+A comparison first counts the bits in which two sketches differ, one bit for each of
+1,024 further coordinates; only pairs within four standard deviations of the
+threshold are written and compared by exact weighted Jaccard. A large group of copies
+that are mostly less similar to each other than the threshold writes few pairs.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqbraid.llm.common import lookup, map_arrow, materialise, text_of
@@ -37,6 +42,7 @@ SIMILARITY_PERCENT = 80
 BANDS = 24
 ROWS = 5
 HOT_ROWS = 10_000
+SKETCH_BITS = 1024
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -146,18 +152,39 @@ def signed(docs: DataFrame, bands: int = BANDS, rows_per_band: int = ROWS) -> Da
     )
 
 
+def bit_sketches(element: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """rows x 16 words: one bit of the earliest dart of each of 1,024 coordinates."""
+    sign = mix(signatures(element, row, rows, SKETCH_BITS) ^ _STEP) >> np.uint64(63)
+    packed = np.packbits(sign.astype(np.uint8), axis=1, bitorder="little")
+    return packed.view(np.int64).reshape(rows, SKETCH_BITS // 64)
+
+
+def most_different_bits(percent: int) -> int:
+    """Differing sketch bits of a pair at the similarity, plus four standard deviations."""
+    p = (1 - percent / 100) / 2
+    return int(SKETCH_BITS * p + 4 * (SKETCH_BITS * p * (1 - p)) ** 0.5)
+
+
+def different_bits(a: str, b: str) -> Column:
+    words = [F.bit_count(F.get(a, i).bitwiseXOR(F.get(b, i))) for i in range(SKETCH_BITS // 64)]
+    return reduce(Column.__add__, words)
+
+
 def element_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, elems: the distinct elements of every document."""
+    """doc_id, elems (the distinct elements) and sketch of every document."""
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = []
+            sets, sketches = [], []
             for part in slices(batch.column(1)):
                 element, row = elements(part)
                 cuts = np.searchsorted(row, np.arange(1, part.rows))
                 sets += np.split(element.view(np.int64), cuts)
+                sketches += list(bit_sketches(element, row, part.rows))
+            longs = pa.list_(pa.int64())
             return pa.record_batch(
-                [batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "elems"]
+                [batch.column(0), pa.array(sets, longs), pa.array(sketches, longs)],
+                ["doc_id", "elems", "sketch"],
             )
 
         return each
@@ -165,7 +192,7 @@ def element_sets(docs: DataFrame) -> DataFrame:
     return map_arrow(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")),
         make,
-        "doc_id long, elems array<long>",
+        "doc_id long, elems array<long>, sketch array<long>",
     )
 
 
@@ -193,7 +220,7 @@ def classes(
     Documents of the same text (null as empty) are one class without being compared, and
     only the smallest of them goes on; n_copies counts them. Texts without words other
     than equal ones link to nothing. With the default bands a pair at the threshold is
-    missed with probability 7e-5, a pair at 0.85 with 1e-6. doc_id must be unique; an
+    missed with probability 1e-4, a pair at 0.85 with 1e-6. doc_id must be unique; an
     empty table gives an empty result, and further columns are not read.
     """
     rows = materialise(signed(docs, bands, rows_per_band))
@@ -220,9 +247,14 @@ def _linked(docs: DataFrame, banded: DataFrame, percent: int, hot_rows: int) ->
     buckets = materialise(
         entries.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     )
-    open_rows = materialise(lookup(entries, buckets, "key", "_n", hot_rows).select("key", "doc_id"))
-    labels = materialise(open_rows.select("doc_id").distinct().withColumn("comp", F.col("doc_id")))
-    sets = materialise(element_sets(docs.join(labels.select("doc_id"), "doc_id", "left_semi")))
+    shared = materialise(lookup(entries, buckets, "key", "_n", hot_rows))
+    company = materialise(shared.groupBy("doc_id").agg(F.sum("_n").alias("company")))
+    labels = company.select("doc_id", F.col("doc_id").alias("comp"))
+    sets = materialise(element_sets(docs.join(company.select("doc_id"), "doc_id", "left_semi")))
+    known = company.join(sets.select("doc_id", "sketch"), "doc_id")
+    open_rows = materialise(shared.select("key", "doc_id").join(known, "doc_id"))
+    most = most_different_bits(percent)
+    member = F.struct(F.col("doc_id").alias("lead"), "sketch", "comp")
     leaders_per_bucket = 1
     while True:
         # Buckets whose members are all in one component are finished.
@@ -233,25 +265,29 @@ def _linked(docs: DataFrame, banded: DataFrame, percent: int, hot_rows: int) ->
         unfinished = materialise(state.filter("_lo < _hi").select("key", "_n"))
         if unfinished.isEmpty():
             return labels
-        placed = materialise(lookup(placed, unfinished, "key", "_n", hot_rows).drop("_n"))
+        placed = materialise(lookup(placed, unfinished, "key", "_n", hot_rows))
         if leaders_per_bucket == 1:
-            # The smallest id, by a partial aggregate.
-            leaders = placed.groupBy("key").agg(F.min("doc_id").alias("lead"))
+            best = F.max_by(member, F.struct("company", -F.col("doc_id")))
+            leaders = placed.groupBy("key").agg(best.alias("_l"), F.max("_n").alias("_n"))
         else:
-            first = Window.partitionBy("key").orderBy("doc_id")
+            first = Window.partitionBy("key").orderBy(F.desc("company"), "doc_id")
             leaders = (
                 placed.withColumn("_k", F.row_number().over(first))
                 .filter(F.col("_k") <= leaders_per_bucket)
-                .select("key", F.col("doc_id").alias("lead"))
+                .select("key", member.alias("_l"), "_n")
+            )
+        leaders = materialise(
+            leaders.select(
+                "key", "_l.lead", F.col("_l.sketch").alias("_s"), F.col("_l.comp").alias("_c"), "_n"
             )
-        leaders = materialise(leaders)
-        named = leaders.join(labels.withColumnRenamed("doc_id", "lead"), "lead").select(
-            "key", "lead", F.col("comp").alias("_lead_comp")
         )
-        sized = named.join(unfinished, "key")
+        rows = placed.drop("_n")
+        if leaders_per_bucket <= 8:
+            met = lookup(rows, leaders, "key", "_n", hot_rows)
+        else:
+            met = rows.join(leaders, "key")
         pairs = (
-            lookup(placed, sized, "key", "_n", hot_rows)
-            .filter("comp <> _lead_comp")
+            met.filter((F.col("comp") != F.col("_c")) & (different_bits("sketch", "_s") <= most))
             .select(F.least("doc_id", "lead").alias("a"), F.greatest("doc_id", "lead").alias("b"))
             .distinct()
         )
@@ -260,7 +296,7 @@ def _linked(docs: DataFrame, banded: DataFrame, percent: int, hot_rows: int) ->
             labels = materialise(_merged(labels, links))
         gone = leaders.select("key", F.col("lead").alias("doc_id"))
         open_rows = materialise(
-            placed.select("key", "doc_id").join(gone, ["key", "doc_id"], "left_anti")
+            rows.drop("comp").join(gone, ["key", "doc_id"], "left_anti")
         )
         leaders_per_bucket *= 8
 

@@ -163,6 +163,20 @@ def test_chain_in_one_bucket(spark):
     assert got == brute_classes(docs)
 
 
+def test_large_group_of_loose_copies(spark):
+    """Copies of one text, most of them less similar to each other than the threshold."""
+    draw = random.Random(9)
+    base = [draw.choice([f"b{i}" for i in range(900)]) for _ in range(150)]
+    docs = {}
+    for i in range(120):
+        rate = draw.choice([0.005, 0.01, 0.02, 0.04, 0.08])
+        docs[i] = " ".join(f"x{draw.random()}" if draw.random() < rate else w for w in base)
+    expected = brute_classes(docs)
+    assert 5 < len(set(expected.values())) < 100
+    got = {r.doc_id: r.class_id for r in neardup.classes(make(spark, docs), hot_rows=20).collect()}
+    assert got == expected
+
+
 def test_signatures_estimate_weighted_similarity():
     draw = random.Random(6)
     base = [f"t{i}" for i in range(300)] * 2
