@@ -241,7 +241,7 @@ def negatives_sql(rule: sm.NegativeRule, seed: int) -> str:
     pool = "slice_id, SN" if "SN" in rule.pool else "slice_id"
     same = "and a.SN = x.SN" if "SN" in rule.pool else ""
     same_v = same.replace("x.", "y.")
-    limit = sm.TRY_LIMIT[rule.sampler]
+    limit = {"random": 80, "hard_coord_degree": 200, "distance_matched": 400}[rule.sampler]
     accept = "x.oid <> y.oid"
     if rule.anchored:
         tolerance = (
@@ -285,7 +285,7 @@ _RULES = {
     "neg_band": ("strict", sm.NegativeRule("hard_coord_degree", True, coord_band=50_000)),
     "neg_distance": ("strict", sm.NegativeRule("distance_matched", True)),
     "neg_distance_degree": (
-        "1hop",
+        "strict",
         sm.NegativeRule("distance_matched", False, tol_bp=5_000, degree_matched=True),
     ),
 }
