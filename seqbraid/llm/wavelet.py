@@ -13,8 +13,10 @@ planes, compressed by the file format. They are written and read by Spark only.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,6 +38,7 @@ RANGE_BYTES = 128 << 20
 UNKNOWN_BYTES = 1 << 60
 BLOCK = 512
 MEMO_ENTRIES = 400_000
+ENCODE_ROWS = 64
 
 SHARD_SCHEMA = (
     "part int, seq int, part_start long, n_tokens long, doc_ids array<long>, "
@@ -137,24 +140,30 @@ class WaveletMatrix:
 
     def unpack(self) -> np.ndarray:
         """All ids in order."""
+        wide = np.uint16 if len(self.planes) <= 16 else np.uint32
         order = np.arange(self.n, dtype=np.uint32)
-        value = np.zeros(self.n, np.uint32)
+        value = np.zeros(self.n, wide)
         for plane in self.planes:
-            one = np.unpackbits(plane, count=self.n, bitorder="little").astype(bool)
-            value = (value << np.uint32(1)) | one
-            zero = ~one
-            order = np.concatenate((order[zero], order[one]))
-            value = np.concatenate((value[zero], value[one]))
-        out = np.empty(self.n, np.uint32)
+            one = np.unpackbits(plane, count=self.n, bitorder="little").view(bool)
+            value = (value << wide(1)) | one
+            dealt = np.concatenate((np.flatnonzero(~one), np.flatnonzero(one)))
+            order, value = order[dealt], value[dealt]
+        out = np.empty(self.n, wide)
         out[order] = value
-        return out
+        return out.astype(np.uint32)
+
+
+# A Latin-1 word and the punctuation after it; the pre-tokeniser cuts between the two.
+_WORD_AND_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 
 
 class WordEncoder:
-    """Ids of whole texts from a tokenizers file that drops white space.
+    """Ids of whole texts from a tokenizers file that folds case and drops white space.
 
     No pre-token spans a blank or a newline, so a text is encoded between those by the
-    library, each distinct stretch once while it is remembered.
+    library, each distinct stretch once while it is remembered. A stretch that is a
+    Latin-1 word with marks after it is put together from the ids of the folded word and
+    of the marks, as many stretches share those.
     """
 
     def __init__(self, path: str):
@@ -164,26 +173,44 @@ class WordEncoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._memo = Memo(MEMO_ENTRIES)
         self._memo.put("", b"")
+        self._parts = Memo(MEMO_ENTRIES)
+        self._parts.put("", b"")
+
+    def _look_up(self, parts: set[str]) -> dict[str, bytes]:
+        """The ids of some stretches or parts of stretches, by one call of the library."""
+        found = {p: self._parts.get(p) for p in parts}
+        fresh = [p for p, ids in found.items() if ids is None]
+        if fresh:
+            encoded = self._tokenizer.encode_batch(fresh, add_special_tokens=False)
+            for p, e in zip(fresh, encoded, strict=True):
+                found[p] = array("I", e.ids).tobytes()
+                self._parts.put(p, found[p])
+        return found
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        memo = self._memo
+        cut = [t.replace("\n", " ").split(" ") for t in texts]
+        found = [list(map(memo.young.get, stretches)) for stretches in cut]
+        missing = {s for stretches in cut for s in set(stretches).difference(memo.young)}
+        held = {s: memo.get(s) for s in missing}
+        split: dict[str, tuple[str, ...]] = {}
+        for s, known in held.items():
+            if known is None:
+                match = _WORD_AND_MARKS.fullmatch(s)
+                split[s] = (match[1].lower(), match[2]) if match else (s,)
+        parts = self._look_up({p for own in split.values() for p in own})
+        for s, own in split.items():
+            held[s] = parts[own[0]] if len(own) == 1 else parts[own[0]] + parts[own[1]]
+            memo.put(s, held[s])
+        for stretches, ids in zip(cut, found, strict=True):
+            if None in ids:
+                for i, known in enumerate(ids):
+                    if known is None:
+                        ids[i] = held[stretches[i]]
+        return [np.frombuffer(b"".join(ids), "<u4") for ids in found]
 
     def encode(self, text: str) -> np.ndarray:
-        stretches = text.replace("\n", " ").split(" ")
-        memo = self._memo
-        found = list(map(memo.young.get, stretches))
-        if None in found:
-            fresh = dict.fromkeys(
-                s for s, ids in zip(stretches, found, strict=True) if ids is None and memo.get(s) is None
-            )
-            if fresh:
-                encoded = self._tokenizer.encode_batch(list(fresh), add_special_tokens=False)
-                for s, e in zip(fresh, encoded, strict=True):
-                    fresh[s] = np.asarray(e.ids, "<u4").tobytes()
-            for i, ids in enumerate(found):
-                if ids is None:
-                    ids = memo.get(stretches[i])
-                    found[i] = fresh[stretches[i]] if ids is None else ids
-            for s, ids in fresh.items():
-                memo.put(s, ids)
-        return np.frombuffer(b"".join(found), "<u4")
+        return self.encode_all([text])[0]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -232,6 +259,13 @@ def write_shards(
         parts = max(parts, -(-size // RANGE_BYTES))
     placed = texts.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
 
+    def encoded(own: WordEncoder, batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+        for at in range(0, batch.num_rows, ENCODE_ROWS):
+            part = batch.slice(at, ENCODE_ROWS)
+            yield from zip(
+                part.column(0).to_pylist(), own.encode_all(part.column(1).to_pylist()), strict=True
+            )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = word_encoder(tokenizer)
         part = TaskContext.get().partitionId()
@@ -240,8 +274,8 @@ def write_shards(
         held: list[np.ndarray] = []
         names: list = []
         for batch in batches:
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.concatenate((own.encode(text), end))
+            for name, ids in encoded(own, batch):
+                ids = np.concatenate((ids, end))
                 if held and size + len(ids) > shard_tokens:
                     yield _shard(part, seq, start, names, held)
                     seq, start, size, held, names = seq + 1, start + size, 0, [], []
