@@ -257,7 +257,9 @@ def _linked(
     shared = materialise(lookup(entries, buckets, "key", "_n", hot_rows))
     company = materialise(shared.groupBy("doc_id").agg(F.sum("_n").alias("company")))
     labels = company.select("doc_id", F.col("doc_id").alias("comp"))
-    sets = materialise(element_sets(docs.join(company.select("doc_id"), "doc_id", "left_semi")))
+    # The id lists grow with the documents, so they are merged at every size.
+    wanted = company.select("doc_id").hint("merge")
+    sets = materialise(element_sets(docs.join(wanted, "doc_id", "left_semi")))
     known = company.join(sets.select("doc_id", "sketch"), "doc_id").join(banded, "doc_id")
     open_rows = materialise(shared.select("key", "band", "doc_id").join(known, "doc_id"))
     most = most_different_bits(percent)
@@ -333,4 +335,5 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs` whose id is the smallest of its class, with their own columns."""
     found = classes(docs, **options).filter("doc_id = class_id").select("doc_id")
-    return docs.join(materialise(found), "doc_id", "left_semi").select(*docs.columns)
+    kept = materialise(found).hint("merge")
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
