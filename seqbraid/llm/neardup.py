@@ -19,8 +19,12 @@ pair of a bucket is either compared or already connected through verified links.
 
 A comparison first counts the bits in which two sketches differ, one bit for each of
 1,024 further coordinates; only pairs within four standard deviations of the
-threshold are written and compared by exact weighted Jaccard. A large group of copies
-that are mostly less similar to each other than the threshold writes few pairs.
+threshold are written and compared by exact weighted Jaccard. Before that a parity
+sketch refutes pairs without error: every element flips one of 1,024 bits, so two
+parity sketches differ in at most as many bits as the texts have unshared elements. It
+tells short texts apart almost exactly and says nothing on very long ones, which the
+first sketch tells apart. A large group of copies that are mostly less similar to each
+other than the threshold writes few pairs.
 """
 
 from __future__ import annotations
@@ -43,6 +47,7 @@ BANDS = 24
 ROWS = 5
 HOT_ROWS = 10_000
 SKETCH_BITS = 1024
+PARITY_BITS = 1024
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -165,30 +170,54 @@ def most_different_bits(percent: int) -> int:
     return int(SKETCH_BITS * p + 4 * (SKETCH_BITS * p * (1 - p)) ** 0.5)
 
 
-def different_bits(a: str, b: str) -> Column:
-    words = [F.bit_count(F.get(a, i).bitwiseXOR(F.get(b, i))) for i in range(SKETCH_BITS // 64)]
+def different_bits(a: str, b: str, bits: int = SKETCH_BITS) -> Column:
+    words = [F.bit_count(F.get(a, i).bitwiseXOR(F.get(b, i))) for i in range(bits // 64)]
     return reduce(Column.__add__, words)
 
 
+def parity_sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """rows x 16 words: whether an odd number of the distinct elements fall on each of 1,024 bits."""
+    sizes = [len(x) for x in sets]
+    spot = (np.concatenate(sets).view(np.uint32) % PARITY_BITS).astype(np.int64)
+    spot += np.repeat(np.arange(len(sets)), sizes) * PARITY_BITS
+    odd = (np.bincount(spot, minlength=len(sets) * PARITY_BITS) & 1).astype(np.uint8)
+    packed = np.packbits(odd.reshape(len(sets), PARITY_BITS), axis=1, bitorder="little")
+    return packed.view(np.int64).reshape(len(sets), PARITY_BITS // 64)
+
+
+def may_be_similar(percent: int, x: str, y: str, n_x: str, n_y: str) -> Column:
+    """False only for pairs below the similarity: unshared elements d, of n_x + n_y in all,
+    of a pair at s satisfy d (1 + s) <= (n_x + n_y) (1 - s)."""
+    unshared = F.greatest(different_bits(x, y, PARITY_BITS), F.abs(F.col(n_x) - F.col(n_y)))
+    return unshared * (100 + percent) <= (F.col(n_x) + F.col(n_y)) * (100 - percent)
+
+
 def element_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, elems (the distinct elements, cut to 32 bits) and sketch of every document.
+    """doc_id, elems (the distinct elements, cut to 32 bits) and both sketches of every document.
 
     Two texts of 20,000 words share 0.1 elements by chance, which moves no similarity by 1e-5.
     """
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets, sketches = [], []
+            sets, sketches, parities = [], [], []
             for part in slices(batch.column(1)):
                 element, row = elements(part)
                 cuts = np.searchsorted(row, np.arange(1, part.rows))
                 short = element.astype(np.uint32).view(np.int32)
-                sets += [np.unique(x) for x in np.split(short, cuts)]
+                mine = [np.unique(x) for x in np.split(short, cuts)]
+                sets += mine
+                parities += list(parity_sketches(mine))
                 sketches += list(bit_sketches(element, row, part.rows))
             kinds = pa.list_(pa.int32()), pa.list_(pa.int64())
             return pa.record_batch(
-                [batch.column(0), pa.array(sets, kinds[0]), pa.array(sketches, kinds[1])],
-                ["doc_id", "elems", "sketch"],
+                [
+                    batch.column(0),
+                    pa.array(sets, kinds[0]),
+                    pa.array(sketches, kinds[1]),
+                    pa.array(parities, kinds[1]),
+                ],
+                ["doc_id", "elems", "sketch", "parity"],
             )
 
         return each
@@ -196,7 +225,7 @@ def element_sets(docs: DataFrame) -> DataFrame:
     return map_arrow(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")),
         make,
-        "doc_id long, elems array<int>, sketch array<long>",
+        "doc_id long, elems array<int>, sketch array<long>, parity array<long>",
     )
 
 
@@ -260,10 +289,13 @@ def _linked(
     # The id lists grow with the documents, so they are merged at every size.
     wanted = company.select("doc_id").hint("merge")
     sets = materialise(element_sets(docs.join(wanted, "doc_id", "left_semi")))
-    known = company.join(sets.select("doc_id", "sketch"), "doc_id").join(banded, "doc_id")
+    short = sets.select("doc_id", "sketch", "parity", F.size("elems").alias("n_elems"))
+    known = company.join(short, "doc_id").join(banded, "doc_id")
     open_rows = materialise(shared.select("key", "band", "doc_id").join(known, "doc_id"))
     most = most_different_bits(percent)
-    member = F.struct(F.col("doc_id").alias("lead"), "sketch", "comp", "bands")
+    member = F.struct(
+        F.col("doc_id").alias("lead"), "sketch", "parity", "n_elems", "comp", "bands"
+    )
     # A pair is compared in the bucket of the first band it shares only.
     earlier = [
         (F.col("band") > i) & (F.get("bands", i) == F.get("_b", i)) for i in range(bands - 1)
@@ -295,6 +327,8 @@ def _linked(
                 "key",
                 "_l.lead",
                 F.col("_l.sketch").alias("_s"),
+                F.col("_l.parity").alias("_p"),
+                F.col("_l.n_elems").alias("_e"),
                 F.col("_l.comp").alias("_c"),
                 F.col("_l.bands").alias("_b"),
                 "_n",
@@ -307,6 +341,7 @@ def _linked(
             met = rows.join(leaders, "key")
         pairs = (
             met.filter((F.col("comp") != F.col("_c")) & (different_bits("sketch", "_s") <= most))
+            .filter(may_be_similar(percent, "parity", "_p", "n_elems", "_e"))
             .filter(~met_before)
             .select(F.least("doc_id", "lead").alias("a"), F.greatest("doc_id", "lead").alias("b"))
             .distinct()

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 from conftest_llm import EDGE_TEXTS
+from pyspark.sql import functions as F
 
 from seqbraid.llm import neardup, quality, textnp, tiling
 
@@ -177,6 +178,39 @@ def test_large_group_of_loose_copies(spark):
     assert got == expected
 
 
+def test_parity_sketches_never_refute_a_similar_pair(spark):
+    draw = random.Random(11)
+    sets = [np.zeros(0, np.int32), np.array([5], np.int32)]
+    for size in (3, 60, 60, 150, 150, 4000):
+        base = draw.sample(range(-(2**31), 2**31), size)
+        for part in (1, 0.95, 0.9, 0.8, 0.6):
+            other = draw.sample(range(-(2**31), 2**31), size - int(part * size))
+            sets.append(np.unique(np.array(base[: int(part * size)] + other, np.int64)).astype(np.int32))
+    rows = [
+        (i, x.tolist(), y.tolist())
+        for i, (x, y) in enumerate(zip(sets, neardup.parity_sketches(sets), strict=True))
+    ]
+    made = spark.createDataFrame(rows, "i int, elems array<int>, p array<long>")
+    a = made.select("i", F.col("p").alias("x"), F.size("elems").alias("n"))
+    b = made.select(F.col("i").alias("j"), F.col("p").alias("y"), F.size("elems").alias("m"))
+    passed = {
+        (r.i, r.j)
+        for r in a.join(b, F.col("i") < F.col("j"))
+        .filter(neardup.may_be_similar(80, "x", "y", "n", "m"))
+        .collect()
+    }
+    similar, short = set(), set()
+    for i, x in enumerate(sets):
+        for j in range(i + 1, len(sets)):
+            shared = len(np.intersect1d(x, sets[j]))
+            if 100 * shared >= 80 * (len(x) + len(sets[j]) - shared):
+                similar.add((i, j))
+            elif max(len(x), len(sets[j])) <= 150 and shared < 0.7 * max(len(x), len(sets[j])):
+                short.add((i, j))
+    assert len(similar) >= 12 and similar <= passed
+    assert len(short) > 200 and len(short & passed) == 0
+
+
 def test_signatures_estimate_weighted_similarity():
     draw = random.Random(6)
     base = [f"t{i}" for i in range(300)] * 2
