@@ -4,7 +4,9 @@ Random draws are hashes of (seed, slice, anchor, try), so the result depends on
 data and seed alone. Every positive link is one anchor. It tries 0, 1, 2, ...
 and takes the first pair that passes; only unfilled anchors go into the next
 round. A drawn rank meets its node by an equi-join on (slice, rank): ranks are
-spread evenly, so even one giant slice is spread over all tasks.
+spread evenly, so even one giant slice is spread over all tasks. Anchors that
+no try filled walk all first nodes of their pool, so an anchor stays unfilled
+only if no pair of its slice passes.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from seqbraid.operators.skew import attach
 from seqbraid.session import materialise, materialise_counted
 
 SAMPLERS = ("random", "hard_coord_degree", "distance_matched")
-# Tries per anchor before its slice counts as unable to supply negatives.
+# Tries per anchor before its pool is searched exactly.
 TRY_LIMIT = {"random": 80, "hard_coord_degree": 200, "distance_matched": 400}
 
 
@@ -47,17 +49,20 @@ class NegativeRule:
         """Columns that delimit the nodes a draw chooses from."""
         return ["slice_id", "SN"] if self.anchored and self.same_sn else ["slice_id"]
 
+    def tolerance(self) -> Column:
+        """Largest accepted difference between an anchor's distance and a pair's."""
+        if self.sampler == "hard_coord_degree":
+            return F.lit(self.coord_band)
+        share = F.floor(F.lit(self.tol_frac) * F.col("d_pos"))
+        return F.greatest(F.lit(int(self.tol_bp)), share)
+
     def accepts(self) -> Column:
         """Condition on a drawn pair next to its anchor."""
         ok = F.col("u") != F.col("v")
         if not self.anchored:
             return ok
         gap = F.abs(F.abs(F.col("so_u") - F.col("so_v")) - F.col("d_pos"))
-        if self.sampler == "hard_coord_degree":
-            ok &= gap <= self.coord_band
-        else:
-            share = F.floor(F.lit(self.tol_frac) * F.col("d_pos"))
-            ok &= gap <= F.greatest(F.lit(int(self.tol_bp)), share)
+        ok &= gap <= self.tolerance()
         if self.degree_matched:
             straight = (F.col("deg_u") == F.col("deg_u_pos")) & (F.col("deg_v") == F.col("deg_v_pos"))
             crossed = (F.col("deg_u") == F.col("deg_v_pos")) & (F.col("deg_v") == F.col("deg_u_pos"))
@@ -100,9 +105,9 @@ def sample_negatives(
     seed: int = 42,
     first_round: int = 16,
 ) -> DataFrame:
-    """(slice_id, link_id, u, v): the first accepted pair of every anchor that found one.
+    """(slice_id, link_id, u, v): one accepted pair for every anchor that has any.
 
-    `slice_links` has slice_id, link_id, u, v; `metadata` is keyed by oid.
+    Anchors left over by the tries are settled by `_settle`. `slice_links` has slice_id, link_id, u, v; `metadata` is keyed by oid.
     """
     limit = TRY_LIMIT[rule.sampler]
     nodes = materialise(_slice_nodes(slice_links, metadata))
@@ -145,17 +150,121 @@ def sample_negatives(
         if not left["rows"]:
             break
         first, step = last, step * 4
+    else:
+        found += _settle(waiting, nodes, positives, rule, seed)
     out = found[0]
     for part in found[1:]:
         out = out.unionByName(part)
     return out
 
 
+def _settle(
+    waiting: DataFrame, nodes: DataFrame, positives: DataFrame, rule: NegativeRule, seed: int
+) -> list[DataFrame]:
+    """Hits of the anchors that have a feasible pair, found without drawing.
+
+    Every anchor walks the possible first nodes of its pool from a hashed start,
+    in rounds that grow fourfold, and stops at the first with an accepted partner.
+    Partners meet by an equi-join on a bin of SO at least as wide as the anchor's
+    tolerance, so only pairs near its distance are made.
+    """
+    kind = F.col("degree") if rule.degree_matched else F.lit(0).cast("long")
+    group = [*rule.pool, "kind"]
+    ranked = materialise(with_position(nodes.withColumn("kind", kind), ["oid"], group, "rank"))
+    sizes = ranked.groupBy(*group).agg(F.count("*").alias("n_first"))
+    ends = F.array(F.struct(F.col("deg_u_pos").alias("a"), F.col("deg_v_pos").alias("b")),
+                   F.struct(F.col("deg_v_pos").alias("a"), F.col("deg_u_pos").alias("b")))
+    if not rule.degree_matched:
+        ends = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b")))
+    # More bits than twice the tolerance: its interval meets at most two bins.
+    level = F.length(F.bin(rule.tolerance().cast("long") * 2)) if rule.anchored else F.lit(0)
+    sided = waiting.select("*", F.explode(F.array_distinct(ends)).alias("e"), level.alias("level"))
+    sided = sided.select("*", F.col("e.a").alias("kind"), F.col("e.b").alias("kind_v")).drop("e")
+    sided, left = materialise_counted(attach(sided, sizes, group, "inner"), top=F.max("n_first"))
+    if not left["rows"]:
+        return []
+    levels = [r[0] for r in sided.select("level").distinct().collect()]  # at most 64
+    bin_of = F.expr("shiftright(SO, level)") if rule.anchored else F.lit(0).cast("long")
+    second = materialise(
+        ranked.withColumn("level", F.explode(F.array(*map(F.lit, levels)))).select(
+            *rule.pool,
+            F.col("kind").alias("kind_v"),
+            "level",
+            bin_of.alias("bin"),
+            F.col("oid").alias("v"),
+            F.col("SO").alias("so_v"),
+            F.col("degree").alias("deg_v"),
+        )
+    )
+    firsts = ranked.select(
+        *group,
+        F.col("rank").alias("at"),
+        F.col("oid").alias("u"),
+        F.col("SO").alias("so_u"),
+        F.col("degree").alias("deg_u"),
+    )
+
+    def bins() -> Column:
+        if not rule.anchored:
+            return F.array(F.lit(0).cast("long"))
+        tol = rule.tolerance()
+        spans = []
+        for centre in (F.col("so_u") + F.col("d_pos"), F.col("so_u") - F.col("d_pos")):
+            low = F.call_function("shiftright", centre - tol, F.col("level"))
+            high = F.call_function("shiftright", centre + tol, F.col("level"))
+            spans.append(F.sequence(low, high))
+        return F.array_distinct(F.concat(*spans))
+
+    width = 2 * waiting.sparkSession.sparkContext.defaultParallelism
+    found: list[DataFrame] = []
+    first, step = 0, 16
+    while left["rows"] and first < left["top"]:
+        steps = F.sequence(F.lit(first).cast("long"), F.least(F.lit(first + step), F.col("n_first")) - 1)
+        start = draw(seed, "slice_id", "link_id", F.lit("settle"))
+        tries = (
+            sided.filter(F.col("n_first") > first)
+            .repartition(width, "slice_id", "link_id")
+            .select("*", F.explode(steps).alias("step"))
+            .withColumn("at", (start % F.col("n_first") + F.col("step")) % F.col("n_first"))
+        )
+        pairs = (
+            tries.join(firsts, [*group, "at"])
+            .withColumn("bin", F.explode(bins()))
+            .join(second, [*rule.pool, "kind_v", "level", "bin"])
+            .filter(rule.accepts())
+            .select("slice_id", "link_id", "u", "v", "step")
+        )
+        order = F.struct("step", draw(seed, "link_id", "u", "v"), "u", "v")
+        hits = materialise(
+            pairs.join(positives, ["slice_id", "u", "v"], "left_anti")
+            .groupBy("slice_id", "link_id")
+            .agg(F.min_by(F.struct("u", "v"), order).alias("p"))
+            .select("slice_id", "link_id", "p.u", "p.v")
+        )
+        found.append(hits)
+        sided, left = materialise_counted(
+            sided.join(hits, ["slice_id", "link_id"], "left_anti"), top=F.max("n_first")
+        )
+        first, step = first + step, step * 4
+    return found
+
+
+def rejected_slices(slice_links: DataFrame, negatives: DataFrame) -> DataFrame:
+    """(slice_id, n_pos, n_neg, reason) of the slices that `balanced_edges` leaves out."""
+    need = slice_links.groupBy("slice_id").agg(F.count("*").alias("n_pos"))
+    have = negatives.groupBy("slice_id").agg(F.count("*").alias("n_neg"))
+    short = need.join(have, "slice_id", "left").withColumn("n_neg", F.coalesce("n_neg", F.lit(0)))
+    reason = F.concat((F.col("n_pos") - F.col("n_neg")).cast("string"), F.lit(" links have no feasible pair"))
+    return short.filter("n_neg < n_pos").withColumn("reason", reason)
+
+
 def balanced_edges(
     slice_links: DataFrame, negatives: DataFrame, seed: int = 42
 ) -> tuple[DataFrame, DataFrame]:
     """(edge table, filled slices): one negative per positive, short slices dropped.
 
+    `rejected_slices` lists the dropped ones with the reason.
+
     The edge table has slice_id, u_oid, v_oid, label and `shuffle_key`, the
     reproducible row order within a slice.
     """

@@ -10,7 +10,12 @@ from seqbraid.functions.names import slice_id, slice_name
 from seqbraid.operators.index import oriented_metadata
 from seqbraid.operators.intervals import overlap_counts, window_core
 from seqbraid.operators.ordering import with_position
-from seqbraid.operators.sampling import NegativeRule, balanced_edges, sample_negatives
+from seqbraid.operators.sampling import (
+    NegativeRule,
+    balanced_edges,
+    rejected_slices,
+    sample_negatives,
+)
 from seqbraid.operators.skew import attach
 from seqbraid.schemas import META_KEYS
 from seqbraid.session import materialise, materialise_counted
@@ -268,8 +273,12 @@ def _attempt_slices(
     slice_links = materialise(slice_links)
     negatives = sample_negatives(slice_links, metadata, rule, seed)
     edges, filled = balanced_edges(slice_links, negatives, seed)
+    rejected = first.join(filled, "slice_id", "left_anti").join(
+        rejected_slices(slice_links, negatives), "slice_id", "left"
+    )
     return {
         "windows": first.join(filled, "slice_id", "left_semi"),
+        "rejected": rejected.withColumn("reason", F.coalesce("reason", F.lit("no links"))),
         "segments": kept,
         "links": slice_links,
         "edges": edges,
@@ -293,13 +302,14 @@ def build_slices(
     negatives is rejected and a later attempt takes its place, up to
     `attempts_per_window` per wanted window. All contigs are tried together, one round
     per batch of attempts. `shortfall` (target_sn, closure, wanted, made) lists the
-    contigs that could not be filled, and those without a segment.
+    contigs that could not be filled, and those without a segment; `rejected` lists
+    the windows that have no links, or some links without a feasible negative.
     """
     metadata = materialise(oriented_metadata(index))
     # Contigs without a segment can never be filled, so they are not tried.
     asked = targets.select(F.col("SN").alias("target_sn")).distinct()
     targets = asked.join(index.select(F.col("SN").alias("target_sn")), "target_sn", "left_semi")
-    parts: dict[str, list[DataFrame]] = {k: [] for k in ("windows", "segments", "links", "edges")}
+    parts: dict[str, list[DataFrame]] = {k: [] for k in ("windows", "segments", "links", "edges", "rejected")}
     for number, closure in enumerate(closures):
         open_targets = materialise(targets.withColumn("made", F.lit(0).cast("long")))
         begin, batch_size = 0, n_windows
@@ -326,6 +336,7 @@ def build_slices(
             for key in ("segments", "links", "edges"):
                 parts[key].append(attach(batch[key], fresh.select("slice_id"), ["slice_id"], "left_semi"))
             parts["windows"].append(fresh)
+            parts["rejected"].append(batch["rejected"])
             new = fresh.groupBy("target_sn").agg(F.count("*").alias("new"))
             open_targets, remaining = materialise_counted(
                 open_targets.join(new, "target_sn", "left")
@@ -351,6 +362,7 @@ def build_slices(
     )
     return {
         "shortfall": shortfall,
+        "rejected": merged["rejected"].dropDuplicates(["slice_id"]),
         "slice_segments": segments,
         "slice_links": merged["links"],
         "slice_edge_pred": merged["edges"],

@@ -104,6 +104,70 @@ def test_negatives_obey_their_rule_whatever_the_partitioning(spark, small, rule)
             assert sorted([degree[u], degree[v]]) == sorted([degree[a], degree[b]])
 
 
+TIGHT = [
+    sm.NegativeRule("random"),
+    sm.NegativeRule("hard_coord_degree", coord_band=0),
+    sm.NegativeRule("distance_matched", same_sn=False, tol_bp=0, tol_frac=0.001, degree_matched=True),
+    sm.NegativeRule("distance_matched", tol_bp=3),
+]
+
+
+@pytest.mark.parametrize("rule", TIGHT, ids=lambda r: f"{r.sampler}-{r.degree_matched}")
+def test_every_anchor_with_a_feasible_pair_is_filled(spark, small, monkeypatch, rule):
+    index, links = small
+    monkeypatch.setitem(sm.TRY_LIMIT, "random", 1)
+    meta = ix.oriented_metadata(index)
+    info = {r.oid: r for r in meta.collect()}
+    # One slice of 8 nodes whose ordered pairs are all links but one.
+    full = [("full", 1000 + i, 2 * a, 2 * b) for i, (a, b) in enumerate((a, b) for a in range(8) for b in range(8) if a != b)]
+    full = full[1:]
+    table = links.select(F.lit("all").alias("slice_id"), "link_id", "u", "v").unionByName(
+        spark.createDataFrame(full, "slice_id string, link_id long, u long, v long")
+    )
+    drawn = sm.sample_negatives(table, meta, rule, 7, first_round=400)
+    got = {(s, k): (u, v) for s, k, u, v in rows(drawn)}
+    by_slice: dict[str, list] = {}
+    for s, k, u, v in rows(table):
+        by_slice.setdefault(s, []).append((k, u, v))
+    feasible = set()
+    for s, edges in by_slice.items():
+        pairs = {(u, v) for _, u, v in edges}
+        degree: dict[int, int] = {}
+        for _, u, v in edges:
+            degree[u] = degree.get(u, 0) + 1
+            degree[v] = degree.get(v, 0) + 1
+        nodes = sorted(degree)
+        for k, a, b in edges:
+            want = abs(info[a].SO - info[b].SO)
+
+            def passes(x, y):
+                if x == y or (x, y) in pairs:
+                    return False
+                if not rule.anchored:
+                    return True
+                if rule.same_sn and not info[x].SN == info[y].SN == info[a].SN:
+                    return False
+                tol = rule.coord_band if rule.sampler == "hard_coord_degree" else max(rule.tol_bp, int(rule.tol_frac * want))
+                if abs(abs(info[x].SO - info[y].SO) - want) > tol:
+                    return False
+                return not rule.degree_matched or sorted((degree[x], degree[y])) == sorted((degree[a], degree[b]))
+
+            if (s, k) in got:
+                assert passes(*got[s, k])
+                feasible.add((s, k))
+            elif any(passes(x, y) for x in nodes for y in nodes):
+                feasible.add((s, k))
+    assert set(got) == feasible
+
+
+def test_rejected_slices_carry_their_reason(spark):
+    links = spark.createDataFrame(
+        [("a", 0, 0, 2), ("a", 1, 2, 4), ("b", 2, 0, 2)], "slice_id string, link_id long, u long, v long"
+    )
+    negatives = spark.createDataFrame([("b", 2, 2, 0)], "slice_id string, link_id long, u long, v long")
+    assert rows(sm.rejected_slices(links, negatives)) == [("a", 2, 0, "2 links have no feasible pair")]
+
+
 def test_short_slices_are_left_out_of_the_edge_set(spark, small):
     links = spark.createDataFrame(
         [("a", 0, 0, 2), ("a", 1, 2, 4), ("b", 2, 0, 2)], "slice_id string, link_id long, u long, v long"
