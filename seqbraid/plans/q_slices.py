@@ -285,7 +285,7 @@ _RULES = {
     "neg_band": ("strict", sm.NegativeRule("hard_coord_degree", True, coord_band=50_000)),
     "neg_distance": ("strict", sm.NegativeRule("distance_matched", True)),
     "neg_distance_degree": (
-        "strict",
+        "1hop",
         sm.NegativeRule("distance_matched", False, tol_bp=5_000, degree_matched=True),
     ),
 }

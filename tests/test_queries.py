@@ -9,6 +9,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from seqbraid.operators import index as ix
+from seqbraid.plans.views import graph
 
 SF_DIR = "/root/testdata/sf0.001"
 CHECKED = [
@@ -72,3 +74,12 @@ def test_query_equals_oracle(spark, duck, name):
     for a, b in zip(have, want):
         for x, y in zip(a, b):
             assert x == y or (isinstance(x, float) and math.isclose(x, y, rel_tol=1e-6, abs_tol=1e-6))
+
+
+def test_degree_matched_negatives_reach_neighbour_contigs(spark):
+    """15,359 of 15,360 links have a feasible pair, by an all-pairs search in SQL."""
+    drawn = contract.queries()["neg_distance_degree"](spark, SF_DIR)
+    assert drawn.count() == 15_359
+    meta = ix.oriented_metadata(graph(spark, SF_DIR).segments).select("oid", "SN")
+    ends = drawn.join(meta.toDF("u", "sn_u"), "u").join(meta.toDF("v", "sn_v"), "v")
+    assert ends.filter("sn_u <> sn_v").count() > 0
