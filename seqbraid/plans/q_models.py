@@ -19,7 +19,10 @@ from seqbraid.plans.views import graph, oracle, read
 from seqbraid.session import materialise
 
 VAL, TEST = ["chr3"], ["chr2", "chr5"]
-LINK_FEATURES = ["delta_so", "deg", "sr_u", "sr_v", "ln_u", "ln_v", "orient_u", "orient_v", "same_sn"]
+LINK_FEATURES = [
+    *("delta_so", "deg", "sr_u", "sr_v", "ln_u", "ln_v", "orient_u", "orient_v"),
+    *("is_grch38_u", "is_grch38_v", "same_sn"),
+]
 
 
 @query("lr_link_scorer")
@@ -56,12 +59,12 @@ def lr_node(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("mlp_node")
 def mlp_node(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _node_study(spark, sf_dir, "mlp", max_iter=40)["binary"]
+    return _node_study(spark, sf_dir, "mlp", max_iter=200)["binary"]
 
 
 @query("rf_node")
 def rf_node(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _node_study(spark, sf_dir, "random_forest", trees=40)["per_chrom"]
+    return _node_study(spark, sf_dir, "random_forest", trees=400)["per_chrom"]
 
 
 @query("structural_baseline")

@@ -397,5 +397,5 @@ def slice_builder(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = graph(spark, sf_dir)
     targets = g.segments.filter("startswith(SN, 'GRCh38')").select("SN").distinct()
     rule = sm.NegativeRule("random")
-    made = sl.build_slices(g.segments, g.links, targets, WINDOW_BP, 2, ("strict", "1hop"), rule, SEED)
+    made = sl.build_slices(g.segments, g.links, targets, WINDOW_BP, 5, ("strict", "1hop"), rule, SEED)
     return made["manifest"]

@@ -10,6 +10,8 @@ import pytest
 
 import __spark_entry__ as contract
 from seqbraid.operators import index as ix
+from seqbraid.operators.features import pair_features
+from seqbraid.plans import q_models, q_slices
 from seqbraid.plans.views import graph
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -83,3 +85,27 @@ def test_degree_matched_negatives_reach_neighbour_contigs(spark):
     meta = ix.oriented_metadata(graph(spark, SF_DIR).segments).select("oid", "SN")
     ends = drawn.join(meta.toDF("u", "sn_u"), "u").join(meta.toDF("v", "sn_v"), "v")
     assert ends.filter("sn_u <> sn_v").count() > 0
+
+
+def test_models_and_slices_use_whole_settings(spark, monkeypatch):
+    contract.queries()
+    seen = {}
+
+    def study(session, sf_dir, method, **options):
+        seen[method] = options
+        return {"binary": None, "per_chrom": None}
+
+    def built(index, links, targets, window_bp, n_windows, *rest):
+        seen["windows"] = n_windows
+        return {"manifest": None}
+
+    monkeypatch.setattr(q_models, "_node_study", study)
+    monkeypatch.setattr(q_slices.sl, "build_slices", built)
+    q_models.mlp_node(spark, SF_DIR)
+    q_models.rf_node(spark, SF_DIR)
+    q_slices.slice_builder(spark, SF_DIR)
+    assert seen == {"mlp": {"max_iter": 200}, "random_forest": {"trees": 400}, "windows": 5}
+    pair = spark.createDataFrame([(0, 2)], "u long, v long")
+    meta = ix.oriented_metadata(graph(spark, SF_DIR).segments)
+    nodes = ix.oriented_degree(graph(spark, SF_DIR).links)
+    assert set(q_models.LINK_FEATURES) == set(pair_features(pair, meta, nodes).columns) - {"u", "v"}
