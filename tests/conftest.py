@@ -26,8 +26,3 @@ def spark(tmp_path_factory):
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
-
-
-def rows(df, *order):
-    out = df.orderBy(*order) if order else df
-    return [tuple(r) for r in out.collect()]

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from frames import rows
 from seqbraid.operators.adjacency import Adjacency
 from seqbraid.operators.ordering import running_sums, with_frames, with_position
 from seqbraid.operators.skew import attach

@@ -5,7 +5,7 @@ import gzip
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from frames import rows
 from seqbraid.sources import gfa
 from seqbraid.streaming import gfa_stream
 

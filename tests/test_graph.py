@@ -6,7 +6,7 @@ from collections import Counter
 
 import pytest
 
-from conftest import rows
+from frames import rows
 from seqbraid.operators import attention as at
 from seqbraid.operators import graph as gr
 from seqbraid.operators import index as ix

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from frames import rows
 from seqbraid.operators import intervals as iv
 from seqbraid.schemas import ELEMENT_CLASSES, ELEMENT_PRIORITY
 

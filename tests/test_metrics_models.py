@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from frames import rows
 from seqbraid.operators import features as ft
 from seqbraid.operators import labels as lb
 from seqbraid.operators import metrics as mt

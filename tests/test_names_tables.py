@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from conftest import rows
+from frames import rows
 from seqbraid.functions import names as nm
 from seqbraid.functions.vectors import adaptive_window, pair_interaction
 from seqbraid.schemas import CANONICAL_CHROMS

@@ -41,12 +41,13 @@ CHECKED = [
 pytestmark = pytest.mark.skipif(not Path(SF_DIR).exists(), reason="driver tables are absent")
 
 
-@pytest.fixture(scope="module")
+@pytest.fixture
 def duck():
-    con = duckdb.connect()
-    for path in Path(SF_DIR).glob("*.parquet"):
-        con.execute(f"create view {path.stem} as select * from '{path}'")
-    return con
+    """A connection per test: an engine failure in one oracle leaves the others alone."""
+    with duckdb.connect() as con:
+        for path in Path(SF_DIR).glob("*.parquet"):
+            con.execute(f"create view {path.stem} as select * from '{path}'")
+        yield con
 
 
 def _key(row):

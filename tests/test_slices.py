@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from frames import rows
 from seqbraid.operators import index as ix
 from seqbraid.operators import sampling as sm
 from seqbraid.operators import slices as sl
