@@ -16,19 +16,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqbraid.operators.skew import attach
-from seqbraid.session import estimated_bytes, materialise
+from seqbraid.session import materialise, scanned_bytes
 
 RANGE_BYTES = 128 << 20
-# The planner's estimate for tables it knows nothing about is above this.
-UNKNOWN_BYTES = 1 << 60
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33 bits
 
 
 def _range_count(df: DataFrame) -> int:
-    """Ranges of about RANGE_BYTES each, at least as many as the session shuffles into."""
+    """A range for every RANGE_BYTES of input, at least as many as the session shuffles into."""
     shuffle = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size = estimated_bytes(df)
-    return shuffle if size >= UNKNOWN_BYTES else max(shuffle, -(-size // RANGE_BYTES))
+    return max(shuffle, -(-(scanned_bytes(df) or 0) // RANGE_BYTES))
 
 
 def _ranges(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqbraid.session import broadcast_limit, estimated_bytes, materialise
+from seqbraid.session import broadcast_limit, estimated_bytes, materialise, scanned_bytes
 
 # Below this input size no single key can be more than a task can carry.
 CHECK_BYTES = 256 << 20
@@ -30,14 +30,16 @@ def attach(
 ) -> DataFrame:
     """Join `df` to `lookup`, which has one row, or a few, per key.
 
-    A lookup below the broadcast threshold, or a `df` below `check_bytes`, is a
-    plain join. Otherwise rows of hot keys are split off and meet their few
+    A lookup below the broadcast threshold, or a `df` whose scans are below `check_bytes`,
+    is a plain join. Otherwise rows of hot keys are split off and meet their few
     lookup rows by broadcast; the number of those is bounded by rows/hot_rows.
     `how` may be inner, left, left_semi or left_anti.
     """
     keys = list(keys)
     spark = df.sparkSession
-    if estimated_bytes(lookup) <= broadcast_limit(spark) or estimated_bytes(df) <= check_bytes:
+    size = scanned_bytes(df)
+    small = size is not None and size <= check_bytes
+    if estimated_bytes(lookup) <= broadcast_limit(spark) or small:
         return df.join(lookup, keys, how)
     hot = materialise(hot_keys(df, keys, hot_rows))
     if hot.isEmpty():

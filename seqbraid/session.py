@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# The planner's size for sources it knows nothing about is above this.
+UNKNOWN_BYTES = 1 << 60
+
 
 def build_session(app: str = "seqbraid", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution on; `conf` entries override the defaults."""
@@ -72,6 +75,17 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
+def scanned_bytes(df: DataFrame) -> int | None:
+    """The sizes of all scans below `df` added up; None if a source does not state its size.
+
+    Unlike `estimated_bytes` this does not multiply the two sides of a join, so it stays
+    in proportion to the data. An unknown source has Spark's default, above any table.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    return None if any(size >= UNKNOWN_BYTES for size in sizes) else sum(sizes)
+
+
 def broadcast_limit(spark: SparkSession) -> int:
     raw = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
     digits = raw.lower().rstrip("b")

@@ -8,9 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from frames import rows
+from seqbraid.operators import ordering
 from seqbraid.operators.adjacency import Adjacency
 from seqbraid.operators.ordering import running_sums, with_frames, with_position
 from seqbraid.operators.skew import attach
+from seqbraid.session import estimated_bytes, scanned_bytes
 
 
 @pytest.fixture(scope="module")
@@ -89,3 +91,13 @@ def test_hub_salts_do_not_change_neighbours(spark):
     assert sorted(rows(salted.expand(front).select("dst", "tag"))) == sorted(
         rows(plain.expand(front).select("dst", "tag"))
     )
+
+
+def test_join_gets_no_more_ranges_than_the_session_shuffles_into(spark, tmp_path):
+    """The planner multiplies the sides of an equi-join; the ranges follow the scans."""
+    path = str(tmp_path / "rows")
+    spark.range(10_000).withColumn("text", F.repeat(F.lit("x"), 200)).write.parquet(path)
+    side = spark.read.parquet(path)
+    joined = side.join(side.withColumnRenamed("text", "other").hint("merge"), "id")
+    assert estimated_bytes(joined) > 100 * scanned_bytes(joined)
+    assert ordering._range_count(joined) == int(spark.conf.get("spark.sql.shuffle.partitions"))
