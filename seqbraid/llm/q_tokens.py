@@ -1,11 +1,11 @@
-"""Queries of SentencePiece (4), token counts (5) and binary token output (6)."""
+"""Queries of SentencePiece (4), token counts (5), binary token output (6) and packing (13)."""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from seqbraid.llm import prefix_bpe, viterbi, wavelet
+from seqbraid.llm import packing, prefix_bpe, viterbi, wavelet
 from seqbraid.llm.common import documents
 from seqbraid.llm.registry import query
 
@@ -27,3 +27,9 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
     path = wavelet.write_shards(documents(spark, sf_dir), tokenizer)
     return wavelet.read_documents(spark, path)
+
+
+@query("op13_packing")
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    return packing.packed(spark, packing.write_sequences(documents(spark, sf_dir), tokenizer))
