@@ -6,7 +6,7 @@ import importlib
 
 from seqbraid.llm.registry import ORACLES, QUERIES
 
-for _family in ("q_toxicity", "q_native", "q_filters", "q_tokens"):
+for _family in ("q_toxicity", "q_native", "q_filters", "q_tokens", "q_search"):
     importlib.import_module(f"seqbraid.llm.{_family}")
 
 __all__ = ["ORACLES", "QUERIES"]
