@@ -6,17 +6,15 @@ the ids are dealt, in order, into those with 0 and those with 1. Together with c
 per block of 512 bits every plane answers rank and select, so that the shard gives
 token access, counts and occurrences of an id in any range without being unpacked.
 
-The files are Parquet, a row per shard with the document ids, their lengths and the
-planes, compressed by the file format. They are written and read by Spark only.
+The files are Parquet, a row per shard with the document ids, their lengths, the planes
+and the counts per block, compressed by the file format. They are written and read by
+Spark only. `access_tokens`, `count_token` and `locate_token` answer from the files.
 """
 
 from __future__ import annotations
 
-import os
-import re
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,58 +25,51 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqbraid.llm.common import map_arrow, ready, text_of
-from seqbraid.llm.prefix_bpe import Memo
-from seqbraid.session import estimated_bytes, shared_dir
+from seqbraid.llm.word_ids import word_ids
+from seqbraid.session import scanned_bytes, shared_dir
 
 END_ID = 1
 BITS = 16
 SHARD_TOKENS = 1 << 20
 RANGE_BYTES = 128 << 20
-# The planner's estimate for tables it knows nothing about is above this.
-UNKNOWN_BYTES = 1 << 60
 BLOCK = 512
-MEMO_ENTRIES = 400_000
-ENCODE_ROWS = 64
 
 SHARD_SCHEMA = (
     "part int, seq int, part_start long, n_tokens long, doc_ids array<long>, "
-    "lengths array<long>, zeros array<long>, planes array<binary>"
+    "lengths array<long>, zeros array<long>, planes array<binary>, ranks array<binary>"
 )
+_MATRIX = ("n_tokens", "zeros", "planes", "ranks")
+
+
+def _ones_before_blocks(plane: np.ndarray) -> np.ndarray:
+    padded = np.zeros(-(-len(plane) // (BLOCK // 8)) * (BLOCK // 8), np.uint8)
+    padded[: len(plane)] = plane
+    per_block = np.bitwise_count(padded.view(np.uint64)).reshape(-1, BLOCK // 64).sum(axis=1)
+    return np.concatenate(([0], np.cumsum(per_block))).astype("<u4")
 
 
 @dataclass
 class WaveletMatrix:
-    """Bit planes of n ids, highest bit first, and the number of zeros in each."""
+    """Bit planes of n ids, highest bit first, with the number of zeros in each and the
+    number of ones before each of its blocks."""
 
     n: int
     zeros: list[int]
     planes: list[np.ndarray]
-
-    def __post_init__(self):
-        self._before = None
+    ranks: list[np.ndarray]
 
     @classmethod
     def build(cls, ids: np.ndarray, bits: int = BITS) -> WaveletMatrix:
         planes, zeros = [], []
-        ids = ids.astype(np.uint32 if bits > 16 else np.uint16)
+        kind = np.uint32 if bits > 16 else np.uint16
+        ids = ids.astype(kind)
         for level in range(bits - 1, -1, -1):
-            one = (ids >> level) & 1 == 1
+            one = ids & kind(1 << level) != 0
             planes.append(np.packbits(one, bitorder="little"))
-            zero = ids[~one]
+            zero = np.compress(~one, ids)
             zeros.append(len(zero))
-            ids = np.concatenate((zero, ids[one]))
-        return cls(len(one), zeros, planes)
-
-    def _ranks(self) -> list[np.ndarray]:
-        """Ones before every block of every plane; built on the first question."""
-        if self._before is None:
-            self._before = []
-            for plane in self.planes:
-                padded = np.zeros(-(-len(plane) // (BLOCK // 8)) * (BLOCK // 8), np.uint8)
-                padded[: len(plane)] = plane
-                per_block = np.bitwise_count(padded.reshape(-1, BLOCK // 8)).sum(axis=1)
-                self._before.append(np.concatenate(([0], np.cumsum(per_block, dtype=np.int64))))
-        return self._before
+            ids = np.concatenate((zero, np.compress(one, ids)))
+        return cls(len(ids), zeros, planes, [_ones_before_blocks(p) for p in planes])
 
     def _rank1(self, level: int, at: int) -> int:
         block, rest = divmod(at, BLOCK)
@@ -86,7 +77,7 @@ class WaveletMatrix:
         inside = int(np.bitwise_count(plane).sum())
         if rest % 8:
             inside -= int(plane[-1] >> (rest % 8)).bit_count()
-        return int(self._ranks()[level][block]) + inside
+        return int(self.ranks[level][block]) + inside
 
     def _bit(self, level: int, at: int) -> int:
         return int(self.planes[level][at >> 3] >> (at & 7)) & 1
@@ -120,7 +111,7 @@ class WaveletMatrix:
 
     def _select(self, level: int, bit: int, k: int) -> int:
         """The position of the k-th (from 0) bit of this value in a plane."""
-        before = self._ranks()[level]
+        before = self.ranks[level].astype(np.int64)
         if not bit:
             before = np.arange(len(before), dtype=np.int64) * BLOCK - before
         block = int(np.searchsorted(before, k, "right")) - 1
@@ -139,87 +130,16 @@ class WaveletMatrix:
         return at
 
     def unpack(self) -> np.ndarray:
-        """All ids in order."""
-        wide = np.uint16 if len(self.planes) <= 16 else np.uint32
-        order = np.arange(self.n, dtype=np.uint32)
-        value = np.zeros(self.n, wide)
-        for plane in self.planes:
+        """All ids in order; plane by plane from the lowest, each undoing one deal."""
+        kind = np.uint16 if len(self.planes) <= 16 else np.uint32
+        value = np.zeros(self.n, kind)
+        for level, (zeros, plane) in enumerate(zip(self.zeros[::-1], self.planes[::-1], strict=True)):
             one = np.unpackbits(plane, count=self.n, bitorder="little").view(bool)
-            value = (value << wide(1)) | one
-            dealt = np.concatenate((np.flatnonzero(~one), np.flatnonzero(one)))
-            order, value = order[dealt], value[dealt]
-        out = np.empty(self.n, wide)
-        out[order] = value
-        return out.astype(np.uint32)
-
-
-# A Latin-1 word and the punctuation after it; the pre-tokeniser cuts between the two.
-_WORD_AND_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
-
-
-class WordEncoder:
-    """Ids of whole texts from a tokenizers file that folds case and drops white space.
-
-    No pre-token spans a blank or a newline, so a text is encoded between those by the
-    library, each distinct stretch once while it is remembered. A stretch that is a
-    Latin-1 word with marks after it is put together from the ids of the folded word and
-    of the marks, as many stretches share those.
-    """
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self._tokenizer = Tokenizer.from_file(path)
-        self._memo = Memo(MEMO_ENTRIES)
-        self._memo.put("", b"")
-        self._parts = Memo(MEMO_ENTRIES)
-        self._parts.put("", b"")
-
-    def _look_up(self, parts: set[str]) -> dict[str, bytes]:
-        """The ids of some stretches or parts of stretches, by one call of the library."""
-        found = {p: self._parts.get(p) for p in parts}
-        fresh = [p for p, ids in found.items() if ids is None]
-        if fresh:
-            encoded = self._tokenizer.encode_batch(fresh, add_special_tokens=False)
-            for p, e in zip(fresh, encoded, strict=True):
-                found[p] = array("I", e.ids).tobytes()
-                self._parts.put(p, found[p])
-        return found
-
-    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        memo = self._memo
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        found = [list(map(memo.young.get, stretches)) for stretches in cut]
-        missing = {s for stretches in cut for s in set(stretches).difference(memo.young)}
-        held = {s: memo.get(s) for s in missing}
-        split: dict[str, tuple[str, ...]] = {}
-        for s, known in held.items():
-            if known is None:
-                match = _WORD_AND_MARKS.fullmatch(s)
-                split[s] = (match[1].lower(), match[2]) if match else (s,)
-        parts = self._look_up({p for own in split.values() for p in own})
-        for s, own in split.items():
-            held[s] = parts[own[0]] if len(own) == 1 else parts[own[0]] + parts[own[1]]
-            memo.put(s, held[s])
-        for stretches, ids in zip(cut, found, strict=True):
-            if None in ids:
-                for i, known in enumerate(ids):
-                    if known is None:
-                        ids[i] = held[stretches[i]]
-        return [np.frombuffer(b"".join(ids), "<u4") for ids in found]
-
-    def encode(self, text: str) -> np.ndarray:
-        return self.encode_all([text])[0]
-
-
-_encoders: dict[str, WordEncoder] = {}
-
-
-def word_encoder(path: str) -> WordEncoder:
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+            dealt = np.empty(self.n, kind)
+            dealt[~one] = value[:zeros]
+            dealt[one] = value[zeros:] | kind(1 << level)
+            value = dealt
+        return value.astype(np.uint32)
 
 
 def _shard(part: int, seq: int, start: int, docs: list, ids: list[np.ndarray]) -> pa.RecordBatch:
@@ -233,6 +153,7 @@ def _shard(part: int, seq: int, start: int, docs: list, ids: list[np.ndarray]) -
         pa.array([[len(x) for x in ids]], pa.list_(pa.int64())),
         pa.array([matrix.zeros], pa.list_(pa.int64())),
         pa.array([[p.tobytes() for p in matrix.planes]], pa.list_(pa.binary())),
+        pa.array([[r.tobytes() for r in matrix.ranks]], pa.list_(pa.binary())),
     ]
     return pa.record_batch(columns, [c.split()[0] for c in SHARD_SCHEMA.split(", ")])
 
@@ -254,28 +175,20 @@ def write_shards(
     ready(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    size = estimated_bytes(texts)
-    if size < UNKNOWN_BYTES:
-        parts = max(parts, -(-size // RANGE_BYTES))
+    parts = max(parts, -(-(scanned_bytes(docs) or 0) // RANGE_BYTES))
     placed = texts.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
 
-    def encoded(own: WordEncoder, batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
-        for at in range(0, batch.num_rows, ENCODE_ROWS):
-            part = batch.slice(at, ENCODE_ROWS)
-            yield from zip(
-                part.column(0).to_pylist(), own.encode_all(part.column(1).to_pylist()), strict=True
-            )
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = word_encoder(tokenizer)
+        own = word_ids(tokenizer)
         part = TaskContext.get().partitionId()
-        end = np.array([end_id], np.uint32)
         seq, start, size = 0, 0, 0
         held: list[np.ndarray] = []
         names: list = []
         for batch in batches:
-            for name, ids in encoded(own, batch):
-                ids = np.concatenate((ids, end))
+            flat, counts = own.encode(batch.column(1))
+            ends = np.cumsum(counts)
+            each = np.split(np.insert(flat, ends, end_id), (ends + np.arange(1, len(ends) + 1))[:-1])
+            for name, ids in zip(batch.column(0).to_pylist(), each, strict=True):
                 if held and size + len(ids) > shard_tokens:
                     yield _shard(part, seq, start, names, held)
                     seq, start, size, held, names = seq + 1, start + size, 0, [], []
@@ -302,8 +215,14 @@ def part_starts(spark: SparkSession, path: str) -> dict[int, int]:
     return starts
 
 
-def matrix_of(n: int, zeros: list[int], planes: list[bytes]) -> WaveletMatrix:
-    return WaveletMatrix(n, list(zeros), [np.frombuffer(p, np.uint8) for p in planes])
+def matrix_of(row: dict) -> WaveletMatrix:
+    """The matrix of a shard row, with its counts per block as they stand in the file."""
+    return WaveletMatrix(
+        row["n_tokens"],
+        list(row["zeros"]),
+        [np.frombuffer(p, np.uint8) for p in row["planes"]],
+        [np.frombuffer(r, "<u4") for r in row["ranks"]],
+    )
 
 
 def read_documents(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
@@ -315,7 +234,7 @@ def read_documents(spark: SparkSession, path: str, with_ids: bool = False) -> Da
             out: list[list] = [[], [], [], [], []]
             for at in range(batch.num_rows):
                 row = batch.slice(at, 1).to_pylist()[0]
-                ids = matrix_of(row["n_tokens"], row["zeros"], row["planes"]).unpack()
+                ids = matrix_of(row).unpack()
                 ends = np.cumsum(row["lengths"])
                 begin = starts[row["part"]] + row["part_start"]
                 for doc, n, end in zip(row["doc_ids"], row["lengths"], ends.tolist(), strict=True):
@@ -340,19 +259,80 @@ def read_documents(spark: SparkSession, path: str, with_ids: bool = False) -> Da
     return map_arrow(shards, make, schema + (", ids array<long>" if with_ids else ""))
 
 
+def _shards(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(SHARD_SCHEMA).parquet(path).drop("doc_ids", "lengths")
+
+
 def count_token(spark: SparkSession, path: str, value: int) -> DataFrame:
     """part, seq, n: the occurrences of an id in every shard, by rank alone."""
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows = batch.to_pylist()
-            found = [matrix_of(r["n_tokens"], r["zeros"], r["planes"]).count(value) for r in rows]
+            found = [matrix_of(r).count(value) for r in batch.to_pylist()]
             return pa.record_batch(
                 [batch.column(0), batch.column(1), pa.array(found, pa.int64())], ["part", "seq", "n"]
             )
 
         return each
 
-    shards = spark.read.schema(SHARD_SCHEMA).parquet(path).drop("doc_ids", "lengths", "part_start")
-    shards = shards.select("part", "seq", "n_tokens", "zeros", "planes")
-    return map_arrow(shards, make, "part int, seq int, n long")
+    return map_arrow(_shards(spark, path).select("part", "seq", *_MATRIX), make, "part int, seq int, n long")
+
+
+def locate_token(spark: SparkSession, path: str, value: int) -> DataFrame:
+    """position of every occurrence of an id among all ids, by rank and select on the shards."""
+    starts = part_starts(spark, path)
+
+    def make():
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found = [np.zeros(0, np.int64)]
+            for row in batch.to_pylist():
+                matrix = matrix_of(row)
+                begin = starts[row["part"]] + row["part_start"]
+                at = [matrix.locate(value, k) for k in range(matrix.count(value))]
+                found.append(begin + np.array(at, np.int64))
+            return pa.record_batch([pa.array(np.concatenate(found))], ["position"])
+
+        return each
+
+    shards = _shards(spark, path).select("part", "part_start", *_MATRIX)
+    return map_arrow(shards, make, "position long")
+
+
+def access_tokens(spark: SparkSession, path: str, positions: DataFrame) -> DataFrame:
+    """position, id: the ids at some positions among all ids, each read by rank from its shard.
+
+    Positions are asked once however often they stand in `positions`; null ones and those
+    outside the files are left out. A shard meets at most as many positions as it has ids.
+    """
+    ready(spark)
+    starts = part_starts(spark, path)
+    parts = spark.createDataFrame(list(starts.items()), "part int, before long")
+    shards = _shards(spark, path).join(F.broadcast(parts), "part")
+    shards = shards.withColumn("begin", F.col("before") + F.col("part_start"))
+    # A shard stands in every bin of SHARD_TOKENS positions that it touches.
+    spans = shards.select(
+        F.col("part").alias("in_part"), F.col("seq").alias("in_seq"), "begin", "n_tokens"
+    ).withColumn(
+        "bin",
+        F.explode(
+            F.sequence(
+                F.floor(F.col("begin") / SHARD_TOKENS),
+                F.floor((F.col("begin") + F.col("n_tokens") - 1) / SHARD_TOKENS),
+            )
+        ),
+    )
+    asked = positions.select(F.col("position").cast("long").alias("position")).distinct()
+    asked = asked.withColumn("bin", F.floor(F.col("position") / SHARD_TOKENS))
+    placed = asked.join(spans, "bin").filter(
+        (F.col("position") >= F.col("begin")) & (F.col("position") < F.col("begin") + F.col("n_tokens"))
+    )
+    placed = placed.select("in_part", "in_seq", "position", (F.col("position") - F.col("begin")).alias("at"))
+
+    def read(shard: pa.Table, wanted: pa.Table) -> pa.Table:
+        own = shard.slice(0, 1).to_pylist()
+        matrix = matrix_of(own[0]) if own and wanted.num_rows else None
+        ids = [matrix.access(at) for at in wanted["at"].to_pylist()]
+        return pa.table({"position": wanted["position"], "id": pa.array(ids, pa.int64())})
+
+    keyed = shards.select("part", "seq", *_MATRIX).groupBy("part", "seq")
+    return keyed.cogroup(placed.groupBy("in_part", "in_seq")).applyInArrow(read, "position long, id long")
