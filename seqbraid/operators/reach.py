@@ -1,7 +1,8 @@
-"""Bounded breadth-first reach: branching distance, k-hop sets, path sampling, temperatures.
+"""Reach on graphs: branching distance, k-hop sets, path sampling, temperatures.
 
-Each hop is one equi-join of the current frontier with the adjacency; hop
-results are written, so a lost executor costs one hop and plans stay short.
+Bounded searches take one equi-join of the current frontier with the adjacency for each
+hop; the unbounded one for path lengths runs on a graph without its unbranched runs.
+Results of every round are written, so a lost executor costs one round and plans stay short.
 """
 
 from __future__ import annotations
@@ -103,34 +104,177 @@ def sampled_path_length(
 ) -> DataFrame:
     """(keys, sampled_avg_shortest_path) from hash-chosen sources in the largest component.
 
-    Null when that component has one node. Graphs of every size are walked.
+    Null when that component has one node. Graphs of every size are searched. Runs of nodes
+    with two neighbours are contracted first (`contract_chains`), so the number of jobs
+    depends on the distances between branching nodes, not on the length of the runs.
     """
     keys = adjacency.keys
-    node = [*keys, "oid"]
-    sizes = parts.groupBy(*keys).agg(F.count("*").alias("_n"))
-    pool = parts.filter("component = 0")
-    order = Window.partitionBy(*keys).orderBy(draw(seed, "oid"), "oid")
-    sources = (
+    pool = parts.filter("component = 0").select(*keys, F.col("oid").alias("node"))
+    order = Window.partitionBy(*keys).orderBy(draw(seed, "node"), "node")
+    sources = materialise(
         pool.withColumn("_r", F.row_number().over(order))  # limited map-side before the shuffle
         .filter(F.col("_r") <= n_samples)
-        .select(*node)
+        .select(*keys, F.col("node").alias("source"))
     )
-    levels = [materialise(sources.select(*node, F.col("oid").alias("node")))]
-    while _next_level(adjacency, levels[-1], levels, [*node, "node"]):
-        pass
-    out = _union(
-        [
-            level.groupBy(*keys).agg(F.count("*").alias("n")).withColumn("hop", F.lit(i))
-            for i, level in enumerate(levels)
-            if i > 0
-        ]
-    )
-    reached = out.groupBy(*keys).agg(
-        F.try_divide(F.sum(F.col("hop") * F.col("n")), F.sum("n")).alias(
-            "sampled_avg_shortest_path"
+    inside = pool.withColumnRenamed("node", "src")
+    edges = adjacency.edges.select(*keys, "src", "dst").distinct().filter("src <> dst")
+    core, walks = contract_chains(materialise(edges.join(inside, [*keys, "src"], "left_semi")), pool, keys)
+    total = _distance_sums(core, walks, sources, keys)
+    counts = pool.groupBy(*keys).agg(F.count("*").alias("_n"))
+    asked = sources.groupBy(*keys).agg(F.count("*").alias("_s"))
+    pairs = F.col("_s") * (F.col("_n") - 1)
+    joined = counts.join(asked, keys).join(total, keys, "left") if keys else counts.join(asked).join(total)
+    return joined.select(
+        *keys, F.try_divide(F.col("total"), pairs).alias("sampled_avg_shortest_path")
+    )
+
+
+def contract_chains(
+    edges: DataFrame, nodes: DataFrame, keys: list[str]
+) -> tuple[DataFrame, DataFrame]:
+    """(core nodes, walks) of connected graphs given by both directions of every link.
+
+    Inner nodes have exactly two neighbours, all others are the core; a ring without a core
+    node gets its smallest node as one. `walks` has, for every directed link (src, dst), the
+    first core node `stop` that is met by following it, and the number of `hops` there. It is
+    made by pointer doubling: in every round all walks are prolonged by the walk that starts
+    with their last link, so that a run of n nodes takes about log2(n) rounds.
+    """
+    node = [*keys, "node"]
+    around = edges.groupBy(*keys, F.col("src").alias("node")).agg(
+        F.count("*").alias("degree"), F.sum("dst").alias("both")
+    )
+    around = nodes.join(around, node, "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    rings = around.groupBy(*keys).agg(
+        F.when((F.min("degree") == 2) & (F.max("degree") == 2), F.min("node")).alias("_pin")
+    )
+    around = around.join(rings, keys) if keys else around.join(F.broadcast(rings))
+    kind = (F.col("degree") != 2) | F.coalesce(F.col("node") == F.col("_pin"), F.lit(False))
+    around = materialise(around.select(*node, kind.alias("core"), "both"))
+    # The neighbour of an inner node that a walk does not come from.
+    ahead = around.select(
+        *keys, F.col("node").alias("dst"), F.col("core").alias("done"), F.col("both").alias("_both")
+    )
+    onward = F.when(F.col("done"), F.col("dst")).otherwise(F.col("_both") - F.col("src"))
+    begun = edges.join(ahead, [*keys, "dst"]).select(
+        *keys,
+        "src",
+        "dst",
+        F.when(F.col("done"), F.col("src")).otherwise(F.col("dst")).alias("from"),
+        onward.alias("stop"),
+        F.when(F.col("done"), 1).otherwise(2).cast("long").alias("hops"),
+    )
+    stops = around.select(*keys, F.col("node").alias("stop"), F.col("core").alias("done"))
+    walks, seen = materialise_counted(
+        begun.join(stops, [*keys, "stop"]), open=F.count_if(~F.col("done"))
+    )
+    while seen["open"]:
+        rest = walks.select(
+            *keys,
+            F.col("src").alias("from"),
+            F.col("dst").alias("stop"),
+            F.col("from").alias("_from"),
+            F.col("stop").alias("_stop"),
+            F.col("hops").alias("_hops"),
+            F.col("done").alias("_done"),
+        )
+        longer = (
+            walks.filter("not done")
+            .join(rest, [*keys, "from", "stop"])
+            .select(
+                *keys,
+                "src",
+                "dst",
+                F.col("_from").alias("from"),
+                F.col("_stop").alias("stop"),
+                (F.col("hops") + F.col("_hops") - 1).alias("hops"),
+                F.col("_done").alias("done"),
+            )
+        )
+        walks, seen = materialise_counted(
+            walks.filter("done").unionByName(longer), open=F.count_if(~F.col("done"))
+        )
+    core = around.filter("core").select(*node)
+    return core, walks.select(*keys, "src", "dst", "stop", "hops")
+
+
+def _chain_sum(x: Column, y: Column, length: Column) -> Column:
+    """Distances of the inner nodes of a run between ends at distances x and y, added up."""
+    near = F.least(F.greatest(F.floor((y - x + length) / 2), F.lit(0)), length - 1)
+    far = length - 1 - near
+    return near * x + near * (near + 1) / 2 + far * y + far * (far + 1) / 2
+
+
+def _core_distances(walks: DataFrame, start: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, source, node, d): least distances over the contracted links from `start`."""
+    row = [*keys, "source", "node"]
+    weighted = materialise(
+        walks.filter("src <> stop")
+        .groupBy(*keys, F.col("src").alias("node"), F.col("stop").alias("to"))
+        .agg(F.min("hops").alias("hops"))
+    )
+    known = materialise(start.groupBy(*row).agg(F.min("d").alias("d"), F.lit(True).alias("fresh")))
+    while True:
+        offered = (
+            known.filter("fresh")
+            .join(weighted, [*keys, "node"])
+            .select(*keys, "source", F.col("to").alias("node"), (F.col("d") + F.col("hops")).alias("_d"))
+            .groupBy(*row)
+            .agg(F.min("_d").alias("_d"))
+        )
+        better = F.col("d").isNull() | (F.col("_d") < F.col("d"))
+        known, seen = materialise_counted(
+            known.select(*row, "d")
+            .join(offered, row, "full")
+            .select(*row, F.least("d", "_d").alias("d"), F.coalesce(better, F.lit(False)).alias("fresh")),
+            fresh=F.count_if("fresh"),
         )
+        if not seen["fresh"]:
+            return known.select(*row, "d")
+
+
+def _distance_sums(
+    core: DataFrame, walks: DataFrame, sources: DataFrame, keys: list[str]
+) -> DataFrame:
+    """(keys, total): distances from every source to all nodes, added up.
+
+    The inner nodes of a run between core nodes a and b need no walk: theirs follow from the
+    distances of a and b. A source inside a run cuts it into two, with distance 0 at the cut.
+    """
+    here = core.withColumnRenamed("node", "source")
+    at_core = sources.join(here, [*keys, "source"], "left_semi")
+    inner = sources.join(here, [*keys, "source"], "left_anti")
+    ways = materialise(inner.join(walks.withColumnRenamed("src", "source"), [*keys, "source"]))
+    start = at_core.select(*keys, "source", F.col("source").alias("node"), F.lit(0).cast("long").alias("d"))
+    start = start.unionByName(
+        ways.select(*keys, "source", F.col("stop").alias("node"), F.col("hops").alias("d"))
+    )
+    # Walks between core nodes; each run stands in both directions.
+    runs = materialise(walks.join(core.withColumnRenamed("node", "src"), [*keys, "src"], "left_semi"))
+    near = _core_distances(runs, start, keys)
+
+    def end(name: str) -> DataFrame:
+        return near.select(*keys, "source", F.col("node").alias(name), F.col("d").alias(f"d_{name}"))
+
+    x, y, length = F.col("d_src"), F.col("d_stop"), F.col("hops")
+    along = (
+        runs.filter("hops > 1")
+        .select(*keys, "src", "stop", "hops")
+        .join(end("src"), [*keys, "src"])
+        .join(end("stop"), [*keys, "stop", "source"])
+        .select(*keys, (_chain_sum(x, y, length) / 2).alias("part"))
+    )
+    # The two ways out of an inner source, and the run that they make up together.
+    out = ways.join(end("stop"), [*keys, "source", "stop"])
+    halves = out.select(*keys, _chain_sum(y, F.lit(0), length).alias("part"))
+    own = out.groupBy(*keys, "source").agg(
+        F.min_by("d_stop", "dst").alias("d_src"), F.max_by("d_stop", "dst").alias("d_stop"), F.sum("hops").alias("hops")
+    )
+    whole = own.select(*keys, (-_chain_sum(x, y, length)).alias("part"))
+    parts = [near.select(*keys, F.col("d").cast("double").alias("part")), along, halves, whole]
+    return _union([p.withColumn("part", F.col("part").cast("double")) for p in parts]).groupBy(*keys).agg(
+        F.sum("part").alias("total")
     )
-    return sizes.join(reached, keys, "left").drop("_n") if keys else reached
 
 
 def radius_summary(radii: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -328,7 +328,7 @@ PATH_SQL = f"""
 src as (select slice_id, oid from (
           select slice_id, oid, row_number() over (partition by slice_id
                    order by {draw_sql(SEED, "oid")}, oid) as r from comp where component = 0)
-        where r <= 5),
+        where r <= 200),
 walk(slice_id, src, oid, d) as (
   select slice_id, oid, oid, 0 from src
   union select w.slice_id, w.src, ce.b, d + 1 from walk w join ce on ce.slice_id = w.slice_id and ce.a = w.oid
@@ -350,7 +350,7 @@ near as (select slice_id, src, oid, min(d) as d from walk group by slice_id, src
 def avg_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = slices(spark, sf_dir, "strict").links
     parts = gr.components(links, ["slice_id"])
-    paths = rc.sampled_path_length(Adjacency.build(links, ["slice_id"]), parts, 5, SEED)
+    paths = rc.sampled_path_length(Adjacency.build(links, ["slice_id"]), parts, 200, SEED)
     return _rounded(paths, "sampled_avg_shortest_path")
 
 

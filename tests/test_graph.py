@@ -1,7 +1,9 @@
 from __future__ import annotations
 
+import hashlib
 import math
 import random
+import time
 from collections import Counter
 
 import pytest
@@ -162,3 +164,48 @@ def test_softmax_and_weighted_sum(spark):
     sums = at.weighted_neighbor_sum(at.edge_softmax(edges, "score"), vectors)
     value = {(r.dst, r.pos): r.value for r in sums.collect()}
     assert abs(value[9, 0] - (got[0, 9] + 10 * got[1, 9])) < 1e-12
+
+
+def _cases_with_long_runs():
+    rng = random.Random(8)
+    ring = [(i, (i + 1) % 30) for i in range(30)]
+    tree = [(rng.randrange(i), i) for i in range(1, 60)]
+    # Runs of different lengths between a few branching nodes, one of them back to its start.
+    runs, fresh = [], 100
+    for _ in range(14):
+        a, b, n = rng.randrange(6), rng.randrange(6), rng.randrange(1, 12)
+        inner = list(range(fresh, fresh + n))
+        fresh += n
+        path = [a, *inner, b]
+        runs += list(zip(path, path[1:]))
+    tail = [(0, 900), *((900 + i, 901 + i) for i in range(40))]
+    grid = [(10 * x + y, 10 * x + y + d) for x in range(7) for y in range(7) for d in (1, 10)]
+    doubled = [(0, 1), (0, 1), (1, 2), (2, 3), (3, 0), (3, 3), (2, 7), (7, 8), (8, 8)]
+    return {"ring": ring, "tree": tree, "runs": runs, "lollipop": ring + tail, "grid": grid, "doubled": doubled}
+
+
+@pytest.mark.parametrize("n_samples", [4, 200])
+def test_path_lengths_on_contracted_graphs(spark, n_samples):
+    cases = _cases_with_long_runs()
+    data = [(k, u, v) for k, links in cases.items() for u, v in links]
+    links = spark.createDataFrame(data, "slice_id string, u long, v long")
+    parts = gr.components(links, ["slice_id"])
+    got = dict(rows(rc.sampled_path_length(Adjacency.build(links, ["slice_id"]), parts, n_samples)))
+    for key, own in cases.items():
+        lists = _lists(own)
+        largest = {r.oid for r in parts.filter(f"slice_id = '{key}' and component = 0").collect()}
+        order = sorted(largest, key=lambda x: (int(hashlib.md5(f"42|{x}".encode()).hexdigest()[:15], 16), x))
+        far = [d for s in order[:n_samples] for d in _distances(lists, s).values() if d > 0]
+        assert got[key] == pytest.approx(sum(far) / len(far), abs=1e-9)
+
+
+def test_path_length_of_a_long_chain(spark):
+    n = 5000
+    links = spark.range(n - 1).selectExpr("id as u", "id + 1 as v")
+    parts = spark.range(n).selectExpr("id as oid", "0 as component")
+    began = time.monotonic()
+    got = rc.sampled_path_length(Adjacency.build(links), parts).first()[0]
+    assert time.monotonic() - began < 60
+    order = sorted(range(n), key=lambda x: (int(hashlib.md5(f"42|{x}".encode()).hexdigest()[:15], 16), x))
+    total = sum(s * (s + 1) / 2 + (n - 1 - s) * (n - s) / 2 for s in order[:200])
+    assert got == pytest.approx(total / (200 * (n - 1)))
