@@ -5,8 +5,8 @@ data and seed alone. Every positive link is one anchor. It tries 0, 1, 2, ...
 and takes the first pair that passes; only unfilled anchors go into the next
 round. A drawn rank meets its node by an equi-join on (slice, rank): ranks are
 spread evenly, so even one giant slice is spread over all tasks. Anchors that
-no try filled walk all first nodes of their pool, so an anchor stays unfilled
-only if no pair of its slice passes.
+no try filled are settled by order statistics of their pool, so an anchor stays
+unfilled only if no pair of its slice passes.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from seqbraid.functions.hashing import draw, keep_fraction
 from seqbraid.operators.index import oriented_degree
-from seqbraid.operators.ordering import with_position
+from seqbraid.operators.ordering import running_sums, with_position
 from seqbraid.operators.skew import attach
 from seqbraid.session import materialise, materialise_counted
 
@@ -117,14 +117,13 @@ def sample_negatives(
     waiting = materialise(anchors)
     positives = slice_links.select("slice_id", "u", "v").distinct()
     found: list[DataFrame] = []
-    width = 2 * slice_links.sparkSession.sparkContext.defaultParallelism
     first, step = 0, first_round
     while first < limit:
         # Each round is four times as long as the one before, for fewer anchors.
         last = min(first + step, limit)
         tries = F.sequence(F.lit(first), F.lit(last - 1))
         # One anchor becomes many draws, so anchors are spread before, not after.
-        draws = waiting.repartition(width, "slice_id", "link_id").select(
+        draws = waiting.repartition("slice_id", "link_id").select(
             "*", F.explode(tries).alias("try")
         )
         for end, turn in (("u", 0), ("v", 1)):
@@ -158,94 +157,175 @@ def sample_negatives(
     return out
 
 
+# Distances above any real one, for rules without a distance.
+_EVERY_DISTANCE = 1 << 60
+# Rows of (anchor, first node) that one round of settlement looks at, for every core.
+SETTLE_ROWS = 100_000
+
+
+def _ranks_below(rows: DataFrame, asked: DataFrame, group: list[str], marks: list[str]) -> DataFrame:
+    """`asked` with, for each column of `marks`, the number of `rows` in its group at or below it.
+
+    `rows` has the group, `at` and a unique `tie`. Both are sorted together once, so neither a large group
+    nor many questions to one group meet in a task, and no pair of the two is made.
+    """
+    key = [c for c in asked.columns if c not in marks]
+    cut = F.explode(F.array(*[F.struct(F.lit(m).alias("mark"), F.col(m).alias("at")) for m in marks]))
+    points = asked.select(*key, cut.alias("_p")).select(*key, "_p.mark", "_p.at")
+    extra = [c for c in points.columns if c not in (*group, "at")]
+    blank = [F.lit(None).cast(points.schema[c].dataType).alias(c) for c in extra]
+    both = rows.select(*group, "at", "tie", F.lit(1).alias("counts"), *blank).unionByName(
+        points.withColumns({"counts": F.lit(0), "tie": F.lit(None).cast("long")})
+    )
+    # At one place the rows come before the questions.
+    order = ["at", F.desc("counts"), "tie", *extra]
+    counted = running_sums(both, order, group, {"_below": F.col("counts")}).filter("counts = 0")
+    return counted.groupBy(*key).agg(
+        *[F.max(F.when(F.col("mark") == m, F.col("_below"))).alias(m) for m in marks]
+    )
+
+
+def _partner_counts(
+    tries: DataFrame, nodes: DataFrame, positives: DataFrame, pool: list[str]
+) -> DataFrame:
+    """`tries` (an anchor next to a first node) with the number `feasible` of partners.
+
+    Partners stand at a distance from `nearest` to `farthest` on either side of the first
+    node: two stretches of the pool's order, from ranks `a0` and `b0` to `a1` and `b1`.
+    Their number is a difference of ranks, less the node itself and its positives there.
+    """
+    one = F.col("nearest") <= 0
+    so, far, near = F.col("so_u"), F.col("farthest"), F.col("nearest")
+    marks = {
+        "a0": so - far - 1,
+        "a1": F.when(one, so + far).otherwise(so - near),
+        "b0": F.when(one, so + far).otherwise(so + near - 1),
+        "b1": so + far,
+    }
+    row = ["slice_id", "link_id", "side", "step"]
+    asked = tries.select(*row, *pool[1:], "kind_v", "u", *[m.alias(n) for n, m in marks.items()])
+    group = [*pool, "kind_v"]
+    place = [F.col("so_v").alias("at"), F.col("v").alias("tie")]
+    inside = F.col("a1") - F.col("a0") + F.col("b1") - F.col("b0")
+    own = F.when(one & (F.col("kind") == F.col("kind_v")), 1).otherwise(0)
+    ranked = _ranks_below(nodes.select(*group, *place), asked, group, list(marks))
+    # Most first nodes have no partner at all; only the others are held against positives.
+    some = materialise(
+        tries.join(ranked.select(*row, *marks), row)
+        .withColumn("feasible", inside - own)
+        .filter("feasible > 0")
+    )
+    asked = asked.join(some.select(*row), row, "left_semi")
+    taken = _ranks_below(positives.select(*group, "u", *place), asked, [*group, "u"], list(marks))
+    return some.join(taken.select(*row, inside.alias("_taken")), row).withColumn(
+        "feasible", F.col("feasible") - F.col("_taken")
+    )
+
+
+def _kth_partner(
+    chosen: DataFrame, nodes: DataFrame, positives: DataFrame, pool: list[str], seed: int
+) -> DataFrame:
+    """(slice_id, link_id, u, v): the partner whose place among the feasible ones is drawn.
+
+    Places are counted along SO and oid. Each place that is not feasible (the node itself, a
+    positive) and comes before the drawn one moves it on by one.
+    """
+    group = [*pool, "kind_v"]
+    row = ["slice_id", "link_id"]
+    wide = chosen.withColumn("k", draw(seed, "slice_id", "link_id", F.lit("partner")) % F.col("feasible"))
+    first = F.col("a1") - F.col("a0")
+    place = F.when(F.col("rank_v") < F.col("a1"), F.col("rank_v") - F.col("a0")).otherwise(
+        first + F.col("rank_v") - F.col("b0")
+    )
+    between = ((F.col("rank_v") >= F.col("a0")) & (F.col("rank_v") < F.col("a1"))) | (
+        (F.col("rank_v") >= F.col("b0")) & (F.col("rank_v") < F.col("b1"))
+    )
+    ends = ["a0", "a1", "b0", "b1", "k"]
+    own = nodes.select(*group, F.col("v").alias("u"), "rank_v")
+    used = positives.select(*group, "u", "rank_v").unionByName(own)
+    barred = wide.select(*row, *group[1:], "u", *ends).join(used, [*group, "u"]).filter(between)
+    barred = with_position(barred.select(*row, "k", place.alias("place")), ["place"], row, "i")
+    shift = barred.filter(F.col("place") - F.col("i") <= F.col("k")).groupBy(*row).agg(
+        F.count("*").alias("shift")
+    )
+    at = F.col("k") + F.coalesce("shift", F.lit(0))
+    rank = F.when(at < first, F.col("a0") + at).otherwise(F.col("b0") + at - first)
+    placed = wide.join(shift, row, "left").withColumn("rank_v", rank)
+    return placed.join(nodes.select(*group, "rank_v", "v"), [*group, "rank_v"]).select(*row, "u", "v")
+
+
 def _settle(
     waiting: DataFrame, nodes: DataFrame, positives: DataFrame, rule: NegativeRule, seed: int
 ) -> list[DataFrame]:
-    """Hits of the anchors that have a feasible pair, found without drawing.
+    """Hits of the anchors that have a feasible pair, by order statistics.
 
-    Every anchor walks the possible first nodes of its pool from a hashed start,
-    in rounds that grow fourfold, and stops at the first with an accepted partner.
-    Partners meet by an equi-join on a bin of SO at least as wide as the anchor's
-    tolerance, so only pairs near its distance are made.
+    Every anchor walks the possible first nodes of its pool from a hashed start. How many
+    partners a first node has follows from ranks along SO, without making a pair; at the
+    first node that has any, the drawn one of its partners is looked up by its rank. An
+    anchor without a feasible pair costs one row for every node of its pool.
     """
     kind = F.col("degree") if rule.degree_matched else F.lit(0).cast("long")
-    group = [*rule.pool, "kind"]
-    ranked = materialise(with_position(nodes.withColumn("kind", kind), ["oid"], group, "rank"))
-    sizes = ranked.groupBy(*group).agg(F.count("*").alias("n_first"))
-    ends = F.array(F.struct(F.col("deg_u_pos").alias("a"), F.col("deg_v_pos").alias("b")),
-                   F.struct(F.col("deg_v_pos").alias("a"), F.col("deg_u_pos").alias("b")))
-    if not rule.degree_matched:
-        ends = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b")))
-    # More bits than twice the tolerance: its interval meets at most two bins.
-    level = F.length(F.bin(rule.tolerance().cast("long") * 2)) if rule.anchored else F.lit(0)
-    sided = waiting.select("*", F.explode(F.array_distinct(ends)).alias("e"), level.alias("level"))
-    sided = sided.select("*", F.col("e.a").alias("kind"), F.col("e.b").alias("kind_v")).drop("e")
+    pool, group = rule.pool, [*rule.pool, "kind"]
+    walked = materialise(with_position(nodes.withColumn("kind", kind), ["oid"], group, "rank"))
+    sizes = walked.groupBy(*group).agg(F.count("*").alias("n_first"))
+    ends = [F.struct(F.lit(0).alias("side"), F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))]
+    if rule.degree_matched:
+        degrees = [("deg_u_pos", "deg_v_pos"), ("deg_v_pos", "deg_u_pos")]
+        ends = [F.struct(F.lit(i).alias("side"), F.col(a).alias("a"), F.col(b).alias("b")) for i, (a, b) in enumerate(degrees)]
+    sided = waiting.select("*", F.explode(F.array(*ends)).alias("e"))
+    if rule.degree_matched:
+        sided = sided.filter("e.side = 0 or e.a <> e.b")
+    tolerance = rule.tolerance().cast("long") if rule.anchored else F.lit(_EVERY_DISTANCE)
+    sided = sided.select(
+        "slice_id",
+        "link_id",
+        *pool[1:],
+        "e.side",
+        F.col("e.a").alias("kind"),
+        F.col("e.b").alias("kind_v"),
+        ((F.col("d_pos") if rule.anchored else F.lit(0)) - tolerance).alias("nearest"),
+        ((F.col("d_pos") if rule.anchored else F.lit(0)) + tolerance).alias("farthest"),
+    )
     sided, left = materialise_counted(attach(sided, sizes, group, "inner"), top=F.max("n_first"))
     if not left["rows"]:
         return []
-    levels = [r[0] for r in sided.select("level").distinct().collect()]  # at most 64
-    bin_of = F.expr("shiftright(SO, level)") if rule.anchored else F.lit(0).cast("long")
-    second = materialise(
-        ranked.withColumn("level", F.explode(F.array(*map(F.lit, levels)))).select(
-            *rule.pool,
-            F.col("kind").alias("kind_v"),
-            "level",
-            bin_of.alias("bin"),
-            F.col("oid").alias("v"),
-            F.col("SO").alias("so_v"),
-            F.col("degree").alias("deg_v"),
-        )
+    # Only pools that an anchor still waits in are sorted.
+    asked_of = sided.select(*pool).distinct()
+    second = attach(walked, asked_of, pool, "left_semi").select(
+        *pool, F.col("kind").alias("kind_v"), F.col("oid").alias("v"), F.col("SO").alias("so_v")
     )
-    firsts = ranked.select(
-        *group,
-        F.col("rank").alias("at"),
-        F.col("oid").alias("u"),
-        F.col("SO").alias("so_u"),
-        F.col("degree").alias("deg_u"),
-    )
-
-    def bins() -> Column:
-        if not rule.anchored:
-            return F.array(F.lit(0).cast("long"))
-        tol = rule.tolerance()
-        spans = []
-        for centre in (F.col("so_u") + F.col("d_pos"), F.col("so_u") - F.col("d_pos")):
-            low = F.call_function("shiftright", centre - tol, F.col("level"))
-            high = F.call_function("shiftright", centre + tol, F.col("level"))
-            spans.append(F.sequence(low, high))
-        return F.array_distinct(F.concat(*spans))
-
-    width = 2 * waiting.sparkSession.sparkContext.defaultParallelism
+    second = materialise(with_position(second, ["so_v", "v"], [*pool, "kind_v"], "rank_v"))
+    ends_v = second.select("slice_id", "v", *pool[1:], "kind_v", "so_v", "rank_v")
+    barred = materialise(attach(positives.filter("u <> v"), ends_v, ["slice_id", "v"], "inner"))
+    firsts = walked.select(*group, F.col("rank").alias("at"), F.col("oid").alias("u"), F.col("SO").alias("so_u"))
+    spark = waiting.sparkSession
+    budget = SETTLE_ROWS * spark.sparkContext.defaultParallelism
     found: list[DataFrame] = []
-    first, step = 0, 16
+    first = 0
     while left["rows"] and first < left["top"]:
+        # Few first nodes while many anchors wait, all of a pool for the last ones.
+        step = max(16, budget // left["rows"])
         steps = F.sequence(F.lit(first).cast("long"), F.least(F.lit(first + step), F.col("n_first")) - 1)
         start = draw(seed, "slice_id", "link_id", F.lit("settle"))
         tries = (
             sided.filter(F.col("n_first") > first)
-            .repartition(width, "slice_id", "link_id")
+            .repartition("slice_id", "link_id", "side")
             .select("*", F.explode(steps).alias("step"))
             .withColumn("at", (start % F.col("n_first") + F.col("step")) % F.col("n_first"))
+            .join(firsts, [*group, "at"])
         )
-        pairs = (
-            tries.join(firsts, [*group, "at"])
-            .withColumn("bin", F.explode(bins()))
-            .join(second, [*rule.pool, "kind_v", "level", "bin"])
-            .filter(rule.accepts())
-            .select("slice_id", "link_id", "u", "v", "step")
+        counted = _partner_counts(materialise(tries), second, barred, pool).filter("feasible > 0")
+        names = [c for c in counted.columns if c not in ("slice_id", "link_id")]
+        chosen = materialise(
+            counted.groupBy("slice_id", "link_id")
+            .agg(F.min_by(F.struct(*names), F.struct("step", "side")).alias("p"))
+            .select("slice_id", "link_id", *[f"p.{c}" for c in names])
         )
-        order = F.struct("step", draw(seed, "link_id", "u", "v"), "u", "v")
-        hits = materialise(
-            pairs.join(positives, ["slice_id", "u", "v"], "left_anti")
-            .groupBy("slice_id", "link_id")
-            .agg(F.min_by(F.struct("u", "v"), order).alias("p"))
-            .select("slice_id", "link_id", "p.u", "p.v")
-        )
-        found.append(hits)
+        found.append(materialise(_kth_partner(chosen, second, barred, pool, seed)))
         sided, left = materialise_counted(
-            sided.join(hits, ["slice_id", "link_id"], "left_anti"), top=F.max("n_first")
+            sided.join(chosen, ["slice_id", "link_id"], "left_anti"), top=F.max("n_first")
         )
-        first, step = first + step, step * 4
+        first += step
     return found
 
 

@@ -254,29 +254,63 @@ def negatives_sql(rule: sm.NegativeRule, seed: int) -> str:
         accept += (
             " and ((x.degree = deg_u and y.degree = deg_v) or (x.degree = deg_v and y.degree = deg_u))"
         )
+    own = "slice_id, link_id"
+    kinds = "a.degree" if rule.degree_matched else "0"
+    sides = "(0), (1)" if rule.degree_matched else "(0)"
+    ends = ("deg_u", "deg_v") if rule.degree_matched else ("0", "0")
+    group = pool.replace("slice_id", "a.slice_id").replace("SN", "a.SN")
     return f"""
-nd as (select slice_id, oid, count(*) as degree from (
+nd as materialized (select slice_id, oid, count(*) as degree from (
          select slice_id, u as oid from sk union all select slice_id, v from sk) group by slice_id, oid),
-nodes as (select nd.*, md.SN, md.SO, row_number() over (partition by {pool.replace("slice_id", "nd.slice_id")}
-            order by nd.oid) - 1 as rnk, count(*) over (partition by {pool.replace("slice_id", "nd.slice_id")}) as n
-          from nd join md on md.oid = nd.oid),
-anchor as (
+nodes as materialized (
+  select a.slice_id, a.oid, a.degree, a.SN, a.SO,
+         row_number() over (partition by {group} order by a.oid) - 1 as rnk,
+         count(*) over (partition by {group}) as n, {kinds} as kind,
+         row_number() over (partition by {group}, {kinds} order by a.oid) - 1 as first_rank,
+         count(*) over (partition by {group}, {kinds}) as n_first
+  from (select nd.*, md.SN, md.SO from nd join md on md.oid = nd.oid) a),
+anchor as materialized (
   select sk.slice_id, sk.link_id, a.SN, a.n, abs(a.SO - b.SO) as d_pos, a.degree as deg_u, b.degree as deg_v
   from sk join nodes a on a.slice_id = sk.slice_id and a.oid = sk.u
           join nodes b on b.slice_id = sk.slice_id and b.oid = sk.v),
-draw as (
-  select *, {draw_sql(seed, "slice_id", "link_id", "t * 2")} % n as ru,
+draw as materialized (
+  select slice_id, link_id, SN, t, {draw_sql(seed, "slice_id", "link_id", "t * 2")} % n as ru,
          {draw_sql(seed, "slice_id", "link_id", "t * 2 + 1")} % n as rv
   from anchor, range({limit}) r(t)),
-tried as (
+pair as materialized (
   select a.slice_id, a.link_id, a.t, x.oid as nu, y.oid as nv
   from draw a join nodes x on x.slice_id = a.slice_id and x.rnk = a.ru {same}
-              join nodes y on y.slice_id = a.slice_id and y.rnk = a.rv {same_v}
+              join nodes y on y.slice_id = a.slice_id and y.rnk = a.rv {same_v}),
+tried as materialized (
+  select p.slice_id, p.link_id, p.t, nu, nv
+  from pair p join anchor a on a.slice_id = p.slice_id and a.link_id = p.link_id
+    join nodes x on x.slice_id = p.slice_id and x.oid = nu join nodes y on y.slice_id = p.slice_id and y.oid = nv
   where {accept}),
-neg as (
-  select slice_id, link_id, arg_min(nu, t) as u, arg_min(nv, t) as v from tried
+hit as materialized (
+  select {own}, arg_min(nu, t) as u, arg_min(nv, t) as v from tried
   where not exists (select 1 from sk where sk.slice_id = tried.slice_id and sk.u = nu and sk.v = nv)
-  group by slice_id, link_id)"""
+  group by {own}),
+waiting as materialized (
+  select a.*, side, case side when 0 then {ends[0]} else {ends[1]} end as kind_u,
+         case side when 0 then {ends[1]} else {ends[0]} end as kind_v
+  from anchor a, (values {sides}) k(side)
+  where not exists (select 1 from hit h where h.slice_id = a.slice_id and h.link_id = a.link_id)),
+feasible as materialized (
+  select a.slice_id, a.link_id, a.side, x.oid as nu, y.oid as nv,
+         (x.first_rank - {draw_sql(seed, "a.slice_id", "a.link_id", "'settle'")} % x.n_first + x.n_first)
+           % x.n_first as step,
+         row_number() over (partition by a.slice_id, a.link_id, a.side, x.oid order by y.SO, y.oid) - 1 as place,
+         count(*) over (partition by a.slice_id, a.link_id, a.side, x.oid) as partners
+  from waiting a join nodes x on x.slice_id = a.slice_id and x.kind = a.kind_u {same}
+                 join nodes y on y.slice_id = a.slice_id and y.kind = a.kind_v {same_v}
+  where {accept} and (a.side = 0 or a.kind_u <> a.kind_v)
+    and not exists (select 1 from sk where sk.slice_id = a.slice_id and sk.u = x.oid and sk.v = y.oid)),
+neg as materialized (
+  select * from hit
+  union all
+  select {own}, nu, nv from feasible
+  where place = {draw_sql(seed, "slice_id", "link_id", "'partner'")} % partners
+  qualify row_number() over (partition by {own} order by step, side) = 1)"""
 
 
 SEED = 42

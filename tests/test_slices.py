@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -231,3 +232,22 @@ def test_downsample_keeps_an_exact_share(spark):
     assert sorted(rows(kept)) == sorted(rows(sm.downsample(df.repartition(9), F.col("y") == 0, 0.25, "id")))
     assert sm.drop_edges(df, "id", 0.0).count() == 1000
     assert 850 < sm.drop_edges(df, "id", 0.1).count() < 950
+
+
+def test_settlement_counts_partners_without_pairing_them(spark):
+    """One anchor without a partner in a pool of 100,000 nodes, one with a single partner."""
+    n = 100_000
+    nodes = spark.range(n).selectExpr(
+        "'x' as slice_id", "id as oid", "'c' as SN", "id * 10 as SO", "1L as degree"
+    )
+    far = (n - 1) * 10
+    waiting = spark.createDataFrame(
+        [("x", 1, "c", 15, 1, 1), ("x", 2, "c", far, 1, 1)],
+        "slice_id string, link_id long, SN string, d_pos long, deg_u_pos long, deg_v_pos long",
+    )
+    positives = spark.createDataFrame([("x", 0, n - 1)], "slice_id string, u long, v long")
+    rule = sm.NegativeRule("distance_matched", tol_bp=3, tol_frac=0.0)
+    began = time.monotonic()
+    found = [r for part in sm._settle(waiting, nodes, positives, rule, 7) for r in rows(part)]
+    assert found == [("x", 2, n - 1, 0)]
+    assert time.monotonic() - began < 60
