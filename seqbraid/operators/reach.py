@@ -7,6 +7,8 @@ Results of every round are written, so a lost executor costs one round and plans
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ from seqbraid.operators.skew import attach
 from seqbraid.session import materialise, materialise_counted
 
 MAX_RADIUS = 8
+# Nodes with more neighbours are factored out of neighbourhoods.
+HUB_DEGREE = 256
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -96,6 +100,106 @@ def khop_edges(
     return own.unionByName(added)
 
 
+@dataclass(frozen=True)
+class Reach:
+    """Neighbourhoods of many roots in factored form; see `factored_khops`.
+
+    `direct`: (keys, oid, nb, hop) by ways through no hub. `gates`: (keys, oid, hub, hop,
+    hops), the hubs among them that a root may pass, with the root's own limit. Hubs are
+    roots themselves.
+    """
+
+    keys: list[str]
+    direct: DataFrame
+    gates: DataFrame
+
+
+def factored_khops(
+    adjacency: Adjacency, roots: DataFrame, hub_degree: int = HUB_DEGREE
+) -> Reach:
+    """Neighbourhoods of `roots` (keys, oid, hops) without a row for every pair around a hub.
+
+    A node with more than `hub_degree` neighbours is a hub. Searches stop at hubs and keep
+    one row (root, hub, hops) instead of all that lies behind; what lies behind a hub is kept
+    once, as the hub's own neighbourhood. A star of n links thus takes about 3n rows, not n
+    squared. `expand_khops` puts the neighbourhoods of some roots together.
+    """
+    keys = adjacency.keys
+    node = [*keys, "oid", "node"]
+    hubs = materialise(
+        adjacency.edges.groupBy(*keys, F.col("src").alias("node"))
+        .agg(F.countDistinct("dst").alias("_n"))
+        .filter(F.col("_n") > hub_degree)
+        .select(*keys, "node", F.lit(True).alias("is_hub"))
+    )
+    limit = roots.agg(F.coalesce(F.max("hops"), F.lit(0))).first()[0]
+    as_roots = hubs.select(*keys, F.col("node").alias("oid"), F.lit(limit).cast("int").alias("hops"))
+    start = (
+        roots.select(*keys, "oid", F.col("hops").cast("int").alias("hops"))
+        .unionByName(as_roots)
+        .groupBy(*keys, "oid")
+        .agg(F.max("hops").alias("hops"))
+        .filter("hops > 0")
+    )
+    start = start.select(*keys, "oid", "hops", F.col("oid").alias("node"))
+    levels, more = [materialise(start)], 1
+    live = levels[0]
+    while more:
+        more = _next_level(adjacency, live, levels, node)
+        # A hub is reached, and passed only from the root that it is itself.
+        live = levels[-1].join(hubs, [*keys, "node"], "left_anti").filter(F.col("hops") > len(levels) - 1)
+    rows = _union([level.withColumn("hop", F.lit(i)) for i, level in enumerate(levels) if i])
+    direct = materialise(
+        rows.filter("node <> oid").groupBy(*node, "hops").agg(F.min("hop").alias("hop"))
+    )
+    gates = direct.join(hubs, [*keys, "node"]).filter("hop < hops")
+    return Reach(
+        keys,
+        direct.select(*keys, "oid", F.col("node").alias("nb"), "hop"),
+        gates.select(*keys, "oid", F.col("node").alias("hub"), "hop", "hops"),
+    )
+
+
+def expand_khops(reach: Reach, roots: DataFrame) -> DataFrame:
+    """(keys, oid, nb): everything within `hops` of the named roots (keys, oid, hops).
+
+    The roots must have been given to `factored_khops` with at least these hops.
+    """
+    keys = reach.keys
+    row = [*keys, "oid", "via"]
+    held = materialise(
+        roots.filter("hops > 0").select(
+            *keys, "oid", F.col("oid").alias("via"), F.col("hops").cast("int").alias("left"), F.lit(True).alias("fresh")
+        )
+    )
+    ways = reach.gates.select(*keys, F.col("oid").alias("via"), F.col("hub").alias("_hub"), "hop")
+    while True:
+        offered = (
+            held.filter("fresh")
+            .join(ways, [*keys, "via"])
+            .filter("hop < left")
+            .select(*keys, "oid", F.col("_hub").alias("via"), (F.col("left") - F.col("hop")).alias("_left"))
+            .groupBy(*row)
+            .agg(F.max("_left").alias("_left"))
+        )
+        further = F.col("left").isNull() | (F.col("_left") > F.col("left"))
+        held, seen = materialise_counted(
+            held.select(*row, "left")
+            .join(offered, row, "full")
+            .select(*row, F.greatest("left", "_left").alias("left"), F.coalesce(further, F.lit(False)).alias("fresh")),
+            fresh=F.count_if("fresh"),
+        )
+        if not seen["fresh"]:
+            break
+    behind = reach.direct.withColumnRenamed("oid", "via")
+    return (
+        held.join(behind, [*keys, "via"])
+        .filter("hop <= left and nb <> oid")
+        .select(*keys, "oid", "nb")
+        .distinct()
+    )
+
+
 def sampled_path_length(
     adjacency: Adjacency,
     parts: DataFrame,

@@ -324,6 +324,26 @@ def khop_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rc.khop_edges(graph(spark, sf_dir).links, adjacency, radius)
 
 
+NAMED_SQL = """
+kd(oid, nb, d, h) as (
+  select oid, oid, 0, radius + 1 from rad where oid % 7 = 0
+  union select oid, b, d + 1, h from kd join both_l on a = nb where d < h)"""
+
+
+@query(
+    "khop_named",
+    recursive(
+        GRAPH_SQL, DEGREE_SQL, RADIUS_SQL, NAMED_SQL, "select distinct oid, nb from kd where nb <> oid"
+    ),
+)
+def khop_named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbourhoods of named roots, here every seventh id, from the factored table of all nodes."""
+    radius, _, adjacency = radii(spark, sf_dir)
+    roots = radius.select("oid", (F.least("radius", F.lit(rc.MAX_RADIUS)) + 1).alias("hops"))
+    reach = rc.factored_khops(adjacency, roots, hub_degree=4)
+    return rc.expand_khops(reach, roots.filter("oid % 7 = 0"))
+
+
 PATH_SQL = f"""
 src as (select slice_id, oid from (
           select slice_id, oid, row_number() over (partition by slice_id

@@ -7,6 +7,7 @@ import time
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from frames import rows
 from seqbraid.operators import attention as at
@@ -209,3 +210,44 @@ def test_path_length_of_a_long_chain(spark):
     order = sorted(range(n), key=lambda x: (int(hashlib.md5(f"42|{x}".encode()).hexdigest()[:15], 16), x))
     total = sum(s * (s + 1) / 2 + (n - 1 - s) * (n - s) / 2 for s in order[:200])
     assert got == pytest.approx(total / (200 * (n - 1)))
+
+
+@pytest.mark.parametrize("hub_degree", [2, 3, 100])
+def test_factored_neighbourhoods_expand_to_all_pairs(spark, graphs, hub_degree):
+    cases, links = graphs
+    keys = ["slice_id"]
+    adjacency = Adjacency.build(links, keys)
+    roots = ix.oriented_degree(links, ("slice_id",)).selectExpr("slice_id", "oid", "cast(oid % 5 as int) as hops")
+    reach = rc.factored_khops(adjacency, roots, hub_degree)
+    want = {
+        (name, node, n)
+        for name, pairs in cases.items()
+        for lists in [_lists(pairs)]
+        for node in lists
+        for n, d in _distances(lists, node).items()
+        if 0 < d <= node % 5
+    }
+    got = rows(rc.expand_khops(reach, roots).select("slice_id", "oid", "nb"))
+    assert len(got) == len(set(got)) and set(got) == want
+    named = roots.filter("oid % 2 = 1 and hops >= 1").withColumn("hops", F.lit(1))
+    near = {
+        (name, node, n)
+        for name, pairs in cases.items()
+        for lists in [_lists(pairs)]
+        for node in lists
+        for n in set(lists[node]) - {node}
+        if node % 2 == 1 and node % 5 > 0
+    }
+    assert set(rows(rc.expand_khops(reach, named).select("slice_id", "oid", "nb"))) == near
+
+
+def test_star_of_many_links_is_not_paired(spark):
+    n = 100_000
+    links = spark.range(1, n + 1).selectExpr("0L as u", "id as v")
+    roots = spark.range(n + 1).selectExpr("id as oid", "2 as hops")
+    began = time.monotonic()
+    reach = rc.factored_khops(Adjacency.build(links), roots)
+    assert reach.direct.count() == 2 * n and reach.gates.count() == n
+    some = rc.expand_khops(reach, roots.filter("oid in (0, 5, 77)"))
+    assert dict(rows(some.groupBy("oid").count())) == {0: n, 5: n, 77: n}
+    assert time.monotonic() - began < 60
