@@ -7,7 +7,7 @@ pairs that intervals of one class share with [a, b) are C(b) - C(a), where
 
 is a running sum. A pile of intervals on one spot, a very long interval or a
 contig with a third of the rows therefore costs no more than any other row.
-Where the pairs themselves are wanted, both sides are cut into coordinate bins.
+Where the pairs themselves are wanted, both sides meet in hierarchical bins.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from seqbraid.functions.names import contig_chrom
 from seqbraid.operators.ordering import running_sums
 from seqbraid.operators.skew import attach
 from seqbraid.schemas import ELEMENT_CLASSES, ELEMENT_PRIORITY
+from seqbraid.session import materialise
 
 CLASSES = [c for c in ELEMENT_CLASSES if c != "background"]
 
@@ -191,47 +192,111 @@ def label_summary(labels: DataFrame) -> DataFrame:
     )
 
 
+# Bins of one level are this many times as wide as those of the level below.
+BIN_STEP = 8
+LEVELS = 16
+BIN_WIDTH = 4096
+# A bin with more intervals of one side is split over several tasks.
+BIN_ROWS = 500_000
+
+
+def _last(start: Column, end: Column) -> Column:
+    return F.greatest(start, end - 1)
+
+
+def _level(start: Column, end: Column, bin_width: int) -> Column:
+    """The lowest level whose bins are no narrower than the interval."""
+    length = _last(start, end) - start + 1
+    out = F.lit(LEVELS - 1)
+    for level in range(LEVELS - 2, -1, -1):
+        out = F.when(length <= bin_width * BIN_STEP**level, level).otherwise(out)
+    return out
+
+
+def _in_bins(df: DataFrame, start: str, end: str, levels: Column, bin_width: int) -> DataFrame:
+    """A row for every bin that an interval meets at each of some levels, two at most per level."""
+    width = F.lit(bin_width) * F.pow(F.lit(BIN_STEP), F.col("_level")).cast("long")
+    wide = df.withColumn("_level", F.explode(levels)).withColumn("_width", width)
+    first = F.floor(F.col(start) / F.col("_width"))
+    last = F.floor(_last(F.col(start), F.col(end)) / F.col("_width"))
+    return wide.withColumn("_bin", F.explode(F.sequence(first, last)))
+
+
 def overlap_pairs(
-    left: DataFrame, right: DataFrame, keys: list[str], bin_width: int, salts: int = 1
+    left: DataFrame,
+    right: DataFrame,
+    keys: list[str],
+    bin_width: int = BIN_WIDTH,
+    bin_rows: int = BIN_ROWS,
 ) -> DataFrame:
     """All overlapping pairs of rows with columns `start`, `end` on equal `keys`.
 
-    The output has the columns of both sides, the right bounds renamed to
-    r_start and r_end. A right row is copied into every bin it meets, and a pair
-    is kept only in the bin where its later start lies, so nothing is repeated.
-    `salts` splits each bin of the left side for inputs that pile up in few bins.
+    The output has the columns of both sides, the right bounds renamed to r_start and r_end.
+    Bins are hierarchical: an interval is at home on the lowest level whose bins hold its
+    length, in the one or two bins that it meets there, however long it is. Of two that
+    overlap, the one of the lower (or an equal) level looks the other up in its home bins, so
+    it is compared on the levels that the other side uses and on no more. A pair is kept only
+    in the bin where its later start lies, so nothing is repeated. Home bins are counted,
+    and one of more than `bin_rows` intervals is split over salts; there are at most
+    rows / bin_rows of those.
     """
+    b = right.withColumnRenamed("start", "r_start").withColumnRenamed("end", "r_end")
+    own_a = _level(F.col("start"), F.col("end"), bin_width)
+    own_b = _level(F.col("r_start"), F.col("r_end"), bin_width)
+    on = [*keys, "_level", "_bin"]
+    later = F.greatest("start", "r_start")
+
+    def used(df: DataFrame, own: Column) -> list[int]:
+        return sorted(r[0] for r in df.select(own.alias("l")).distinct().collect())  # at most LEVELS
+
+    def matched(home: DataFrame, probe: DataFrame) -> DataFrame:
+        hot = materialise(
+            home.groupBy(*on)
+            .count()
+            .filter(F.col("count") > bin_rows)
+            .select(*on, F.ceil(F.col("count") / bin_rows).alias("_salts"))
+        )
+        join_on = on
+        if not hot.isEmpty():
+            salts = F.coalesce("_salts", F.lit(1).cast("long"))
+            own = F.xxhash64(*[c for c in home.columns if c not in on])
+            home = home.join(F.broadcast(hot), on, "left").withColumn("_salt", F.pmod(own, salts)).drop("_salts")
+            every = F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))
+            probe = probe.join(F.broadcast(hot), on, "left").withColumn("_salt", every).drop("_salts")
+            join_on = [*on, "_salt"]
+        return (
+            home.drop("_width")
+            .join(probe, join_on)
+            .filter((F.col("start") < F.col("r_end")) & (F.col("end") > F.col("r_start")))
+            .filter(F.col("_bin") == F.floor(later / F.col("_width")))
+            .select(*left.columns, *[c for c in b.columns if c not in keys])
+        )
 
-    def bins(start: Column, end: Column) -> Column:
-        last = F.greatest(start, end - 1)
-        return F.explode(F.sequence(F.floor(start / bin_width), F.floor(last / bin_width)))
+    def levels(side: list[int], own: Column, equal: bool) -> Column:
+        return F.filter(
+            F.array(*map(F.lit, side)), lambda level: (level >= own) if equal else (level > own)
+        )
 
-    a = left.withColumn("_bin", bins(F.col("start"), F.col("end")))
-    b = (
-        right.withColumnRenamed("start", "r_start")
-        .withColumnRenamed("end", "r_end")
-        .withColumn("_bin", bins(F.col("r_start"), F.col("r_end")))
+    levels_a, levels_b = used(left, own_a), used(b, own_b)
+    low_a = matched(
+        _in_bins(b, "r_start", "r_end", F.array(own_b), bin_width),
+        _in_bins(left, "start", "end", levels(levels_b, own_a, True), bin_width),
     )
-    on = [*keys, "_bin"]
-    if salts > 1:
-        a = a.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)))
-        b = b.withColumn("_salt", F.explode(F.expr(f"sequence(0L, {salts - 1}L)")))
-        on.append("_salt")
-    later = F.greatest("start", "r_start")
-    return (
-        a.join(b, on)
-        .filter((F.col("start") < F.col("r_end")) & (F.col("end") > F.col("r_start")))
-        .filter(F.col("_bin") == F.floor(later / bin_width))
-        .drop("_bin", *(["_salt"] if salts > 1 else []))
+    if not any(i > j for i in levels_a for j in levels_b):
+        return low_a
+    low_b = matched(
+        _in_bins(left, "start", "end", F.array(own_a), bin_width),
+        _in_bins(b, "r_start", "r_end", levels(levels_a, own_b, False), bin_width),
     )
+    return low_a.unionByName(low_b)
 
 
 def window_core(
-    windows: DataFrame, index: DataFrame, bin_width: int | None = None, salts: int = 1
+    windows: DataFrame, index: DataFrame, bin_width: int = BIN_WIDTH, bin_rows: int = BIN_ROWS
 ) -> DataFrame:
     """(slice_id, segid) of every segment that overlaps a window of its contig.
 
-    `windows` has slice_id, target_sn, start, end. Bins default to 500,000.
+    `windows` has slice_id, target_sn, start, end.
     """
     segs = index.select(
         F.col("SN").alias("target_sn"),
@@ -241,8 +306,7 @@ def window_core(
     )
     wins = windows.select("slice_id", "target_sn", "start", "end")
     near = attach(segs, wins.select("target_sn").distinct(), ["target_sn"], "left_semi")
-    pairs = overlap_pairs(near, wins, ["target_sn"], bin_width or 500_000, salts)
-    return pairs.select("slice_id", "segid")
+    return overlap_pairs(near, wins, ["target_sn"], bin_width, bin_rows).select("slice_id", "segid")
 
 
 def overlap_counts(windows: DataFrame, index: DataFrame) -> DataFrame:

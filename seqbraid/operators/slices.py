@@ -268,7 +268,7 @@ def _attempt_slices(
         named.groupBy("slice_id").agg(F.min_by(F.struct(*named.drop("slice_id").columns), "attempt").alias("w"))
         .select("slice_id", "w.*")
     )
-    core = window_core(first, index, window_bp)
+    core = window_core(first, index)
     kept, slice_links = induced_subgraph(links, core, closure == "1hop")
     slice_links = materialise(slice_links)
     negatives = sample_negatives(slice_links, metadata, rule, seed)

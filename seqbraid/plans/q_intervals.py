@@ -210,4 +210,4 @@ def overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     segs = iv.reference_segments(graph(spark, sf_dir).segments, bed).select(
         "segid", "chrom", F.col("SO").alias("start"), (F.col("SO") + F.col("LN")).alias("end")
     )
-    return iv.overlap_pairs(segs, bed, ["chrom"], 10_000).select("segid", "cCRE_acc")
+    return iv.overlap_pairs(segs, bed, ["chrom"]).select("segid", "cCRE_acc")

@@ -67,7 +67,7 @@ _slices: dict[tuple[str, str, str], Slices] = {}
 def fresh_slices(spark: SparkSession, sf_dir: str, closure: str) -> Slices:
     g = graph(spark, sf_dir)
     windows = sl.grid_windows(g.segments, F.col("SN").startswith("GRCh38"), WINDOW_BP, closure)
-    core = materialise(iv.window_core(windows, g.segments, WINDOW_BP))
+    core = materialise(iv.window_core(windows, g.segments))
     kept, links = sl.induced_subgraph(g.links, core, closure == "1hop")
     return Slices(windows, core, kept, links)
 
@@ -87,7 +87,7 @@ def slices(spark: SparkSession, sf_dir: str, closure: str) -> Slices:
 def window_core(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments = graph(spark, sf_dir).segments
     windows = sl.grid_windows(segments, F.col("SN").startswith("GRCh38"), WINDOW_BP, "strict")
-    return iv.window_core(windows, segments, WINDOW_BP)
+    return iv.window_core(windows, segments)
 
 
 @query(

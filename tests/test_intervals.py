@@ -70,8 +70,8 @@ def test_random_overlaps_match_brute_force(spark):
     assert pairs.agg(F.sum("overlap_bp")).first()[0] == sum(r.overlap_bp for r in got.values())
 
 
-@pytest.mark.parametrize("width,salts", [(7, 1), (1000, 1), (50, 4)])
-def test_windows_and_pairs_match_the_predicate(spark, width, salts):
+@pytest.mark.parametrize("width,rows_per_bin", [(7, 10**6), (1000, 10**6), (50, 3)])
+def test_windows_and_pairs_match_the_predicate(spark, width, rows_per_bin):
     rng = random.Random(9)
     spans = [(rng.randrange(-20, 200), rng.choice([0, 0, 3, 90])) for _ in range(80)]
     wins = [(f"w{i}", "GRCh38#0#chr1", s := rng.randrange(-40, 200), s + 20) for i in range(25)]
@@ -80,7 +80,7 @@ def test_windows_and_pairs_match_the_predicate(spark, width, salts):
     want = sorted(
         (w, i) for w, _, a, b in wins for i, (so, ln) in enumerate(spans) if so < b and so + ln > a
     )
-    assert sorted(rows(iv.window_core(windows, index, width, salts))) == want
+    assert sorted(rows(iv.window_core(windows, index, width, rows_per_bin))) == want
     counts = dict(rows(iv.overlap_counts(windows.withColumnRenamed("slice_id", "window_id"), index)))
     assert counts == {w[0]: sum(1 for x, _ in want if x == w[0]) for w in wins}
 
@@ -89,3 +89,27 @@ def test_no_rows_is_an_error(spark):
     bed = spark.createDataFrame([("chrZ", 0, 9, "a", "CA")], BED)
     with pytest.raises(RuntimeError):
         iv.require_rows(iv.node_labels(bed, _index(spark, [(0, 5)])))
+
+
+@pytest.mark.parametrize("bin_rows", [10**6, 20])
+def test_pairs_of_intervals_of_every_length(spark, bin_rows):
+    rng = random.Random(4)
+    def draw(n):
+        out = [(rng.choice("ab"), s, s + int(rng.paretovariate(0.3)) % 10**6) for s in (rng.randrange(-500, 10**5) for _ in range(n))]
+        return out + [("a", 50, 90)] * 40 + [("a", 4096, 4096), ("b", -10**7, 10**9), ("a", 8, 8)]
+    left = [(i, *r) for i, r in enumerate(draw(150))]
+    right = [(i, *r) for i, r in enumerate(draw(150))]
+    a = spark.createDataFrame(left, "i long, chrom string, start long, end long")
+    b = spark.createDataFrame(right, "j long, chrom string, start long, end long")
+    got = rows(iv.overlap_pairs(a, b, ["chrom"], 16, bin_rows).select("i", "j"))
+    want = [(i, j) for i, c, s, e in left for j, d, x, y in right if c == d and s < y and e > x]
+    assert sorted(got) == sorted(want) and len(want) > 2000
+
+
+def test_an_interval_stands_in_two_bins_however_long(spark):
+    long = spark.createDataFrame([(0, 3 * 10**9)], "start long, end long")
+    own = iv._level(F.col("start"), F.col("end"), iv.BIN_WIDTH)
+    assert iv._in_bins(long, "start", "end", F.array(own), iv.BIN_WIDTH).count() == 1
+    pile = spark.range(200_000).selectExpr("'c' as chrom", "1000 + id % 50 as start", "1100 + id % 50 as end")
+    whole = spark.createDataFrame([("c", 0, 3 * 10**9)], "chrom string, start long, end long")
+    assert iv.overlap_pairs(pile, whole, ["chrom"], bin_rows=10_000).count() == 200_000
