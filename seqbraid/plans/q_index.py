@@ -111,14 +111,13 @@ kept as (select name from hit union select a from near union select b from near)
         GRAPH_SQL,
         PARSED_SQL,
         TARGETED_SQL,
-        """select row_number() over (order by segid) - 1 as id, name, LN, SN, SO, SR
+        """select row_number() over (order by segid) - 1 as id, name, seq, LN, SN, SO, SR
            from parsed where name in (select name from kept)""",
     ),
 )
 def gfa_targeted(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets = targets_table(spark, ["chr1"], "GRCh38#0")
-    _, _, kept = gfa.targeted_records(_records(spark, sf_dir), targets, True)
-    return gfa.segments_of(kept).drop("seq")
+    return gfa.targeted_tables(_records(spark, sf_dir), targets, True)[0]
 
 
 @query(
@@ -127,14 +126,13 @@ def gfa_targeted(spark: SparkSession, sf_dir: str) -> DataFrame:
         GRAPH_SQL,
         PARSED_SQL,
         TARGETED_SQL,
-        """select from_seg, from_orient, to_seg, to_orient from lk
+        """select from_seg, from_orient, to_seg, to_orient, overlap, 0 as SR, '' as L1, '' as L2 from lk
            where from_seg in (select name from kept) and to_seg in (select name from kept)""",
     ),
 )
 def gfa_targeted_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets = targets_table(spark, ["chr1"], "GRCh38#0")
-    _, _, kept = gfa.targeted_records(_records(spark, sf_dir), targets, True)
-    return gfa.links_of(kept).select("from_seg", "from_orient", "to_seg", "to_orient")
+    return gfa.targeted_tables(_records(spark, sf_dir), targets, True)[1]
 
 
 @query(

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqbraid.operators.ordering import with_position
+from seqbraid.operators.ordering import running_sums
 from seqbraid.operators.skew import attach
 from seqbraid.session import materialise, materialise_counted
 
+# Rows of three numbers that are sent to every task at most: file blocks, and words of lines.
+BLOCK_ROWS = 4_000_000
+WORD_ROWS = 4_000_000
+
 
 def _scan(spark: SparkSession, path: str) -> DataFrame:
     """Text lines with the file block they come from, in scan order."""
@@ -20,38 +24,35 @@ def _scan(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _number_blocks(lines: DataFrame, name: str) -> DataFrame:
-    """Number rows along (path, block, row in block) without moving a row.
+    """Number rows along (path, block, row in block) without shuffling a row.
 
-    `lines` comes straight from `_scan`, at most filtered, so that row ids follow
-    the scan. Only the row count of every block is gathered and ordered. Should
-    the file splits change between the two scans, the query fails.
+    `lines` comes straight from `_scan`, at most filtered. It is scanned once, into a
+    columnar copy that keeps each row's block and place, so the numbers cannot depend on a
+    second scan that might cut the files differently. Only the row count of every block is
+    gathered and ordered, and sent back to all tasks: one row for each block of a file.
     """
-    rows = lines.withColumn("_row", F.monotonically_increasing_id())
-    block = ["_path", "_start"]
-    sizes = rows.groupBy(*block).agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
-    # One row per file block, far fewer than lines.
-    before = Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
-    # Written, so that the planner sees its size and broadcasts it only if it is small.
-    shifts = materialise(
-        sizes.select(
+    rows = materialise(
+        lines.select(
+            "value",
             F.xxhash64("_path").alias("_file"),
+            "_path",
             "_start",
-            (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"),
+            F.monotonically_increasing_id().alias("_place"),
         )
     )
-    shift = F.coalesce("_shift", F.raise_error(F.lit("file blocks changed between two scans")))
-    return (
-        rows.withColumn("_file", F.xxhash64("_path"))
-        .join(shifts, ["_file", "_start"], "left")
-        .select("value", (F.col("_row") + shift).alias(name))
+    block = ["_path", "_start"]
+    sizes = rows.groupBy(*block, "_file").agg(F.min("_place").alias("_first"), F.count("*").alias("_n"))
+    ended = running_sums(sizes, block, [], {"_upto": F.col("_n")})
+    shifts = ended.select("_file", "_start", (F.col("_upto") - F.col("_n") - F.col("_first")).alias("_shift"))
+    return rows.join(_small(shifts, BLOCK_ROWS), ["_file", "_start"]).select(
+        "value", (F.col("_place") + F.col("_shift")).alias(name)
     )
 
 
-def _spread(lines: DataFrame, path: str) -> DataFrame:
-    """A gzip file is one block and one task, so its rows are spread for the next step."""
-    if not path.endswith(".gz"):
-        return lines
-    return lines.repartition(lines.sparkSession.sparkContext.defaultParallelism)
+def _small(table: DataFrame, limit: int) -> DataFrame:
+    """`table`, written, and marked for broadcast if it has at most `limit` (narrow) rows."""
+    table, seen = materialise_counted(table)
+    return F.broadcast(table) if seen["rows"] <= limit else table
 
 
 def read_lines(spark: SparkSession, path: str, max_lines: int | None = None) -> DataFrame:
@@ -59,7 +60,7 @@ def read_lines(spark: SparkSession, path: str, max_lines: int | None = None) ->
     lines = _number_blocks(_scan(spark, path), "line_no")
     if max_lines is not None:
         lines = lines.filter(F.col("line_no") < max_lines)
-    return _spread(lines, path)
+    return lines
 
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
@@ -71,12 +72,12 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
     fields = F.split("value", "\t")
     # At least three fields: the mark, a tab, and one more tab further on.
     kept = _scan(spark, path).filter(F.col("value").like("S\t%\t%"))
-    return _spread(_number_blocks(kept, "id"), path).select("id", *segment_columns(fields))
+    return _number_blocks(kept, "id").select("id", *segment_columns(fields))
 
 
 def read_links(spark: SparkSession, path: str) -> DataFrame:
     """Link table of a whole file; no order is needed, so lines are not numbered."""
-    return links_of(split_records(_spread(spark.read.text(path), path)))
+    return links_of(split_records(spark.read.text(path)))
 
 
 def split_records(lines: DataFrame) -> DataFrame:
@@ -139,13 +140,31 @@ def link_columns(fields: Column) -> list[Column]:
     ]
 
 
+def _chosen(records: DataFrame, lines: DataFrame, name: str) -> DataFrame:
+    """The records whose line_no stands in `lines`, with their place among those lines.
+
+    The chosen lines are put into words of 64 bits with the number of chosen ones before
+    each. Up to WORD_ROWS words meet the records by broadcast, so no text is shuffled;
+    more meet them by a join on the word.
+    """
+    bit = F.expr("shiftleft(1L, cast(line_no & 63 as int))")
+    below = F.expr("~shiftleft(-1L, cast(line_no & 63 as int))")
+    words = lines.groupBy(F.shiftright("line_no", 6).alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    words = words.withColumn("_n", F.bit_count("_bits").cast("long"))
+    ended = running_sums(words, ["_word"], [], {"_upto": F.col("_n")})
+    ended = ended.select("_word", "_bits", (F.col("_upto") - F.col("_n")).alias("_before"))
+    placed = records.withColumn("_word", F.shiftright("line_no", 6)).join(_small(ended, WORD_ROWS), "_word")
+    return placed.filter(F.col("_bits").bitwiseAND(bit) != 0).select(
+        *records.columns,
+        (F.col("_before") + F.bit_count(F.col("_bits").bitwiseAND(below))).alias(name),
+    )
+
+
 def segments_of(records: DataFrame) -> DataFrame:
     """Segment table of any record selection; `id` counts its S records in line order."""
     kind, fields = F.col("kind"), F.col("fields")
-    kept = records.filter(is_segment(kind, fields)).select("line_no", *segment_columns(fields))
-    # Number the narrow key only, so that long sequences are moved once.
-    ids = with_position(kept.select("line_no"), ["line_no"], name="id")
-    return kept.join(ids, "line_no").select("id", "name", "seq", "LN", "SN", "SO", "SR")
+    kept = records.filter(is_segment(kind, fields))
+    return _chosen(kept, kept.select("line_no"), "id").select("id", *segment_columns(fields))
 
 
 def links_of(records: DataFrame) -> DataFrame:
@@ -178,21 +197,17 @@ def parse_stats(lines: DataFrame) -> DataFrame:
     )
 
 
-def targeted_records(
-    records: DataFrame, targets: DataFrame, include_link_neighbors: bool = False
+def _closure(
+    records: DataFrame, targets: DataFrame, include_link_neighbors: bool
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(target names, kept names, kept records) for the contigs listed in `targets` (SN).
-
-    With neighbours, both ends of every link that touches a target name are
-    kept too. A segment stays when its name is kept, a link when both ends are.
-    """
+    """(target names, kept names, kept lines) from names alone; sequences are not touched."""
     kind, fields = F.col("kind"), F.col("fields")
     segment = is_segment(kind, fields)
-    # The names are needed in several passes; one columnar copy of the parse
-    # lets each pass read just the names instead of parsing the text again.
+    # A narrow copy: every further pass reads names instead of parsing the text again.
     parsed = materialise(
         records.filter(segment | is_link(kind, fields)).select(
-            "*",
+            "line_no",
+            "kind",
             fields[1].alias("a"),
             F.when(kind == "L", fields[3]).alias("b"),
             F.when(segment, F.coalesce(tag_value(fields, 4, "SN"), F.lit(""))).alias("SN"),
@@ -216,8 +231,33 @@ def targeted_records(
     of_a, of_b = kept.withColumnRenamed("name", "a"), kept.withColumnRenamed("name", "b")
     segments = attach(segment_rows, of_a, ["a"], "left_semi")
     links = attach(attach(link_rows, of_a, ["a"], "left_semi"), of_b, ["b"], "left_semi")
-    kept_rows = segments.select(*records.columns).unionByName(links.select(*records.columns))
-    return hits, kept, kept_rows
+    narrow = ["line_no", "kind"]
+    return hits, kept, materialise(segments.select(*narrow).unionByName(links.select(*narrow)))
+
+
+def targeted_records(
+    records: DataFrame, targets: DataFrame, include_link_neighbors: bool = False
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(target names, kept names, kept records) for the contigs listed in `targets` (SN).
+
+    With neighbours, both ends of every link that touches a target name are
+    kept too. A segment stays when its name is kept, a link when both ends are.
+    Whole records are fetched in a second scan by their line numbers.
+    """
+    hits, kept, lines = _closure(records, targets, include_link_neighbors)
+    return hits, kept, _chosen(records, lines, "_at").select(*records.columns)
+
+
+def targeted_tables(
+    records: DataFrame, targets: DataFrame, include_link_neighbors: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """(segments, links) of a targeted parse, with all their columns; ids count kept segments."""
+    _, _, lines = _closure(records, targets, include_link_neighbors)
+    fields = F.col("fields")
+    segments, links = (
+        _chosen(records, lines.filter(F.col("kind") == kind).select("line_no"), "id") for kind in "SL"
+    )
+    return segments.select("id", *segment_columns(fields)), links.select(*link_columns(fields))
 
 
 def targeted_stats(

@@ -90,6 +90,30 @@ def test_line_numbers_cross_file_blocks(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_numbers_do_not_depend_on_the_splits(spark, tmp_path):
+    """Each scan is numbered from its own copy, so any two ways to cut a file agree."""
+    path = tmp_path / "cut.gfa"
+    path.write_text("".join(f"S\tn{i}\t{'A' * (i % 90)}\n" for i in range(3000)))
+    seen = []
+    try:
+        for size in ("4096", "50000", "100000000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            seen.append(gfa.read_lines(spark, str(path)))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len({tuple(sorted(rows(lines))) for lines in seen}) == 1
+    assert sorted(r.line_no for r in seen[0].collect()) == list(range(3000))
+
+
+def test_targeted_parse_shuffles_no_sequence(spark, tmp_path):
+    path = tmp_path / "t.gfa"
+    path.write_text(TARGETED)
+    records = gfa.split_records(gfa.read_lines(spark, str(path)))
+    targets = spark.createDataFrame([("id=CHM13|chr22",)], "SN string")
+    segments, _ = gfa.targeted_tables(records, targets, True)
+    assert "Exchange hashpartitioning" not in segments._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("text,value", [("12", 12), (" 12 ", 12), ("-3", -3), ("1.5", 9), ("", 9), (None, 9), ("z", 9)])
 def test_integer_coercion(spark, text, value):
     df = spark.createDataFrame([(text,)], "x string").select(gfa.to_int(F.col("x"), 9).alias("v"))
@@ -122,6 +146,9 @@ def test_targeted_parse(spark, tmp_path, near, names, links):
     segs = gfa.segments_of(kept_records)
     assert [r[0] for r in rows(segs.select("id"), "id")] == list(range(len(names)))
     assert gfa.links_of(kept_records).count() == links
+    own, joined = gfa.targeted_tables(records, targets, near)
+    assert sorted(rows(own)) == sorted(rows(segs)) and joined.count() == links
+    assert "seq" in own.columns and {"overlap", "SR", "L1", "L2"} <= set(joined.columns)
     stats = gfa.targeted_stats(lines, records, targets, near).first()
     assert (stats.target_segments, stats.kept_segment_names, stats.links) == (1, len(names), links)
     assert stats.lines_read == 8
