@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,17 +38,22 @@ def rank_window_edges(nodes: DataFrame, window_k: int, keys: list[str] | None =
 
 
 def edge_softmax(
-    edges: DataFrame, score: str, keys: list[str] | None = None, name: str = "weight"
+    edges: DataFrame,
+    score: str,
+    keys: list[str] | None = None,
+    name: str = "weight",
+    temperature: str | None = None,
 ) -> DataFrame:
-    """Softmax of `score` over the edges of each (keys, dst).
+    """Softmax of `score`, over `temperature` if one is named, on the edges of each (keys, dst).
 
     The shift is max(0, largest score) and the denominator gets 1e-8 added. Two
     map-side combined aggregations are attached back instead of a window over
     dst, which would gather all edges of a hub in one task.
     """
     group = [*(keys or []), "dst"]
-    tops = materialise(edges.groupBy(*group).agg(F.greatest(F.lit(0.0), F.max(score)).alias("_top")))
-    raised = attach(edges, tops, group, "inner").withColumn("_e", F.exp(F.col(score) - F.col("_top")))
+    value = F.col(score) if temperature is None else tempered(F.col(score), F.col(temperature))
+    tops = materialise(edges.groupBy(*group).agg(F.greatest(F.lit(0.0), F.max(value)).alias("_top")))
+    raised = attach(edges, tops, group, "inner").withColumn("_e", F.exp(value - F.col("_top")))
     sums = materialise(raised.groupBy(*group).agg((F.sum("_e") + F.lit(1e-8)).alias("_s")))
     return attach(raised, sums, group, "inner").select(
         *edges.columns, (F.col("_e") / F.col("_s")).alias(name)
@@ -61,16 +68,15 @@ def tempered(score: Column, temperature: Column) -> Column:
 def weighted_neighbor_sum(
     edges: DataFrame, vectors: DataFrame, keys: list[str] | None = None, weight: str = "weight"
 ) -> DataFrame:
-    """(keys, dst, pos, value): sum over edges of weight times the source's vector.
+    """(keys, dst, x): sum over edges of weight times the source's vector.
 
-    `vectors` has (keys, oid, x) with an array column; partial sums are formed
-    per position before the shuffle.
+    `vectors` has (keys, oid, x) with an array column. Every task sends one partial vector
+    per target, so a hub's edges do not meet before they are added up.
     """
     keys = keys or []
     sources = vectors.withColumnRenamed("oid", "src")
     wide = attach(edges.select(*keys, "src", "dst", weight), sources, [*keys, "src"], "inner")
-    return (
-        wide.select(*keys, "dst", weight, F.posexplode("x").alias("pos", "_x"))
-        .groupBy(*keys, "dst", "pos")
-        .agg(F.sum(F.col(weight) * F.col("_x")).alias("value"))
-    )
+    # Weighted before the sum, as a weight may be negative.
+    scaled = array_to_vector(F.transform("x", lambda x: x * F.col(weight)))
+    sums = wide.groupBy(*keys, "dst").agg(Summarizer.sum(scaled).alias("_s"))
+    return sums.select(*keys, "dst", vector_to_array("_s").alias("x"))

@@ -10,6 +10,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,15 +20,16 @@ from seqbraid.operators.skew import attach
 def mean_embeddings(vectors: DataFrame) -> DataFrame:
     """(segid, embedding, n): mean over all slices and both strands.
 
-    `vectors` has oid and an array column `x`. Sums are formed per position
-    before the shuffle, so a node met in many slices is no hot spot.
+    `vectors` has oid and an array column `x`. Every task sends one partial vector per
+    segment, however often a node is met; null vectors do not count.
     """
-    parts = vectors.select(F.shiftright("oid", 1).alias("segid"), F.posexplode("x").alias("pos", "_x"))
-    means = parts.groupBy("segid", "pos").agg(F.avg("_x").alias("m"), F.count("*").alias("n"))
-    packed = means.groupBy("segid").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("_p"), F.max("n").alias("n")
+    x = array_to_vector("x")
+    return (
+        vectors.filter("x is not null")
+        .groupBy(F.shiftright("oid", 1).alias("segid"))
+        .agg(Summarizer.mean(x).alias("_m"), F.count("*").alias("n"))
+        .select("segid", vector_to_array("_m").alias("embedding"), "n")
     )
-    return packed.select("segid", F.transform("_p", lambda p: p["m"]).alias("embedding"), "n")
 
 
 class Standardizer:

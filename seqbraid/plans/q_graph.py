@@ -470,4 +470,28 @@ def neighbor_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources = graph(spark, sf_dir).links.select(F.col("u").alias("oid")).distinct()
     vector = F.array(*[(F.col("oid") % (7 + p)) / 10.0 for p in range(4)])
     sums = at.weighted_neighbor_sum(softmax(spark, sf_dir), sources.select("oid", vector.alias("x")))
-    return _rounded(sums, "value")
+    return _rounded(sums.select("dst", F.posexplode("x").alias("pos", "value")), "value")
+
+
+@query(
+    "edge_softmax_tempered",
+    oracle(
+        GRAPH_SQL,
+        """ts as (select link_id, u as src, v as dst,
+                  ((u * 7 + v * 3) % 23 - 11) / 4.0 / greatest((v % 9) / 8.0, 0.1) as score from lk),
+           tt as (select dst, greatest(0.0, max(score)) as top from ts group by dst),
+           te as (select ts.*, exp(score - top) as e from ts join tt on tt.dst = ts.dst)""",
+        """select link_id, src, dst, round(e / (sum(e) over (partition by dst) + 1e-8), 6) as weight from te""",
+    ),
+)
+def edge_softmax_tempered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores over the target node's temperature, some of which are below the least allowed."""
+    edges = graph(spark, sf_dir).links.select(
+        "link_id",
+        F.col("u").alias("src"),
+        F.col("v").alias("dst"),
+        (((F.col("u") * 7 + F.col("v") * 3) % 23 - 11) / 4.0).alias("score"),
+        ((F.col("v") % 9) / 8.0).alias("temp"),
+    )
+    weighted = at.edge_softmax(edges, "score", temperature="temp")
+    return weighted.select("link_id", "src", "dst", F.round("weight", 6).alias("weight"))

@@ -163,8 +163,10 @@ def test_softmax_and_weighted_sum(spark):
     assert abs(got[0, 8] - 1 / (1 + 1e-8)) < 1e-12
     vectors = spark.createDataFrame([(0, [1.0, 2.0]), (1, [10.0, 0.0])], "oid long, x array<double>")
     sums = at.weighted_neighbor_sum(at.edge_softmax(edges, "score"), vectors)
-    value = {(r.dst, r.pos): r.value for r in sums.collect()}
-    assert abs(value[9, 0] - (got[0, 9] + 10 * got[1, 9])) < 1e-12
+    value = {r.dst: r.x for r in sums.collect()}
+    assert abs(value[9][0] - (got[0, 9] + 10 * got[1, 9])) < 1e-12
+    signed = spark.createDataFrame([(0, 9, -2.0), (1, 9, 0.5)], "src long, dst long, weight double")
+    assert at.weighted_neighbor_sum(signed, vectors).first().x == [3.0, -4.0]
 
 
 def _cases_with_long_runs():
