@@ -39,11 +39,15 @@ def _lines(text: Column) -> Column:
 
 
 def line_rows(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """doc_id, pos, hash of every line whose key has at least `min_chars` code points."""
-    lines = docs.select("doc_id", F.posexplode(_lines(text_of())).alias("pos", "line"))
-    keyed = lines.select("doc_id", "pos", line_key(F.col("line")).alias("key"))
+    """doc_id, version, pos, hash of every line whose key has at least `min_chars` code points.
+
+    `version` is a hash of the text: it tells rows apart that have one id and two texts.
+    """
+    version = F.xxhash64(text_of()).alias("version")
+    lines = docs.select("doc_id", version, F.posexplode(_lines(text_of())).alias("pos", "line"))
+    keyed = lines.select("doc_id", "version", "pos", line_key(F.col("line")).alias("key"))
     return keyed.filter(F.length("key") >= min_chars).select(
-        "doc_id", "pos", F.unhex(F.md5("key")).alias("hash")
+        "doc_id", "version", "pos", F.unhex(F.md5("key")).alias("hash")
     )
 
 
@@ -76,12 +80,26 @@ def dropped_lines(
     min_docs: int = MIN_DOCS,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """doc_id and the sorted positions of its lines that go; only documents that lose any."""
+    """doc_id, version and `gone` of the documents that lose any line.
+
+    `gone` has a bit for every position, 64 to a word, so that looking one up takes the
+    same time in a text of any number of lines.
+    """
     rows = materialise(line_rows(docs, min_chars))
     keys = materialise(repeated_keys(rows, min_docs))
     later = F.col("doc_id") > F.col("first_doc")
     lost = lookup(rows, keys, "hash", "n_lines", hot_rows).filter(later)
-    return lost.groupBy("doc_id").agg(F.collect_list("pos").alias("gone"))
+    word = F.shiftright("pos", 6)
+    words = lost.groupBy("doc_id", "version", word.alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, pos & 63)")).alias("bits")
+    )
+    sparse = words.groupBy("doc_id", "version").agg(
+        F.max("word").alias("last"), F.collect_list(F.struct("word", "bits")).alias("words")
+    )
+    dense = F.expr(
+        "transform(sequence(0, last), w -> coalesce(get(filter(words, x -> x.word = w), 0).bits, 0L))"
+    )
+    return sparse.select("doc_id", "version", dense.alias("gone"))
 
 
 def dedup_lines(
@@ -95,26 +113,37 @@ def dedup_lines(
     Keys of at least `min_chars` code points found in at least `min_docs` documents
     lose all their lines except those in the smallest doc_id that holds the key.
     A null or empty text is one empty line and comes back as an empty text. A
-    document that loses all lines stays, with an empty text. doc_id must be unique
-    and not null; other columns, whatever their names, pass through, except that
-    `n_lines` and `n_dropped` are replaced. An empty table gives an empty table.
+    document that loses all lines stays, with an empty text. Rows with one doc_id are
+    one document: each loses its lines that a smaller id holds. Rows without an id
+    count as no document and keep all lines. Other columns, whatever their names, pass
+    through, except that `n_lines` and `n_dropped` are replaced. An empty table gives
+    an empty table.
     """
     gone = materialise(dropped_lines(docs, min_chars, min_docs, hot_rows))
-    gone = gone.select(F.col("doc_id").alias("_gone_id"), F.col("gone").alias("_gone"))
+    gone = gone.select(
+        F.col("doc_id").alias("_gone_id"), F.col("version").alias("_gone_of"), F.col("gone").alias("_gone")
+    )
     # The list grows with the documents, so it is merged at every size.
-    joined = docs.join(gone.hint("merge"), docs["doc_id"] == gone["_gone_id"], "left")
-    joined = joined.drop("_gone_id")
-    lines = _lines(text_of())
+    same = (docs["doc_id"] == gone["_gone_id"]) & (F.xxhash64(text_of()) == gone["_gone_of"])
+    joined = docs.join(gone.hint("merge"), same, "left").drop("_gone_id", "_gone_of")
     breaks = F.octet_length(text_of()) - F.octet_length(F.replace(text_of(), F.lit("\n"), F.lit("")))
     kept = F.when(
         F.col("_gone").isNull(), text_of()
     ).otherwise(
-        F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(F.col("_gone"), i)), "\n")
+        F.array_join(
+            F.expr(
+                "filter(split(coalesce(text, ''), '\\n', -1), (line, i) -> "
+                "(coalesce(get(_gone, shiftright(i, 6)), 0L) & shiftleft(1L, i & 63)) = 0)"
+            ),
+            "\n",
+        )
     )
     return joined.withColumns(
         {
             "n_lines": (breaks + 1).cast("long"),
-            "n_dropped": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"),
+            "n_dropped": F.coalesce(
+                F.expr("aggregate(_gone, 0L, (n, bits) -> n + bit_count(bits))"), F.lit(0)
+            ).cast("long"),
             "text": kept,
         }
     ).drop("_gone")

@@ -368,7 +368,17 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` whose id is the smallest of its class, with their own columns."""
-    found = classes(docs, **options).filter("doc_id = class_id").select("doc_id")
-    kept = materialise(found).hint("merge")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """One row of each class, that with the smallest id, with the columns of `docs`.
+
+    Of rows with one id one stays. A row without an id takes part under a number made from
+    its text, above all usual ids, so it stays only if its class has no row with an id, and
+    once. A null text is an empty one. An empty table gives an empty one; doc_id is integral.
+    """
+    unnamed = F.lit(1 << 62) + F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1))
+    named = docs.withColumn("_keep_first_id", F.coalesce(F.col("doc_id").cast("long"), unnamed))
+    found = classes(named.select(F.col("_keep_first_id").alias("doc_id"), "text"), **options)
+    kept = materialise(found.filter("doc_id = class_id").select(F.col("doc_id").alias("_keep_first_id")).distinct())
+    # Merged by id, so rows with one id come one after another.
+    order = Window.partitionBy("_keep_first_id").orderBy("_keep_first_id")
+    left = named.join(kept.hint("merge"), "_keep_first_id", "left_semi").withColumn("_keep_first_n", F.row_number().over(order))
+    return left.filter("_keep_first_n = 1").select(*docs.columns)

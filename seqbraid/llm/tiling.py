@@ -226,6 +226,16 @@ def contaminated(
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` that give away no item, with their own columns."""
+    """The rows of `docs` that give away no item, with their own columns.
+
+    Rows with one doc_id are one document and go together. A row without an id is judged by
+    its own text. Null and empty texts stay; an empty table on either side drops nothing.
+    """
     hits = contaminated(docs, benchmark, **options).select("doc_id").distinct()
-    return docs.join(materialise(hits), "doc_id", "left_anti").select(*docs.columns)
+    named = docs.filter("doc_id is not null").join(materialise(hits), "doc_id", "left_anti")
+    of_text = F.xxhash64("text")
+    unnamed = docs.filter("doc_id is null")
+    found = contaminated(unnamed.select(of_text.alias("doc_id"), "text"), benchmark, **options)
+    found = materialise(found.select(F.col("doc_id").alias("_keep_clean_text")).distinct())
+    unnamed = unnamed.withColumn("_keep_clean_text", of_text).join(found, "_keep_clean_text", "left_anti")
+    return named.select(*docs.columns).unionByName(unnamed.select(*docs.columns))

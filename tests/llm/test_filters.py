@@ -154,6 +154,27 @@ def test_classes_against_brute_force(spark, edge_docs, no_docs):
     assert neardup.classes(no_docs).count() == 0
 
 
+def test_one_row_of_each_class_stays_whatever_its_id(spark):
+    long = [" ".join(f"{c}{i}" for i in range(60)) for c in "pqrs"]
+    data = [(7, long[0], 1), (7, long[0], 2), (9, long[0] + " more", 3), (None, long[0], 4),
+            (None, long[1], 5), (None, long[1], 6), (None, long[2], 7), (3, long[3], 8)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, _n int")
+    kept = neardup.keep_first(docs)
+    assert kept.columns == docs.columns
+    found = sorted((str(r.doc_id), r.text) for r in kept.collect())
+    assert found == sorted([("7", long[0]), ("None", long[1]), ("None", long[2]), ("3", long[3])])
+
+
+def test_rows_without_an_id_are_judged_by_their_text(spark):
+    item = "one two three four five six seven eight nine ten"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    data = [(None, f"x {item} y"), (None, "clean text of its own"), (None, None), (4, item), (5, "clean")]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    kept = sorted((str(r.doc_id), r.text) for r in tiling.keep_clean(docs, bench).collect() if r.text)
+    assert kept == [("5", "clean"), ("None", "clean text of its own")]
+    assert tiling.keep_clean(docs, bench).count() == 3
+
+
 def test_chain_in_one_bucket(spark):
     """Neighbours are similar, ends are not: one class through links that no leader has."""
     words = [f"u{i}" for i in range(200)]

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 import re
 from collections import defaultdict
 
@@ -66,6 +67,26 @@ def test_lines_edges(spark, edge_docs, no_docs):
     assert line_dedup.dedup_lines(no_docs).count() == 0
 
 
+def test_lines_of_repeated_and_unnamed_rows(spark):
+    line, other = "a line that repeats", "another line that repeats"
+    data = [(1, f"{line}\n{other}"), (2, f"x\n{line}\ny"), (2, f"x\n{line}\ny"), (2, f"{other}\n{line}\nz"),
+            (None, f"{line}\nown"), (None, f"{line}\nown"), (3, None)]
+    out = line_dedup.dedup_lines(spark.createDataFrame(data, "doc_id long, text string"))
+    got = sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in out.collect()), key=repr)
+    want = [(1, 2, 0, f"{line}\n{other}"), (2, 3, 1, "x\ny"), (2, 3, 1, "x\ny"), (2, 3, 2, "z"),
+            (None, 2, 0, f"{line}\nown"), (None, 2, 0, f"{line}\nown"), (3, 1, 0, "")]
+    assert got == sorted(want, key=repr)
+
+
+def test_very_many_dropped_lines(spark):
+    """Positions are looked up in words of bits, so the time grows with the lines."""
+    text = "\n".join(f"line number {i} of many" for i in range(100_000))
+    docs = {1: text, 2: f"short\n{text}\nshort", 3: "short"}
+    began = time.monotonic()
+    check_lines(spark, docs)
+    assert time.monotonic() - began < 60
+
+
 def brute_table(names, size):
     def h(name, salt, m):
         return int(hashlib.md5(f"{salt}:{name}".encode()).hexdigest()[:15], 16) % m
