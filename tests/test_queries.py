@@ -17,18 +17,20 @@ from seqbraid.plans.views import graph
 SF_DIR = "/root/testdata/sf0.001"
 CHECKED = [
     "gfa_segments",
+    "gfa_targeted",
     "gfa_targeted_stats",
     "node_labels",
     "class_crosstab",
     "window_counts",
     "induced_1hop",
     "slice_verify",
-    "neg_distance_degree",
+    "neg_distance",
     "edge_pred_set",
     "window_best",
     "components",
     "clustering_dense",
     "khop_edges",
+    "khop_named",
     "avg_path",
     "node_features",
     "linear_context",
