@@ -27,7 +27,7 @@ def test_clause_contexts():
     assert own.clause("he is not a moron") == [("negated", 3.0, "moron")]
     assert own.clause("she said you are a moron") == [("reported", 3.0, "moron")]
     assert own.clause("i will kill you") == [("threats", 3.0, "kill")]
-    assert own.clause("they kill time") == [] or own.clause("kill time") == []
+    assert own.clause("they kill time") == own.clause("kill time") == []
     assert own.clause("scummiest thing") == [("plain", 2.0, "scummiest")]
 
 
