@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,7 @@ from seqbraid.plans.registry import query
 from seqbraid.plans.views import GRAPH_SQL, SEGMENTS_SQL, graph, oracle, raw_links, raw_segments
 from seqbraid.session import shared_dir
 from seqbraid.sources import gfa
+from seqbraid.streaming import gfa_stream
 
 _texts: dict[tuple[str, str], str] = {}
 
@@ -71,6 +74,22 @@ def gfa_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gfa.read_segments(spark, gfa_text(spark, sf_dir))
 
 
+@query(
+    "gfa_stream_segments",
+    oracle(SEGMENTS_SQL, PARSED_SQL, "select id, name, seq, LN, SN, SO, SR from parsed"),
+)
+def gfa_stream_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text arrives in three parts; the stream stops after each and starts again."""
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    lines = gfa.read_lines(spark, gfa_text(spark, sf_dir))
+    part = F.floor(F.col("line_no") * 3 / lines.count())
+    for k in range(3):
+        arrived = lines.filter(part == k).orderBy("line_no").select("value")
+        arrived.write.text(f"{folder}/in/part-{k}")
+        gfa_stream.ingest_segments(spark, f"{folder}/in", f"{folder}/out", f"{folder}/mark", 3)
+    return spark.read.parquet(f"{folder}/out").drop("batch")
+
+
 @query(
     "gfa_links",
     oracle(

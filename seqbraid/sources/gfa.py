@@ -15,8 +15,12 @@ WORD_ROWS = 4_000_000
 
 
 def _scan(spark: SparkSession, path: str) -> DataFrame:
+    return scan_schema(spark.read.text(path))
+
+
+def scan_schema(text: DataFrame) -> DataFrame:
     """Text lines with the file block they come from, in scan order."""
-    return spark.read.text(path).select(
+    return text.select(
         "value",
         F.col("_metadata.file_path").alias("_path"),
         F.col("_metadata.file_block_start").alias("_start"),
@@ -69,10 +73,14 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
     Same rows as `segments_of`, but ids come from per-block counts, so that the
     sequences are never shuffled.
     """
-    fields = F.split("value", "\t")
+    return numbered_segments(_scan(spark, path))
+
+
+def numbered_segments(scanned: DataFrame) -> DataFrame:
+    """Segment table of scanned lines, ids counted along their files."""
     # At least three fields: the mark, a tab, and one more tab further on.
-    kept = _scan(spark, path).filter(F.col("value").like("S\t%\t%"))
-    return _number_blocks(kept, "id").select("id", *segment_columns(fields))
+    kept = scanned.filter(F.col("value").like("S\t%\t%"))
+    return _number_blocks(kept, "id").select("id", *segment_columns(F.split("value", "\t")))
 
 
 def read_links(spark: SparkSession, path: str) -> DataFrame:

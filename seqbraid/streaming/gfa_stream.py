@@ -1,7 +1,7 @@
 """Incremental ingest: new GFA files become segment and link rows as they arrive.
 
-Records are independent, so the stream is stateless. Segment ids are left to
-the batch index, which needs the whole table anyway.
+Records are independent, so the stream is stateless. `ingest_segments` also numbers
+the segments, batch after batch.
 """
 
 from __future__ import annotations
@@ -10,7 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from seqbraid.sources.gfa import is_link, is_segment, link_columns, segment_columns, split_records
+from seqbraid.sources.gfa import (
+    is_link,
+    is_segment,
+    link_columns,
+    numbered_segments,
+    scan_schema,
+    segment_columns,
+    split_records,
+)
 
 
 def stream_records(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFrame:
@@ -39,3 +47,33 @@ def append_parquet(table: DataFrame, path: str, checkpoint: str) -> StreamingQue
         .trigger(availableNow=True)
         .start()
     )
+
+
+def ingest_segments(
+    spark: SparkSession, folder: str, out: str, checkpoint: str, files_per_batch: int = 1000
+) -> None:
+    """Append the segments of all files under `folder` that are new since the last call.
+
+    The segment table in `out` has the ids of one parse of all files, in the order in which
+    they came: a batch continues after the rows of the batches before it. Every batch is
+    written under its own number, in place of what an interrupted run may have left there, so
+    a batch that is run again leaves no row twice.
+    """
+    source = spark.readStream.option("recursiveFileLookup", "true")
+    lines = scan_schema(source.option("maxFilesPerTrigger", files_per_batch).text(folder))
+
+    def write(batch: DataFrame, number: int) -> None:
+        done = 0
+        if number:
+            earlier = batch.sparkSession.read.parquet(out).filter(F.col("batch") < number)
+            done = earlier.count()  # read from the footers
+        rows = numbered_segments(batch).withColumn("id", F.col("id") + done)
+        rows.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    query = (
+        lines.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()

@@ -173,3 +173,17 @@ def test_stream_appends_new_files(spark, tmp_path):
     links = gfa_stream.stream_links(gfa_stream.stream_records(spark, str(folder)))
     gfa_stream.append_parquet(links, str(out) + "l", str(mark) + "l").awaitTermination()
     assert spark.read.parquet(str(out) + "l").count() == 1 + 4
+
+
+def test_ingest_numbers_go_on_and_a_broken_batch_is_replaced(spark, tmp_path):
+    folder, out, mark = (tmp_path / n for n in ("in", "out", "mark"))
+    folder.mkdir()
+    for number, (name, text) in enumerate((("a.gfa", FULL), ("b.gfa", TARGETED))):
+        (folder / name).write_text(text)
+        if number:
+            # What an interrupted run left behind under the number of the next batch.
+            spark.read.parquet(str(out / "batch=0")).write.parquet(str(out / "batch=1"))
+        gfa_stream.ingest_segments(spark, str(folder), str(out), str(mark))
+    gfa_stream.ingest_segments(spark, str(folder), str(out), str(mark))
+    found = rows(spark.read.parquet(str(out)).select("id", "name"), "id")
+    assert found == list(enumerate(["a1", "a2", "a3", "main", "side", "far", "alone"]))
