@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from seqbraid.functions.hashing import draw
 from seqbraid.operators.adjacency import Adjacency
+from seqbraid.operators.graph import components, network_summary
+from seqbraid.operators.index import oriented_degree
 from seqbraid.operators.skew import attach
 from seqbraid.session import materialise, materialise_counted
 
@@ -441,3 +443,15 @@ def attention_arrays(
             F.coalesce("temp", F.lit(1.0)).cast("float").alias("temp"),
         )
     )
+
+
+def network_run(
+    links: DataFrame, keys: list[str], n_samples: int = 200, seed: int = 42
+) -> DataFrame:
+    """One row per graph: its summary, the sampled path length and the radius distribution."""
+    adjacency = Adjacency.build(links, keys)
+    paths = sampled_path_length(adjacency, components(links, keys), n_samples, seed)
+    radii = branch_distance(adjacency, oriented_degree(links, tuple(keys)))
+    # The summary counts the branching nodes already.
+    radius = radius_summary(radii, keys).drop("n_branching_nodes")
+    return network_summary(links, keys).join(paths, keys, "left").join(radius, keys, "left")

@@ -374,40 +374,73 @@ def avg_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(paths, "sampled_avg_shortest_path")
 
 
+SUMMARY_SQL = """cs as (select slice_id, round(avg(case when degree >= 2 then 2.0 * closed / (degree * (degree - 1))
+             else 0 end), 6) as mean_clustering_coeff,
+           round(coalesce(3.0 * sum(closed) / nullif(sum(degree * (degree - 1) / 2), 0), 0), 6)
+             as transitivity_ref,
+           round(coalesce(cast(sum(closed) as double) / nullif(sum(degree * (degree - 1) / 2), 0), 0), 6)
+             as transitivity from cc group by slice_id),
+   ks as (select slice_id, count(*) as n_components,
+            round(max(size) / cast(sum(size) as double), 6) as largest_component_frac,
+            string_agg(size, ',' order by component) filter (component < 5) as component_sizes_top5
+          from crank group by slice_id),
+   hb as (select slice_id, string_agg(oid, ',' order by r) as hub_oids,
+            string_agg(degree, ',' order by r) as hub_degrees
+          from (select *, row_number() over (partition by slice_id order by degree desc, oid) as r from sd)
+          where r <= 10 group by slice_id)"""
+SUMMARY_PARTS = (
+    GRAPH_SQL,
+    STRICT_SQL,
+    component_sql("sk"),
+    SLICE_DEGREE_SQL,
+    _stats_sql("sd", "slice_id, ", "sk"),
+    "el as (select slice_id, u, v from sk)",
+    CLOSED_SQL,
+    SUMMARY_SQL,
+)
+_SUMMARY_SELECT = """select stats.*, ks.* exclude (slice_id), cs.* exclude (slice_id), hb.* exclude (slice_id)
+           from stats join ks on ks.slice_id = stats.slice_id join cs on cs.slice_id = stats.slice_id
+             join hb on hb.slice_id = stats.slice_id"""
+
+
+def _summary_row(summary: DataFrame, *more: str) -> DataFrame:
+    lists = ("component_sizes_top5", "hub_oids", "hub_degrees")
+    doubles = (*_STAT_DOUBLES, "mean_clustering_coeff", "transitivity_ref", "transitivity", "largest_component_frac")
+    return _rounded(summary, *doubles, *more).withColumns({c: F.array_join(c, ",") for c in lists})
+
+
+@query("network_summary", recursive(*SUMMARY_PARTS, _SUMMARY_SELECT))
+def network_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _summary_row(gr.network_summary(slices(spark, sf_dir, "strict").links, ["slice_id"]))
+
+
 @query(
-    "network_summary",
+    "network_run",
     recursive(
-        GRAPH_SQL,
-        STRICT_SQL,
-        component_sql("sk"),
-        SLICE_DEGREE_SQL,
-        _stats_sql("sd", "slice_id, ", "sk"),
-        "el as (select slice_id, u, v from sk)",
-        CLOSED_SQL,
-        """cs as (select slice_id, round(avg(case when degree >= 2 then 2.0 * closed / (degree * (degree - 1))
-                     else 0 end), 6) as mean_clustering_coeff,
-                   round(coalesce(3.0 * sum(closed) / nullif(sum(degree * (degree - 1) / 2), 0), 0), 6)
-                     as transitivity_ref,
-                   round(coalesce(cast(sum(closed) as double) / nullif(sum(degree * (degree - 1) / 2), 0), 0), 6)
-                     as transitivity from cc group by slice_id),
-           ks as (select slice_id, count(*) as n_components,
-                    round(max(size) / cast(sum(size) as double), 6) as largest_component_frac,
-                    string_agg(size, ',' order by component) filter (component < 5) as component_sizes_top5
-                  from crank group by slice_id),
-           hb as (select slice_id, string_agg(oid, ',' order by r) as hub_oids,
-                    string_agg(degree, ',' order by r) as hub_degrees
-                  from (select *, row_number() over (partition by slice_id order by degree desc, oid) as r from sd)
-                  where r <= 10 group by slice_id)""",
-        """select stats.*, ks.* exclude (slice_id), cs.* exclude (slice_id), hb.* exclude (slice_id)
-           from stats join ks on ks.slice_id = stats.slice_id join cs on cs.slice_id = stats.slice_id
-             join hb on hb.slice_id = stats.slice_id""",
+        *SUMMARY_PARTS,
+        PATH_SQL,
+        """sr(slice_id, oid, d) as (
+             select slice_id, oid, 0 from sd where degree > 2
+             union select sr.slice_id, ce.b, d + 1 from sr join ce on ce.slice_id = sr.slice_id and ce.a = sr.oid
+             where d < 8),
+           srad as (select sd.slice_id, sd.oid, coalesce(min(d), 8) as radius from sd
+                    left join sr on sr.slice_id = sd.slice_id and sr.oid = sd.oid group by sd.slice_id, sd.oid),
+           pl as (select slice_id, round(avg(d) filter (d > 0), 6) as sampled_avg_shortest_path
+                  from near group by slice_id),
+           rs as (select slice_id, round(avg(radius), 6) as mean_attention_radius,
+                    cast(median(radius) as double) as median_attention_radius,
+                    max(radius) as max_attention_radius,
+                    round(avg(case when radius = 0 then 1.0 else 0.0 end), 6) as frac_radius_0,
+                    round(avg(case when radius > 4 then 1.0 else 0.0 end), 6) as frac_radius_gt_4,
+                    count(*) filter (radius > 0) as n_linear_nodes from srad group by slice_id)""",
+        f"""select s.*, pl.sampled_avg_shortest_path, rs.* exclude (slice_id)
+            from ({_SUMMARY_SELECT}) s join pl on pl.slice_id = s.slice_id join rs on rs.slice_id = s.slice_id""",
     ),
 )
-def network_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    summary = gr.network_summary(slices(spark, sf_dir, "strict").links, ["slice_id"])
-    lists = ("component_sizes_top5", "hub_oids", "hub_degrees")
-    doubles = (*_STAT_DOUBLES, "mean_clustering_coeff", "transitivity_ref", "transitivity", "largest_component_frac")
-    return _rounded(summary, *doubles).withColumns({c: F.array_join(c, ",") for c in lists})
+def network_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run = rc.network_run(slices(spark, sf_dir, "strict").links, ["slice_id"], 200, SEED)
+    shares = ("mean_attention_radius", "frac_radius_0", "frac_radius_gt_4")
+    return _summary_row(run, "sampled_avg_shortest_path", *shares)
 
 
 @query(
