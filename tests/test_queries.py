@@ -35,6 +35,11 @@ CHECKED = [
     "node_features",
     "linear_context",
     "slice_split",
+    "slice_loader_ledger",
+    "slice_loader",
+    "slice_loader_nodes",
+    "slice_loader_edges",
+    "slice_loader_pairs",
     "binary_report",
     "per_chrom_f1_present",
     "precision_at_k",
