@@ -5,17 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqbraid.operators import features as ft
 from seqbraid.operators import index as ix
 from seqbraid.operators import models as md
 from seqbraid.operators import sampling as sm
-from seqbraid.operators.metrics import ranking_metrics
+from seqbraid.operators.link_scorer import LinkScores, score_links
+from seqbraid.operators.skew import attach
 from seqbraid.operators.splits import slice_split
 from seqbraid.plans import workflows as wf
-from seqbraid.plans.q_intervals import labels
-from seqbraid.plans.q_slices import SEED, negatives, slices
+from seqbraid.plans.q_index import META_SQL
+from seqbraid.plans.q_intervals import LABELS_SQL, labels
+from seqbraid.plans.q_slices import (
+    EDGE_PRED_SQL,
+    ONE_HOP_SQL,
+    SEED,
+    STRICT_SQL,
+    draw_sql,
+    negatives,
+    negatives_sql,
+    slices,
+)
 from seqbraid.plans.registry import query
-from seqbraid.plans.views import graph, oracle, read
+from seqbraid.plans.views import GRAPH_SQL, INTERVALS_SQL, graph, oracle, read
 from seqbraid.session import materialise
 
 VAL, TEST = ["chr3"], ["chr2", "chr5"]
@@ -25,24 +35,99 @@ LINK_FEATURES = [
 ]
 
 
+GRADIENT = 1e-6
+_scored: dict[tuple[str, str], LinkScores] = {}
+
+
+def link_scores(spark: SparkSession, sf_dir: str) -> LinkScores:
+    """One scorer for the slices of both closures, fitted on first use in a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _scored:
+        g = graph(spark, sf_dir)
+        parts = []
+        for closure in ("strict", "1hop"):
+            s = slices(spark, sf_dir, closure)
+            drawn = negatives(spark, sf_dir, closure, sm.NegativeRule("random"))
+            edges, _ = sm.balanced_edges(s.links, drawn, SEED)
+            named = s.windows.select("slice_id", "target_sn", F.lit(closure).alias("closure"))
+            parts.append(attach(edges, named, ["slice_id"], "inner"))
+        edges = materialise(parts[0].unionByName(parts[1]))
+        pairs = slice_split(edges, ["shuffle_key", "u_oid", "v_oid"], SEED).select(
+            "slice_id",
+            "target_sn",
+            "closure",
+            F.col("u_oid").alias("u"),
+            F.col("v_oid").alias("v"),
+            F.col("label").alias("y"),
+            "split",
+        )
+        meta = ix.oriented_metadata(g.segments)
+        _scored[key] = score_links(pairs, meta, ix.oriented_degree(g.links), LINK_FEATURES)
+    return _scored[key]
+
+
 @query("lr_link_scorer")
 def lr_link_scorer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unweighted logistic link scorer on pair features, test AUROC per slice."""
-    links = slices(spark, sf_dir, "1hop").links
-    meta = ix.oriented_metadata(graph(spark, sf_dir).segments)
-    drawn = negatives(spark, sf_dir, "1hop", sm.NegativeRule("random"))
-    edges, _ = sm.balanced_edges(links, drawn, SEED)
-    split = slice_split(edges, ["shuffle_key", "u_oid", "v_oid"], SEED)
-    pairs = split.select(
-        "slice_id", F.col("u_oid").alias("u"), F.col("v_oid").alias("v"), F.col("label").alias("y"), "split"
+    """Unweighted logistic link scorer on pair features: test metrics by contig and closure."""
+    return link_scores(spark, sf_dir).by_group
+
+
+def _closure_pairs_sql(closure: str) -> str:
+    ctes = (
+        STRICT_SQL if closure == "strict" else ONE_HOP_SQL,
+        negatives_sql(sm.NegativeRule("random"), SEED),
+        EDGE_PRED_SQL,
     )
-    table = materialise(ft.pair_features(pairs, meta, ix.oriented_degree(graph(spark, sf_dir).links)))
-    train = table.filter("split = 'train'")
-    scaler = md.Standardizer(train, LINK_FEATURES)
-    model = md.fit_logistic(scaler.transform(train), balanced=False)
-    scored = md.predict(model, scaler.transform(table.filter("split = 'test'")))
-    rows = scored.select("slice_id", "y", F.col("probability")[1].alias("p"))
-    return ranking_metrics(rows, ["slice_id"])
+    key = draw_sql(SEED, "link_id", "label")
+    return f"""({oracle(*ctes, f"select ep.slice_id, target_sn, '{closure}' as closure, u_oid, v_oid, label, {key} as shuffle_key from ep join win on win.slice_id = ep.slice_id")})"""
+
+
+LINK_SPLIT_SQL = f"""
+pairs as materialized (select * from {_closure_pairs_sql("strict")} union all select * from {_closure_pairs_sql("1hop")}),
+ranked as (
+  select *, count(*) over (partition by slice_id) as n,
+         row_number() over (partition by slice_id order by
+           {draw_sql(SEED, 'slice_id', 'shuffle_key', 'u_oid', 'v_oid')}, shuffle_key, u_oid, v_oid) - 1 as r
+  from pairs),
+parted as materialized (
+  select *, case when r < floor(n * 0.2) then 'test'
+                 when r < floor(n * 0.2) + floor(n * 0.1) then 'val' else 'train' end as split
+  from ranked where n - floor(n * 0.2) - floor(n * 0.1) >= 10)"""
+
+
+@query(
+    "lr_link_support",
+    oracle(
+        GRAPH_SQL,
+        META_SQL,
+        LINK_SPLIT_SQL,
+        """select target_sn, closure, count(*) as n_edges, round(avg(label), 6) as pos_frac
+           from parted where split = 'test' group by target_sn, closure""",
+    ),
+)
+def lr_link_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every line of the scorer's report rests on."""
+    found = link_scores(spark, sf_dir).by_group
+    return found.select("target_sn", "closure", "n_edges", F.round("pos_frac", 6).alias("pos_frac"))
+
+
+@query(
+    "lr_link_certificate",
+    oracle(
+        GRAPH_SQL,
+        META_SQL,
+        LINK_SPLIT_SQL,
+        """select count(*) as n_train, count(*) filter (label = 1) as n_pos, true as optimal
+           from parted where split = 'train'""",
+    ),
+)
+def lr_link_certificate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scorer's fit is the optimum of its loss over exactly these rows."""
+    return _proved(link_scores(spark, sf_dir).certificate)
+
+
+def _proved(certificate: DataFrame) -> DataFrame:
+    return certificate.select("n_train", "n_pos", (F.col("max_gradient") < GRADIENT).alias("optimal"))
 
 
 def _node_study(spark: SparkSession, sf_dir: str, method: str, **options: int) -> dict[str, DataFrame]:
@@ -57,6 +142,74 @@ def lr_node(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _node_study(spark, sf_dir, "logistic")["binary"]
 
 
+_UNIVERSE_SQL = f"""
+inside as (select segid from ({oracle(STRICT_SQL, "select segid from kept")})
+           union select segid from ({oracle(ONE_HOP_SQL, "select segid from kept")})),
+study as (
+  select segid, case when ccre_class = 'background' then 0 else 1 end as y,
+         case when chrom in ('chr2', 'chr5') then 'test' when chrom = 'chr3' then 'val' else 'train' end as split
+  from labels_n where segid in (select segid from inside))"""
+_universes: dict[tuple[str, str], dict[str, DataFrame]] = {}
+
+
+def _universe_study(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Node classification over the segments of the grid slices only, both closures."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _universes:
+        g = graph(spark, sf_dir)
+        both = [(c, slices(spark, sf_dir, c)) for c in ("strict", "1hop")]
+        kept = both[0][1].kept.select("slice_id", "segid").unionByName(
+            both[1][1].kept.select("slice_id", "segid")
+        )
+        windows = [
+            s.windows.select("slice_id", "target_sn", F.lit(c).alias("closure")) for c, s in both
+        ]
+        _universes[key] = wf.aligned_baseline(
+            labels(spark, sf_dir),
+            g.segments,
+            g.links,
+            VAL,
+            TEST,
+            "logistic",
+            "linearized_graph",
+            "binary",
+            universe=(kept, windows[0].unionByName(windows[1])),
+        )
+    return _universes[key]
+
+
+@query(
+    "aligned_universe",
+    oracle(
+        GRAPH_SQL,
+        INTERVALS_SQL,
+        LABELS_SQL,
+        _UNIVERSE_SQL,
+        """select c.y, class_name, t.split, (select count(*) from study s where s.y = c.y and s.split = t.split) as n
+           from (values (0, 'background'), (1, 'ccre')) c(y, class_name), (values ('train'), ('test')) t(split)""",
+    ),
+)
+def aligned_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of every class in the train and test split of the study on slice segments."""
+    return _universe_study(spark, sf_dir)["label_counts"]
+
+
+@query(
+    "aligned_universe_certificate",
+    oracle(
+        GRAPH_SQL,
+        INTERVALS_SQL,
+        LABELS_SQL,
+        _UNIVERSE_SQL,
+        """select count(*) as n_train, count(*) filter (y = 1) as n_pos, true as optimal
+           from study where split = 'train'""",
+    ),
+)
+def aligned_universe_certificate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The study's logistic fit is the optimum of its weighted loss over exactly these rows."""
+    return _proved(_universe_study(spark, sf_dir)["certificate"])
+
+
 @query("mlp_node")
 def mlp_node(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _node_study(spark, sf_dir, "mlp", max_iter=200)["binary"]

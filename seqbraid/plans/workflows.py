@@ -20,6 +20,7 @@ from seqbraid.operators.models import (
     Standardizer,
     fit_classifier,
     mean_embeddings,
+    optimality,
     predict,
     spread_embedding,
 )
@@ -53,15 +54,15 @@ def fit_and_report(
 
     Returns predictions of the val and test rows, label counts, per-class,
     per-chromosome and overall metrics, the confusion matrix, and for two
-    classes the thresholded report. Metrics are taken over the test rows.
+    classes the thresholded report. Metrics are taken over the test rows. A two-class
+    logistic fit also has `certificate`, the gradient at its weights.
     """
     table = materialise(table)
     _require_trainable(table)
     train_rows = table.filter("split = 'train'")
     scaler = Standardizer(train_rows, list(features))
-    model = fit_classifier(
-        method, scaler.transform(train_rows), len(features), len(names), "y", seed, **options
-    )
+    scaled = scaler.transform(train_rows)
+    model = fit_classifier(method, scaled, len(features), len(names), "y", seed, **options)
     scored = materialise(
         predict(model, scaler.transform(table.filter("split <> 'train'"))).withColumn(
             "p", F.col("probability")[1]
@@ -81,6 +82,8 @@ def fit_and_report(
         "confusion": confusion_matrix(test, len(names)),
     }
     if len(names) == 2:
+        if method == "logistic":
+            out["certificate"] = optimality(model, scaled)
         limit = best_threshold(val).first()["threshold"]
         out["binary"] = (
             binary_report(test, limit)

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 
 import pytest
@@ -10,6 +11,7 @@ from seqbraid.operators import features as ft
 from seqbraid.operators import labels as lb
 from seqbraid.operators import metrics as mt
 from seqbraid.operators import models as md
+from seqbraid.operators.link_scorer import score_links
 from seqbraid.operators import ranking as rk
 from seqbraid.operators import splits as sp
 from seqbraid.plans.workflows import fit_and_report
@@ -190,6 +192,53 @@ def test_logistic_strength_matches_the_summed_loss(spark):
     assert abs(grad) < 0.05 and scored.count() == 80
 
 
+@pytest.mark.parametrize("balanced", [True, False])
+def test_gradient_proves_an_optimum_and_shows_an_early_stop(spark, balanced):
+    rng = random.Random(9)
+    data = [(int(i % 3 == 0), rng.gauss(0, 1) + (i % 3 == 0), rng.gauss(0, 1)) for i in range(300)]
+    df = spark.createDataFrame(data, "y int, a double, b double")
+    rows_ = md.Standardizer(df, ["a", "b"]).transform(df)
+    full = md.optimality(md.fit_logistic(rows_, balanced=balanced), rows_, balanced=balanced).first()
+    early = md.optimality(
+        md.fit_logistic(rows_, balanced=balanced, max_iter=1), rows_, balanced=balanced
+    ).first()
+    assert (full.n_train, full.n_pos) == (300, 100)
+    assert full.max_gradient < 1e-6 < 1e-3 < early.max_gradient
+
+
+def test_gradient_equals_a_plain_sum(spark):
+    df = spark.createDataFrame([(0, -1.0), (0, 0.5), (1, 0.2), (1, 2.0)], "y int, a double")
+    rows_ = md.Standardizer(df, ["a"]).transform(df)
+    model = md.fit_logistic(rows_, balanced=False, max_iter=1)
+    slope, shift = float(model.coefficients[0]), model.intercept
+    points = [(r.y, float(r.features[0])) for r in rows_.collect()]
+    rest = [(1 / (1 + math.exp(-(slope * x + shift))) - y, x) for y, x in points]
+    want = max(abs(sum(e * x for e, x in rest) / 4 + slope / 4), abs(sum(e for e, _ in rest) / 4))
+    assert abs(md.optimality(model, rows_, balanced=False).first().max_gradient - want) < 1e-12
+
+
+def test_link_scores_by_contig_and_closure(spark):
+    meta = spark.createDataFrame(
+        [(o, "c1" if o < 20 else "c2", 10 * o, 5, 0, 1) for o in range(40)],
+        "oid long, SN string, SO long, LN long, SR int, is_reference int",
+    )
+    degrees = spark.createDataFrame([(o, 1) for o in range(40)], "oid long, degree long")
+    pairs = []
+    for i in range(60):
+        sn, closure, base = ("c1", "strict", 0) if i % 3 else ("c2", "1hop", 20)
+        y = 1 if i % 2 and i % 3 else 0  # one label only in c2
+        split = ("train", "test", "val")[(i // 6) % 3]
+        pairs.append((sn, closure, base + i % 9, base + (i % 9) + (1 if y else 9), y, split))
+    df = spark.createDataFrame(pairs, "target_sn string, closure string, u long, v long, y int, split string")
+    got = score_links(df, meta, degrees, ["delta_so", "deg", "same_sn"])
+    table = {(r.target_sn, r.closure): r for r in got.by_group.collect()}
+    test_rows = [p for p in pairs if p[5] == "test"]
+    assert table[("c1", "strict")].n_edges == sum(p[0] == "c1" for p in test_rows)
+    assert table[("c1", "strict")].auroc == 1.0 and table[("c2", "1hop")].auroc is None
+    assert got.overall.first().n_edges == got.predictions.count() == len(test_rows)
+    assert got.certificate.first().n_train == sum(p[5] == "train" for p in pairs)
+
+
 def test_projection_is_centred(spark):
     rng = random.Random(2)
     data = [(i, [rng.gauss(5, 3), rng.gauss(1, 1), rng.gauss(0, 0.1)]) for i in range(60)]

@@ -43,6 +43,10 @@ CHECKED = [
     "binary_report",
     "per_chrom_f1_present",
     "precision_at_k",
+    "lr_link_support",
+    "lr_link_certificate",
+    "aligned_universe",
+    "aligned_universe_certificate",
 ]
 
 pytestmark = pytest.mark.skipif(not Path(SF_DIR).exists(), reason="driver tables are absent")
