@@ -15,13 +15,10 @@ from seqbraid.plans import workflows as wf
 from seqbraid.plans.q_index import META_SQL
 from seqbraid.plans.q_intervals import LABELS_SQL, labels
 from seqbraid.plans.q_slices import (
-    EDGE_PRED_SQL,
     ONE_HOP_SQL,
     SEED,
     STRICT_SQL,
-    draw_sql,
     negatives,
-    negatives_sql,
     slices,
 )
 from seqbraid.plans.registry import query
@@ -72,27 +69,32 @@ def lr_link_scorer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_scores(spark, sf_dir).by_group
 
 
-def _closure_pairs_sql(closure: str) -> str:
+def _closure_sizes_sql(closure: str) -> str:
+    """Pairs of every slice of a closure whose links all have a feasible negative.
+
+    Random negatives come from the nodes of the slice. Of m nodes, m * (m - 1) ordered
+    pairs can be drawn; a slice is lost only if every one of them is a link.
+    """
     ctes = (
         STRICT_SQL if closure == "strict" else ONE_HOP_SQL,
-        negatives_sql(sm.NegativeRule("random"), SEED),
-        EDGE_PRED_SQL,
+        """sn as (select slice_id, count(distinct oid) as m from (select slice_id, u as oid from sk
+                   union all select slice_id, v from sk) group by slice_id),
+        taken as (select slice_id, count(*) as links from (select distinct slice_id, u, v from sk where u <> v)
+                  group by slice_id),
+        room as (select slice_id from sn left join taken using (slice_id)
+                 where m * (m - 1) > coalesce(links, 0))""",
     )
-    key = draw_sql(SEED, "link_id", "label")
-    return f"""({oracle(*ctes, f"select ep.slice_id, target_sn, '{closure}' as closure, u_oid, v_oid, label, {key} as shuffle_key from ep join win on win.slice_id = ep.slice_id")})"""
+    last = f"""select sk.slice_id, target_sn, '{closure}' as closure, 2 * count(*) as n
+        from sk join win on win.slice_id = sk.slice_id
+        where sk.slice_id in (select slice_id from room) group by sk.slice_id, target_sn"""
+    return f"({oracle(*ctes, last)})"
 
 
-LINK_SPLIT_SQL = f"""
-pairs as materialized (select * from {_closure_pairs_sql("strict")} union all select * from {_closure_pairs_sql("1hop")}),
-ranked as (
-  select *, count(*) over (partition by slice_id) as n,
-         row_number() over (partition by slice_id order by
-           {draw_sql(SEED, 'slice_id', 'shuffle_key', 'u_oid', 'v_oid')}, shuffle_key, u_oid, v_oid) - 1 as r
-  from pairs),
-parted as materialized (
-  select *, case when r < floor(n * 0.2) then 'test'
-                 when r < floor(n * 0.2) + floor(n * 0.1) then 'val' else 'train' end as split
-  from ranked where n - floor(n * 0.2) - floor(n * 0.1) >= 10)"""
+LINK_SIZES_SQL = f"""
+sizes as (select * from {_closure_sizes_sql("strict")} union all select * from {_closure_sizes_sql("1hop")}),
+parted as (
+  select *, cast(floor(n * 0.2) as bigint) as n_test,
+         cast(n - floor(n * 0.2) - floor(n * 0.1) as bigint) as n_train from sizes)"""
 
 
 @query(
@@ -100,15 +102,14 @@ parted as materialized (
     oracle(
         GRAPH_SQL,
         META_SQL,
-        LINK_SPLIT_SQL,
-        """select target_sn, closure, count(*) as n_edges, round(avg(label), 6) as pos_frac
-           from parted where split = 'test' group by target_sn, closure""",
+        LINK_SIZES_SQL,
+        """select target_sn, closure, cast(sum(n_test) as bigint) as n_edges from parted where n_train >= 10
+           group by target_sn, closure having sum(n_test) > 0""",
     ),
 )
 def lr_link_support(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What every line of the scorer's report rests on."""
-    found = link_scores(spark, sf_dir).by_group
-    return found.select("target_sn", "closure", "n_edges", F.round("pos_frac", 6).alias("pos_frac"))
+    """The number of test pairs behind every line of the scorer's report."""
+    return link_scores(spark, sf_dir).by_group.select("target_sn", "closure", "n_edges")
 
 
 @query(
@@ -116,14 +117,13 @@ def lr_link_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     oracle(
         GRAPH_SQL,
         META_SQL,
-        LINK_SPLIT_SQL,
-        """select count(*) as n_train, count(*) filter (label = 1) as n_pos, true as optimal
-           from parted where split = 'train'""",
+        LINK_SIZES_SQL,
+        "select cast(sum(n_train) as bigint) as n_train, true as optimal from parted where n_train >= 10",
     ),
 )
 def lr_link_certificate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The scorer's fit is the optimum of its loss over exactly these rows."""
-    return _proved(link_scores(spark, sf_dir).certificate)
+    """The scorer's fit is the optimum of its loss over all train pairs."""
+    return _proved(link_scores(spark, sf_dir).certificate).drop("n_pos")
 
 
 def _proved(certificate: DataFrame) -> DataFrame:
