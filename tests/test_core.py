@@ -12,7 +12,15 @@ from seqbraid.operators import ordering
 from seqbraid.operators.adjacency import Adjacency
 from seqbraid.operators.ordering import running_sums, with_frames, with_position
 from seqbraid.operators.skew import attach
-from seqbraid.session import estimated_bytes, scanned_bytes
+from seqbraid.session import (
+    _FACTOR_KEY,
+    MEMORY_FACTOR,
+    broadcast_limit,
+    estimated_bytes,
+    materialise,
+    plan_by_memory,
+    scanned_bytes,
+)
 
 
 @pytest.fixture(scope="module")
@@ -101,3 +109,22 @@ def test_join_gets_no_more_ranges_than_the_session_shuffles_into(spark, tmp_path
     joined = side.join(side.withColumnRenamed("text", "other").hint("merge"), "id")
     assert estimated_bytes(joined) > 100 * scanned_bytes(joined)
     assert ordering._range_count(joined) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_tables_are_planned_at_their_size_in_memory(spark):
+    """The file is below the broadcast limit, its rows are not."""
+    name = F.concat(F.lit("slice_"), F.md5((F.col("id") % 8).cast("string"))).alias("slice_id")
+    table = materialise(spark.range(400_000).select(name, F.col("id").alias("oid")))
+    assert scanned_bytes(table) < broadcast_limit(spark) < 400_000 * 50
+    joined = table.withColumn("x", F.lit(1)).join(table, ["slice_id", "oid"])
+    assert "Broadcast" not in joined._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_views_set_the_size_in_memory_where_the_session_has_none(spark):
+    bare = spark.newSession()
+    bare.conf.set(_FACTOR_KEY, "1.0")
+    plan_by_memory(bare)
+    assert float(bare.conf.get(_FACTOR_KEY)) == MEMORY_FACTOR
+    bare.conf.set(_FACTOR_KEY, "3.0")
+    plan_by_memory(bare)
+    assert bare.conf.get(_FACTOR_KEY) == "3.0"
