@@ -251,3 +251,22 @@ def test_settlement_counts_partners_without_pairing_them(spark):
     found = [r for part in sm._settle(waiting, nodes, positives, rule, 7) for r in rows(part)]
     assert found == [("x", 2, n - 1, 0)]
     assert time.monotonic() - began < 60
+
+
+def test_random_rule_draws_one_pair_per_link_first(spark, small, monkeypatch):
+    """Nearly every first pair passes, so 16 draws per link are 15 too many; the pairs stay the same."""
+    index, links = small
+    meta = ix.oriented_metadata(index)
+    links = links.select(F.lit("all").alias("slice_id"), "link_id", "u", "v")
+    seen = []
+    whole = sm.F.sequence
+
+    def spy(start, stop, *rest):
+        seen.append((str(start), str(stop)))
+        return whole(start, stop, *rest)
+
+    monkeypatch.setattr(sm.F, "sequence", spy)
+    drawn = rows(sm.sample_negatives(links, meta, sm.NegativeRule("random"), 7))
+    assert seen[0] == ("Column<'0'>", "Column<'0'>")
+    again = sm.sample_negatives(links, meta, sm.NegativeRule("random"), 7, first_round=16)
+    assert sorted(drawn) == sorted(rows(again))
