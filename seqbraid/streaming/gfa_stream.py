@@ -49,18 +49,18 @@ def append_parquet(table: DataFrame, path: str, checkpoint: str) -> StreamingQue
     )
 
 
-def ingest_segments(
-    spark: SparkSession, folder: str, out: str, checkpoint: str, files_per_batch: int = 1000
-) -> None:
+def ingest_segments(spark: SparkSession, folder: str, out: str, checkpoint: str) -> None:
     """Append the segments of all files under `folder` that are new since the last call.
 
-    The segment table in `out` has the ids of one parse of all files, in the order in which
-    they came: a batch continues after the rows of the batches before it. Every batch is
+    The segment table in `out` has the ids of one parse of all files, call after call: what is
+    new at a call is one batch, numbered along the paths and continued after the rows of the
+    batches before it. A limit on the files of a batch would cut them by modification time,
+    which says nothing about the order of files that were written together. Every batch is
     written under its own number, in place of what an interrupted run may have left there, so
     a batch that is run again leaves no row twice.
     """
     source = spark.readStream.option("recursiveFileLookup", "true")
-    lines = scan_schema(source.option("maxFilesPerTrigger", files_per_batch).text(folder))
+    lines = scan_schema(source.text(folder))
 
     def write(batch: DataFrame, number: int) -> None:
         done = 0

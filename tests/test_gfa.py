@@ -1,11 +1,15 @@
 from __future__ import annotations
 
 import gzip
+import os
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as contract
 from frames import rows
+from seqbraid.plans import q_index
 from seqbraid.sources import gfa
 from seqbraid.streaming import gfa_stream
 
@@ -187,3 +191,26 @@ def test_ingest_numbers_go_on_and_a_broken_batch_is_replaced(spark, tmp_path):
     gfa_stream.ingest_segments(spark, str(folder), str(out), str(mark))
     found = rows(spark.read.parquet(str(out)).select("id", "name"), "id")
     assert found == list(enumerate(["a1", "a2", "a3", "main", "side", "far", "alone"]))
+
+
+def test_stream_numbers_do_not_follow_modification_times(spark, monkeypatch):
+    """Four files a part; the later one along the text has the earlier time."""
+    contract.queries()
+    ingest = q_index.gfa_stream.ingest_segments
+
+    def backdated(session, folder, *rest):
+        files = sorted(Path(folder).rglob("part-*.txt"))
+        for n, file in enumerate(files):
+            if file.stat().st_mtime > 1_600_000_000:
+                at = 1_500_000_000 + 10_000 * len(files) - n
+                os.utime(file, (at, at))
+        return ingest(session, folder, *rest)
+
+    monkeypatch.setattr(q_index.gfa_stream, "ingest_segments", backdated)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sf_dir = "/root/testdata/sf0.001"
+        found = rows(q_index.gfa_stream_segments(spark, sf_dir).select("id", "name"), "id")
+        assert found == rows(q_index.graph(spark, sf_dir).segments.select("segid", "name"), "segid")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
