@@ -265,3 +265,19 @@ def test_candidate_ranking(spark):
     assert calibration.first().n == 4
     nothing = rk.candidates(scored.filter("y = 7"), index, 0, rk.comparison_edges(other))
     assert nothing.count() == 0
+
+
+@pytest.mark.parametrize("label", [0, 1])
+@pytest.mark.parametrize("method,options", [("logistic", {}), ("mlp", {"max_iter": 5}), ("random_forest", {"trees": 3})])
+def test_a_single_label_is_fitted_where_it_is_allowed(separable, label, method, options):
+    """Elements that cover every segment leave one label in all splits."""
+    out = fit_and_report(
+        separable.withColumn("y", F.lit(label)), ["f1", "f2"], ["n", "p"], method, one_label=True, **options
+    )
+    counts = {(r.split, r.y): r.n for r in out["label_counts"].collect()}
+    assert counts["train", 1 - label] == counts["test", 1 - label] == 0 < counts["train", label]
+    assert {r.pred for r in out["predictions"].select("pred").distinct().collect()} == {label}
+    assert all(r.auroc is None and r.positive_fraction == label for r in out["binary"].collect())
+    if method == "logistic":
+        proof = out["certificate"].first()
+        assert proof.max_gradient < 1e-6 and proof.n_pos == label * proof.n_train
