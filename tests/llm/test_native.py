@@ -182,3 +182,27 @@ def test_urls_many_keys_in_parts(spark):
 def test_urls_empty(spark):
     assert judged(spark, [], ["a.org"]) == {}
     assert judged(spark, ["http://a.org/x"], []) == {0: ("a.org", "/x", None, "allow")}
+
+
+def test_a_task_gives_its_memory_back_also_when_it_is_cut_short(spark, monkeypatch):
+    import pyarrow as pa
+
+    from seqbraid.llm import common
+
+    class Frame:
+        sparkSession = spark
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    given = []
+    monkeypatch.setattr(common, "give_back", lambda: given.append(1))
+    batch = pa.RecordBatch.from_pydict({"x": [1]})
+    run = common.map_arrow(Frame(), lambda: lambda b: b, "x long")
+    assert len(list(run(iter([batch, batch])))) == 2 and given == [1]
+    cut = run(iter([batch, batch]))
+    next(cut)
+    cut.close()
+    assert given == [1, 1]
+    monkeypatch.undo()
+    common.give_back()
