@@ -16,10 +16,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqbraid.llm.common import map_arrow, materialise, ready, text_of
+from seqbraid.llm.common import give_back, map_arrow, materialise, ready, text_of
 from seqbraid.llm.textnp import Slice, gram_hashes, mix, range_hashes, slices, words
 
 BUCKETS = 1 << 16
@@ -112,6 +112,8 @@ def gram_counts(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
                 if mine.any():
                     own = np.repeat(mine, np.diff(part.offsets)) & valid
                     target += np.bincount(bucket[own], minlength=buckets)
+        batch = chosen = part = bucket = valid = mine = own = None
+        give_back()
         at = np.flatnonzero(raw)
         if len(at):
             yield pa.record_batch([at, raw[at], target[at]], ["bucket", "n_raw", "n_target"])
@@ -209,15 +211,19 @@ def quality_rules(
 
 
 def keep_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of `docs` that pass, with their own columns. Nothing is shuffled."""
+    """The rows of `docs` that pass, with their own columns. Nothing is shuffled.
+
+    The texts stay Arrow bytes: as pandas values each would be a Python string of up to four
+    bytes a character.
+    """
     ratios = docs.sparkSession.sparkContext.broadcast(fit_ratios(docs, labels))
+    at = docs.columns.index("text")
 
-    @F.pandas_udf("boolean")
-    def passes(text):
-        import pandas as pd
+    def make():
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found = [score_slice(p, ratios.value, threshold)[-1] for p in slices(batch.column(at))]
+            return batch.filter(pa.array(np.concatenate(found))) if found else batch
 
-        found = [score_slice(p, ratios.value, threshold)[-1] for p in slices(pa.array(text))]
-        return pd.Series(np.concatenate(found) if found else np.zeros(0, bool))
+        return each
 
-    verdict: Column = passes(text_of())
-    return docs.filter(verdict)
+    return map_arrow(docs, make, docs.schema)

@@ -332,3 +332,18 @@ def test_grams_do_not_cross_texts():
     for h, s, e in zip(hashes, words.start, words.end, strict=True):
         groups[int(h)].add(part.data[s:e].tobytes())
     assert all(len(g) == 1 for g in groups.values()) and len(groups) == 5
+
+
+def test_kept_documents_stay_arrow_bytes(spark):
+    """As pandas values the texts would be Python strings, the largest thing in a worker."""
+    plain = " ".join(f"word{i}" for i in range(40))
+    texts = [plain, "short", None, "x " * 400, "\U0001f600 " + plain.replace("word", "term")]
+    docs = spark.createDataFrame([(i, t, "n" * i) for i, t in enumerate(texts)], "doc_id long, text string, z string")
+    labels = spark.createDataFrame([(0, 1)], "doc_id long, quality int")
+    kept = quality.keep_documents(docs, labels)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "MapInArrow" in plan
+    verdicts = quality.quality_rules(docs, labels).filter("kept").select("doc_id")
+    expected = docs.join(verdicts, "doc_id").select(*docs.columns)
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, expected.collect()))
+    assert 0 < kept.count() < len(texts)
