@@ -11,6 +11,7 @@ from seqbraid.functions.names import is_reference, strand_bit
 from seqbraid.operators.index import oriented_degree, segment_degree
 from seqbraid.operators.ordering import with_frames, with_position
 from seqbraid.operators.skew import attach
+from seqbraid.session import materialise
 
 # --- fixed values: column order of the feature sets ---------------------------
 NODE_FEATURES = ["SO", "LN", "SR", "is_reference", "degree", "orientation", "component"]
@@ -74,10 +75,15 @@ def pair_features(pairs: DataFrame, metadata: DataFrame, degrees: DataFrame) ->
 
 
 def _per_slice(rows: DataFrame, keys: list[str], aggregates: list[Column]) -> DataFrame:
-    """Attach one aggregate row per slice; aggregated map-side, so a huge slice is no hot spot."""
+    """Attach one aggregate row per slice; aggregated map-side, so a huge slice is no hot spot.
+
+    Both are written: the rows are made once, and few slices are seen to be few, so that the
+    rows are not shuffled by slice.
+    """
     if not keys:
         return rows.join(F.broadcast(rows.agg(*aggregates)), how="cross")
-    return attach(rows, rows.groupBy(*keys).agg(*aggregates), keys, "inner")
+    rows = materialise(rows)
+    return attach(rows, materialise(rows.groupBy(*keys).agg(*aggregates)), keys, "inner")
 
 
 def _scaled(value: Column, top: Column) -> Column:
