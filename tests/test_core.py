@@ -8,10 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from frames import rows
-from seqbraid.operators import ordering
+from seqbraid.operators import ordering, skew
 from seqbraid.operators.adjacency import Adjacency
 from seqbraid.operators.ordering import running_sums, with_frames, with_position
-from seqbraid.operators.skew import attach
+from seqbraid.operators.skew import attach, hot_keys
 from seqbraid.session import (
     _FACTOR_KEY,
     MEMORY_FACTOR,
@@ -128,3 +128,29 @@ def test_views_set_the_size_in_memory_where_the_session_has_none(spark):
     bare.conf.set(_FACTOR_KEY, "3.0")
     plan_by_memory(bare)
     assert bare.conf.get(_FACTOR_KEY) == "3.0"
+
+
+def test_lookup_does_not_count_its_rows_where_spark_cuts_hot_keys(spark, hot, monkeypatch):
+    """Counting keys first would run all that lies below the rows once more for every lookup."""
+    _, df = hot
+    lookup = df.select("g").distinct().withColumn("v", F.length("g"))
+    counted = []
+    monkeypatch.setattr(skew, "hot_keys", lambda *a: counted.append(1) or hot_keys(*a))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10")
+    try:
+        plain = attach(df, lookup, ["g"], check_bytes=0, hot_rows=100)
+        assert not counted
+        spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "false")
+        split = attach(df, lookup, ["g"], check_bytes=0, hot_rows=100)
+        assert counted and sorted(rows(split)) == sorted(rows(plain))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.skewJoin.enabled")
+
+
+def test_positions_leave_the_sorted_rows_where_they_lie(spark):
+    df = spark.range(300_000).select((F.col("id") * 7919 % 300_007).alias("x"), "id", F.lit("t").alias("dropped"))
+    placed = with_position(df, ["x"], name="pos", keep=["id"])
+    assert placed.columns == ["id", "pos"]
+    plan = placed._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan

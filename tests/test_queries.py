@@ -11,7 +11,7 @@ import pytest
 import __spark_entry__ as contract
 from seqbraid.operators import index as ix
 from seqbraid.operators.features import pair_features
-from seqbraid.plans import q_models, q_slices
+from seqbraid.plans import q_models, q_slices, views
 from seqbraid.plans.views import graph
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -121,3 +121,15 @@ def test_models_and_slices_use_whole_settings(spark, monkeypatch):
     meta = ix.oriented_metadata(graph(spark, SF_DIR).segments)
     nodes = ix.oriented_degree(graph(spark, SF_DIR).links)
     assert set(q_models.LINK_FEATURES) == set(pair_features(pair, meta, nodes).columns) - {"u", "v"}
+
+
+def test_queries_on_segments_and_windows_build_no_links(spark, monkeypatch):
+    """A folder name of its own, so that nothing built before is used."""
+
+    def links(*_):
+        raise AssertionError("links were built")
+
+    monkeypatch.setattr(views, "raw_links", links)
+    other = SF_DIR + "/"
+    for key in ("contig_names", "class_weights_inverse", "covered_segments", "manifest_filter", "shared_contigs"):
+        assert contract.queries()[key](spark, other).count()
