@@ -113,3 +113,12 @@ def test_an_interval_stands_in_two_bins_however_long(spark):
     pile = spark.range(200_000).selectExpr("'c' as chrom", "1000 + id % 50 as start", "1100 + id % 50 as end")
     whole = spark.createDataFrame([("c", 0, 3 * 10**9)], "chrom string, start long, end long")
     assert iv.overlap_pairs(pile, whole, ["chrom"], bin_rows=10_000).count() == 200_000
+
+
+def test_tasks_share_the_pairs_of_one_spot(spark):
+    """Few bytes go into the join of one bin, many pairs come out."""
+    a = spark.range(2000).select(F.lit("c").alias("chrom"), F.col("id").alias("i"), F.lit(0).cast("long").alias("start"), F.lit(9).cast("long").alias("end"))
+    b = a.select("chrom", F.col("i").alias("j"), "start", "end")
+    got = iv.overlap_pairs(a, b, ["chrom"], bin_pairs=100_000)
+    tasks = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == 4_000_000 and max(tasks) < 800_000
