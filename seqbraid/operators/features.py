@@ -263,14 +263,17 @@ def slice_node_table(
 def labels_on_nodes(nodes: DataFrame, labels: DataFrame, min_labeled: int = 4) -> DataFrame:
     """Slice nodes with the label of their segment, null if none; sparse slices dropped.
 
-    `nodes` has (slice_id, oid), `labels` has (segid, ccre_label).
+    `nodes` has (slice_id, oid), `labels` has (segid, ccre_label). The marked nodes are made
+    once, and the few slices kept are looked up where the nodes lie.
     """
-    marked = attach(
-        nodes.withColumn("segid", F.shiftright("oid", 1)),
-        labels.select("segid", "ccre_label"),
-        ["segid"],
+    marked = materialise(
+        attach(
+            nodes.withColumn("segid", F.shiftright("oid", 1)),
+            labels.select("segid", "ccre_label"),
+            ["segid"],
+        )
     )
-    enough = (
+    enough = materialise(
         marked.groupBy("slice_id")
         .agg(F.count("ccre_label").alias("_n"))
         .filter(F.col("_n") >= min_labeled)
