@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import time
+from hashlib import md5
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from frames import rows
 from seqbraid.operators import index as ix
 from seqbraid.operators import sampling as sm
 from seqbraid.operators import slices as sl
+from seqbraid.operators.draws import matched_pairs
 from seqbraid.session import materialise
 
 
@@ -270,3 +272,27 @@ def test_random_rule_draws_one_pair_per_link_first(spark, small, monkeypatch):
     assert seen[0] == ("Column<'0'>", "Column<'0'>")
     again = sm.sample_negatives(links, meta, sm.NegativeRule("random"), 7, first_round=16)
     assert sorted(drawn) == sorted(rows(again))
+
+
+def test_matched_draws_are_the_portable_draws(spark):
+    """Short and long slice ids, link ids and tries of all lengths, two parts of a pool."""
+    nodes = [(n, 3 * n, 977 * n % 2_003, 1 + n % 3) for n in range(40)]
+    names = ["s", "x" * 70]
+    anchors = [(s, i, 600, 1 + i % 3, 1 + i % 2, 2) for s in names for i in (7, 48, 1_234, 99_999)]
+    waiting = spark.createDataFrame(
+        anchors, "slice_id string, link_id long, d_pos long, deg_u_pos long, deg_v_pos long, parts long"
+    )
+    ranked = spark.createDataFrame(
+        [(s, *n) for s in names for n in nodes], "slice_id string, rank long, oid long, SO long, degree long"
+    )
+    expected = set()
+    for s, link, d, a, b, _ in anchors:
+        for t in range(2, 120):
+            u, v = (
+                nodes[int(md5(f"9|{s}|{link}|{2 * t + k}".encode()).hexdigest()[:15], 16) % 40] for k in (0, 1)
+            )
+            near = abs(abs(u[2] - v[2]) - d) <= 50
+            if u != v and near and sorted((u[3], v[3])) == sorted((a, b)):
+                expected.add((s, link, t, u[1], v[1]))
+    got = matched_pairs(waiting, ranked, ["slice_id"], F.lit(50), True, 9, range(2, 120))
+    assert expected and sorted(map(tuple, got.collect())) == sorted(expected)
