@@ -13,9 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqbraid.functions.hashing import draw
-from seqbraid.operators.adjacency import Adjacency
+from seqbraid.operators.adjacency import Adjacency, symmetric
 from seqbraid.operators.graph import components, network_summary
-from seqbraid.operators.index import oriented_degree
 from seqbraid.operators.skew import attach
 from seqbraid.session import materialise, materialise_counted
 
@@ -65,6 +64,42 @@ def branch_distance(
     )
 
 
+def link_radii(
+    links: DataFrame, keys: list[str] | None = None, max_radius: int = MAX_RADIUS
+) -> DataFrame:
+    """(keys, oid, degree, radius) as `branch_distance` has it, straight from the links.
+
+    One aggregate gives every node its degree and, as a node that does not branch has two ends
+    at most, all neighbours of those. Only they are searched, from their side, so no
+    adjacency is made and the many nodes that branch never move.
+    """
+    keys = keys or []
+    node, low = [*keys, "oid"], F.col("degree") <= 2
+    ends = symmetric(links, keys).groupBy(*keys, F.col("src").alias("oid"))
+    ends = ends.agg(F.count("*").alias("degree"), F.min("dst").alias("a"), F.max("dst").alias("b"))
+    ends = materialise(ends.select(*node, "degree", *[F.when(low, F.col(c)).alias(c) for c in "ab"]))
+    near = F.explode(F.array_distinct(F.array("a", "b"))).alias("near")
+    waiting = ends.filter(low).select(*node, near)
+    reached = ends.filter(~low).select(*node)
+    levels: list[DataFrame] = []
+    while len(levels) < max_radius - 1:
+        beside = reached.withColumnRenamed("oid", "near")
+        level, seen = materialise_counted(
+            waiting.join(beside, [*keys, "near"], "left_semi").select(*node).distinct()
+        )
+        if not seen["rows"]:
+            break
+        levels.append(level.withColumn("hop", F.lit(len(levels) + 1)))
+        waiting, reached = materialise(waiting.join(level, node, "left_anti")), level
+    branching = ends.filter(~low).select(*node, "degree", F.lit(0).alias("radius"))
+    others = ends.filter(low).select(*node, "degree")
+    if not levels:
+        return branching.unionByName(others.withColumn("radius", F.lit(max_radius)))
+    others = others.join(_union(levels), node, "left")
+    others = others.select(*node, "degree", F.coalesce("hop", F.lit(max_radius)).alias("radius"))
+    return branching.unionByName(others)
+
+
 def khop_pairs(adjacency: Adjacency, roots: DataFrame) -> DataFrame:
     """(keys, oid, nb) within `hops` hops of every root, the root excluded.
 
@@ -94,11 +129,15 @@ def khop_edges(
     roots = radii.filter("radius >= 2").select(
         *keys, "oid", F.least("radius", F.lit(max_radius)).alias("hops")
     )
-    near = khop_pairs(adjacency, roots).select(
-        *keys, F.col("oid").alias("u"), F.col("nb").alias("v")
+    near = materialise(
+        khop_pairs(adjacency, roots).select(
+            *keys, F.col("oid").alias("u"), F.col("nb").alias("v")
+        )
     )
     own = links.select(*keys, "u", "v")
-    added = near.join(own.distinct(), [*keys, "u", "v"], "left_anti")
+    # Few links are among the pairs; only those are held against them.
+    known = own.join(near, [*keys, "u", "v"], "left_semi")
+    added = near.join(known, [*keys, "u", "v"], "left_anti")
     return own.unionByName(added)
 
 
@@ -107,8 +146,8 @@ class Reach:
     """Neighbourhoods of many roots in factored form; see `factored_khops`.
 
     `direct`: (keys, oid, nb, hop) by ways through no hub. `gates`: (keys, oid, hub, hop,
-    hops), the hubs among them that a root may pass, with the root's own limit. Hubs are
-    roots themselves.
+    hops), the hubs among them that a root may pass, with the root's own limit. Hubs that a
+    root passes are roots themselves.
     """
 
     keys: list[str]
@@ -123,37 +162,52 @@ def factored_khops(
 
     A node with more than `hub_degree` neighbours is a hub. Searches stop at hubs and keep
     one row (root, hub, hops) instead of all that lies behind; what lies behind a hub is kept
-    once, as the hub's own neighbourhood. A star of n links thus takes about 3n rows, not n
+    once, as the hub's own neighbourhood, as far as any root comes. A star of n links thus takes about 3n rows, not n
     squared. `expand_khops` puts the neighbourhoods of some roots together.
     """
     keys = adjacency.keys
     node = [*keys, "oid", "node"]
     hubs = materialise(
         adjacency.edges.groupBy(*keys, F.col("src").alias("node"))
-        .agg(F.countDistinct("dst").alias("_n"))
+        .agg(F.count("*").alias("_n"))
         .filter(F.col("_n") > hub_degree)
         .select(*keys, "node", F.lit(True).alias("is_hub"))
     )
-    limit = roots.agg(F.coalesce(F.max("hops"), F.lit(0))).first()[0]
-    as_roots = hubs.select(*keys, F.col("node").alias("oid"), F.lit(limit).cast("int").alias("hops"))
     start = (
         roots.select(*keys, "oid", F.col("hops").cast("int").alias("hops"))
-        .unionByName(as_roots)
         .groupBy(*keys, "oid")
         .agg(F.max("hops").alias("hops"))
         .filter("hops > 0")
     )
-    start = start.select(*keys, "oid", "hops", F.col("oid").alias("node"))
-    levels, more = [materialise(start)], 1
-    live = levels[0]
-    while more:
-        more = _next_level(adjacency, live, levels, node)
-        # A hub is reached, and passed only from the root that it is itself.
-        live = levels[-1].join(hubs, [*keys, "node"], "left_anti").filter(F.col("hops") > len(levels) - 1)
-    rows = _union([level.withColumn("hop", F.lit(i)) for i, level in enumerate(levels) if i])
-    direct = materialise(
-        rows.filter("node <> oid").groupBy(*node, "hops").agg(F.min("hop").alias("hop"))
-    )
+    done = materialise(start)
+    start, found = done, []
+    while True:
+        levels, more = [materialise(start.select(*keys, "oid", "hops", F.col("oid").alias("node")))], 1
+        live = levels[0]
+        while more:
+            more = _next_level(adjacency, live, levels, node)
+            # A hub is reached, and passed only from the root that it is itself.
+            live = levels[-1].join(hubs, [*keys, "node"], "left_anti").filter(F.col("hops") > len(levels) - 1)
+        rows = _union([level.withColumn("hop", F.lit(i)) for i, level in enumerate(levels) if i])
+        found.append(
+            materialise(rows.filter("node <> oid").groupBy(*node, "hops").agg(F.min("hop").alias("hop")))
+        )
+        # Hubs are searched as far as some root passes them, again where one goes further.
+        asked = (
+            found[-1].filter("hop < hops").join(hubs, [*keys, "node"])
+            .groupBy(*keys, F.col("node").alias("oid"))
+            .agg(F.max(F.col("hops") - F.col("hop")).alias("hops"))
+        )
+        before = done.select(*keys, "oid", F.col("hops").alias("_done"))
+        further = asked.join(before, [*keys, "oid"], "left").filter("_done is null or hops > _done")
+        start, seen = materialise_counted(further.select(*keys, "oid", "hops"))
+        if not seen["rows"]:
+            break
+        done = materialise(done.unionByName(start).groupBy(*keys, "oid").agg(F.max("hops").alias("hops")))
+    direct = _union(found)
+    if len(found) > 1:
+        widest = direct.groupBy(*node).agg(F.max("hops").alias("hops"), F.min("hop").alias("hop"))
+        direct = materialise(widest.select(*node, "hops", "hop"))
     gates = direct.join(hubs, [*keys, "node"]).filter("hop < hops")
     return Reach(
         keys,
@@ -400,14 +454,17 @@ def radius_summary(radii: DataFrame, keys: list[str] | None = None) -> DataFrame
 
 def temperatures(
     radii: DataFrame,
-    degrees: DataFrame,
+    degrees: DataFrame | None,
     keys: list[str] | None = None,
     low: float = 0.3,
     high: float = 2.0,
 ) -> DataFrame:
-    """Three temperatures per node, scaled by the largest radius and degree of its slice."""
+    """Three temperatures per node, scaled by the largest radius and degree of its slice.
+
+    Without `degrees` the degree is a column of `radii`.
+    """
     keys = keys or []
-    nodes = radii.join(degrees, [*keys, "oid"])
+    nodes = radii if degrees is None else radii.join(degrees, [*keys, "oid"])
     top = nodes.groupBy(*keys).agg(
         F.greatest(F.max("radius"), F.lit(1)).alias("_r"), F.max("degree").alias("_d")
     )
@@ -451,7 +508,7 @@ def network_run(
     """One row per graph: its summary, the sampled path length and the radius distribution."""
     adjacency = Adjacency.build(links, keys)
     paths = sampled_path_length(adjacency, components(links, keys), n_samples, seed)
-    radii = branch_distance(adjacency, oriented_degree(links, tuple(keys)))
+    radii = link_radii(links, keys)
     # The summary counts the branching nodes already.
     radius = radius_summary(radii, keys).drop("n_branching_nodes")
     return network_summary(links, keys).join(paths, keys, "left").join(radius, keys, "left")

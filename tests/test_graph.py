@@ -253,3 +253,24 @@ def test_star_of_many_links_is_not_paired(spark):
     some = rc.expand_khops(reach, roots.filter("oid in (0, 5, 77)"))
     assert dict(rows(some.groupBy("oid").count())) == {0: n, 5: n, 77: n}
     assert time.monotonic() - began < 60
+
+
+def test_radii_straight_from_links_are_the_searched_ones(spark, graphs):
+    _, links = graphs
+    keys = ["slice_id"]
+    got = rc.link_radii(links, keys)
+    degrees = ix.oriented_degree(links, ("slice_id",))
+    want = rc.branch_distance(Adjacency.build(links, keys), degrees).join(degrees, ["slice_id", "oid"])
+    columns = ["slice_id", "oid", "degree", "radius"]
+    assert sorted(rows(got.select(*columns))) == sorted(rows(want.select(*columns)))
+
+
+def test_hubs_are_searched_only_as_far_as_a_root_passes_them(spark):
+    n = 300
+    links = spark.range(1, n + 1).selectExpr("0L as u", "id as v").union(
+        spark.range(1, n + 1).selectExpr("-1L as u", "id + 1000 as v")
+    )
+    roots = spark.createDataFrame([(5, 1), (7, 2)], "oid long, hops int")
+    reach = rc.factored_khops(Adjacency.build(links), roots)
+    assert reach.direct.count() == 2 + n  # two ends, and the star of 7 once
+    assert dict(rows(rc.expand_khops(reach, roots).groupBy("oid").count())) == {5: 1, 7: n}
