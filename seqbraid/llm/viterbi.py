@@ -67,15 +67,16 @@ class PieceModel:
         self._dp = PairDP(self.vocab, self._stable)
         self.longest = self._dp.longest
         self._memo = Memo(MEMO_ENTRIES)
+        self._whole: dict[str, bool] = {}  # whether a piece is what encoding its text gives
         self._text_of = [
             "" if k not in (_NORMAL, _BYTE) else p for p, k in zip(self.pieces, self.kinds, strict=True)
         ]
         self._low = min(self.byte_of)
         self._high = max(self.byte_of)
 
-    def _stable(self, left: str, right: str) -> bool:
-        """Whether merging the characters of both, best score first, gives the two pieces."""
-        parts = list(left + right)
+    def _stable(self, *pieces: str) -> bool:
+        """Whether merging the characters of the pieces, best score first, gives these pieces."""
+        parts = list("".join(pieces))
         while True:
             best, at = None, -1
             for i in range(len(parts) - 1):
@@ -83,7 +84,7 @@ class PieceModel:
                 if score is not None and (best is None or score > best):
                     best, at = score, i
             if at < 0:
-                return parts == [left, right]
+                return parts == list(pieces)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
     def stream(self, symbols: Iterable[str]) -> Iterator[list[int]]:
@@ -144,7 +145,51 @@ class PieceModel:
         ids.reverse()
         return ids
 
+    def _short(self, stretch: str) -> list[int] | None:
+        """The ids of a stretch too short for a commit; None if a character is no piece.
+
+        The recursion of `stream`. The admissible edge into a boundary is unique, so a prefix
+        that is what its own encoding gives needs no other edge looked at.
+        """
+        vocab, known, whole, longest = self.vocab, self._dp._known, self._whole, self.longest
+        last = [""]
+        add = last.append
+        for i in range(1, len(stretch) + 1):
+            if i <= longest:
+                piece = stretch[:i]
+                if piece in vocab:
+                    good = whole.get(piece)
+                    if good is None:
+                        good = whole[piece] = self._stable(piece)
+                    if good:
+                        add(piece)
+                        continue
+            for start in range(i - 1, max(-1, i - longest - 1), -1):
+                piece = stretch[start:i]
+                if piece in vocab:
+                    if start:
+                        pair = (last[start], piece)
+                        good = known.get(pair)
+                        if good is None:
+                            good = self._dp.valid(*pair)
+                        if not good:
+                            continue
+                    add(piece)
+                    break
+            else:
+                return None
+        ids, end = [], len(stretch)
+        while end:
+            ids.append(vocab[last[end]])
+            end -= len(last[end])
+        ids.reverse()
+        return ids
+
     def _search(self, stretch: str) -> bytes:
+        if len(stretch) < 2 * self.longest:
+            found = self._short(stretch)
+            if found is not None:
+                return array("i", found).tobytes()
         ids = array("i")
         for committed in self.stream(stretch):
             ids.extend(committed)

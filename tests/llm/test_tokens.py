@@ -161,3 +161,16 @@ def test_repeated_and_null_ids_are_written_each(spark, word_file):
     found = sorted(map(tuple, wavelet.read_documents(spark, path).collect()), key=lambda r: r[1])
     assert [r[0] for r in found] == [None, None, -1, 7, 7, 7]
     assert [r[1] for r in found] == [0, 1, 3, 4, 7, 9] and [r[2] for r in found] == [1, 2, 1, 3, 2, 2]
+
+
+def test_short_stretches_take_the_path_of_the_stream():
+    """Ids by the short recursion, the stream and the library; a character without a piece is left to the stream."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    own, library = viterbi.PieceModel(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = random.Random(4)
+    letters = "abcdeéßж0123.,#-" + "etaoinshr" * 4
+    for _ in range(2_000):
+        stretch = viterbi.BLANK + "".join(rng.choice(letters) for _ in range(rng.randrange(1, 30)))
+        streamed = [i for ids in own.stream(stretch) for i in ids]
+        assert own._short(stretch) == streamed == library.encode(stretch[1:])
+    assert own._short(viterbi.BLANK + "a\U0001f9ff") is None
