@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqbraid.llm.common import map_arrow, text_of
+from seqbraid.llm.common import kept, map_arrow, text_of
 
 LIMIT = 512
 CACHE_ENTRIES = 1_000_000
@@ -278,14 +278,9 @@ class PrefixCounter:
         return best
 
 
-_counters: dict[str, PrefixCounter] = {}
-
-
 def counter(path: str) -> PrefixCounter:
     """The counter of a tokenizer file, kept with its tables by a Python worker."""
-    if path not in _counters:
-        _counters[path] = PrefixCounter(path)
-    return _counters[path]
+    return kept(PrefixCounter, path)
 
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = LIMIT) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqbraid.llm.common import give_back, map_arrow, materialise, ready, text_of
+from seqbraid.llm.common import begin, drop_unused, give_back, map_arrow, materialise, ready, text_of
 from seqbraid.llm.textnp import Slice, gram_hashes, mix, range_hashes, slices, words
 
 BUCKETS = 1 << 16
@@ -102,6 +102,8 @@ def gram_counts(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     ready(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin()
+        drop_unused()
         raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
         for batch in batches:
             chosen = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)

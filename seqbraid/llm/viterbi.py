@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqbraid.llm.common import map_arrow, text_of
+from seqbraid.llm.common import kept, map_arrow, text_of
 from seqbraid.llm.prefix_bpe import Memo, PairDP
 
 BLANK = "▁"
@@ -234,14 +234,9 @@ class PieceModel:
         return out.replace(BLANK, " ").removeprefix(" ")
 
 
-_models: dict[str, PieceModel] = {}
-
-
 def piece_model(path: str) -> PieceModel:
     """The model of a file, kept with its memo by a Python worker."""
-    if path not in _models:
-        _models[path] = PieceModel(path)
-    return _models[path]
+    return kept(PieceModel, path)
 
 
 def encode_documents(docs: DataFrame, model: str, keep_text: bool = False) -> DataFrame:

@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from seqbraid.llm.common import kept
+
 CHUNK_BYTES = 16 << 20
 # Remembered words, marks and other stretches; all are forgotten when there are more.
 MEMO_ENTRIES = 1_000_000
@@ -158,11 +160,6 @@ class WordIds:
         return np.concatenate(ids), np.concatenate(counts)
 
 
-_encoders: dict[str, WordIds] = {}
-
-
 def word_ids(path: str) -> WordIds:
     """The encoder of this worker process for a tokenizer file."""
-    if path not in _encoders:
-        _encoders[path] = WordIds(path)
-    return _encoders[path]
+    return kept(WordIds, path)

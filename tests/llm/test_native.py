@@ -206,3 +206,46 @@ def test_a_task_gives_its_memory_back_also_when_it_is_cut_short(spark, monkeypat
     assert given == [1, 1]
     monkeypatch.undo()
     common.give_back()
+
+
+def test_a_worker_keeps_a_table_only_for_tasks_that_ask_for_it(spark):
+    from seqbraid.llm import common
+
+    class Frame:
+        sparkSession = spark
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    built = []
+
+    def build(path):
+        built.append(path)
+        return [path]
+
+    def asking():
+        own = common.kept(build, "file")
+        return lambda b: b if own else None
+
+    with_it = common.map_arrow(Frame(), asking, "x long")
+    without = common.map_arrow(Frame(), lambda: lambda b: b, "x long")
+    for run in (with_it, with_it, without):
+        list(run(iter([])))
+    assert built == ["file"] and (build, "file") not in common._kept
+    list(with_it(iter([])))
+    assert built == ["file", "file"]
+
+
+def test_workers_get_batches_of_few_bytes(spark):
+    import pyarrow as pa
+
+    from seqbraid.llm import common
+
+    rows = spark.range(0, 9_000, 1, 1).selectExpr("id", "repeat('x', 2000) as text")
+
+    def make():
+        return lambda b: pa.record_batch([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "size"])
+
+    found = common.map_arrow(rows, make, "n long, size long").collect()
+    assert sum(r.n for r in found) == 9_000
+    assert max(r.size for r in found) <= common.BATCH_BYTES * 1.1
