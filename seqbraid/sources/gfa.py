@@ -205,16 +205,17 @@ def parse_stats(lines: DataFrame) -> DataFrame:
     )
 
 
-def _closure(
-    records: DataFrame, targets: DataFrame, include_link_neighbors: bool
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(target names, kept names, kept lines) from names alone; sequences are not touched."""
+def _followed(
+    records: DataFrame, targets: DataFrame, include_link_neighbors: bool, *extra: Column | str
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(target names, kept names, kept segments, kept links) from names alone; sequences are
+    not touched. Kept rows have kind, a, b, SN and what `extra` takes from their records."""
     kind, fields = F.col("kind"), F.col("fields")
     segment = is_segment(kind, fields)
     # A narrow copy: every further pass reads names instead of parsing the text again.
     parsed = materialise(
         records.filter(segment | is_link(kind, fields)).select(
-            "line_no",
+            *extra,
             "kind",
             fields[1].alias("a"),
             F.when(kind == "L", fields[3]).alias("b"),
@@ -232,13 +233,19 @@ def _closure(
         ends = link_rows.select("a", "b")
         a_hit = attach(ends, hits.withColumnRenamed("name", "a"), ["a"], "left_semi")
         b_hit = attach(ends, hits.withColumnRenamed("name", "b"), ["b"], "left_semi")
-        near = a_hit.select("a", "b").union(b_hit.select("a", "b"))
-        kept = materialise(
-            hits.union(near.select(F.explode(F.array("a", "b")).alias("name"))).distinct()
-        )
+        # The end that is hit stands among the hits, where a name only links bear cannot be.
+        kept = materialise(hits.union(a_hit.select("b")).union(b_hit.select("a")).distinct())
     of_a, of_b = kept.withColumnRenamed("name", "a"), kept.withColumnRenamed("name", "b")
     segments = attach(segment_rows, of_a, ["a"], "left_semi")
     links = attach(attach(link_rows, of_a, ["a"], "left_semi"), of_b, ["b"], "left_semi")
+    return hits, kept, segments, links
+
+
+def _closure(
+    records: DataFrame, targets: DataFrame, include_link_neighbors: bool
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(target names, kept names, kept lines)."""
+    hits, kept, segments, links = _followed(records, targets, include_link_neighbors, "line_no")
     narrow = ["line_no", "kind"]
     return hits, kept, materialise(segments.select(*narrow).unionByName(links.select(*narrow)))
 
@@ -271,20 +278,21 @@ def targeted_tables(
 def targeted_stats(
     lines: DataFrame, records: DataFrame, targets: DataFrame, include_link_neighbors: bool = False
 ) -> DataFrame:
-    """`parse_stats` for a targeted parse, with the target and kept-name counters."""
-    hits, kept, kept_records = targeted_records(records, targets, include_link_neighbors)
-    kept_lines = kept_records.select(F.concat_ws("\t", "fields").alias("value"))
-    whole, part = parse_stats(lines), parse_stats(kept_lines)
-    counters = [
-        "segments",
-        "links",
-        "segments_missing_sn",
-        "segments_missing_so",
-        "segments_missing_sr",
-    ]
+    """`parse_stats` for a targeted parse, with the target and kept-name counters.
+
+    Kept records are counted by their names and two flags, so neither needs line numbers.
+    """
+    absent = [tag_value(F.col("fields"), 4, key).isNull().alias(f"no_{key}") for key in ("SO", "SR")]
+    hits, kept, segments, links = _followed(records, targets, include_link_neighbors, *absent)
     one_row = [
-        whole.select("lines_read", "paths", "walks"),
-        part.select(*counters),
+        parse_stats(lines).select("lines_read", "paths", "walks"),
+        segments.agg(
+            F.count("*").alias("segments"),
+            F.count_if(F.col("SN") == "").alias("segments_missing_sn"),
+            F.count_if("no_SO").alias("segments_missing_so"),
+            F.count_if("no_SR").alias("segments_missing_sr"),
+        ),
+        links.agg(F.count("*").alias("links")),
         targets.agg(F.countDistinct("SN").alias("target_sns")),
         hits.agg(F.count("*").alias("target_segments")),
         kept.agg(F.count("*").alias("kept_segment_names")),
@@ -292,7 +300,20 @@ def targeted_stats(
     out = one_row[0]
     for row in one_row[1:]:  # single-row tables, side by side
         out = out.join(row, how="cross")
-    return out.withColumn("include_link_neighbors", F.lit(int(include_link_neighbors)))
+    return out.select(
+        "lines_read",
+        "paths",
+        "walks",
+        "segments",
+        "links",
+        "segments_missing_sn",
+        "segments_missing_so",
+        "segments_missing_sr",
+        "target_sns",
+        "target_segments",
+        "kept_segment_names",
+        F.lit(int(include_link_neighbors)).alias("include_link_neighbors"),
+    )
 
 
 def to_gfa_lines(segments: DataFrame, links: DataFrame) -> DataFrame:

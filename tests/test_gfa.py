@@ -214,3 +214,17 @@ def test_stream_numbers_do_not_follow_modification_times(spark, monkeypatch):
         assert found == rows(q_index.graph(spark, sf_dir).segments.select("segid", "name"), "segid")
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_targeted_stats_need_no_line_numbers(spark, tmp_path):
+    """Lines as read, with a comment, a link to an unknown name and a segment without tags."""
+    path = tmp_path / "t.gfa"
+    path.write_text(TARGETED + "\n#c\nS\tbare\tA\nL\tmain\t+\tlost\t-\t0M\nL\tbare\t+\tmain\t-\t0M\n")
+    lines = spark.read.text(str(path))
+    targets = spark.createDataFrame([("id=CHM13|chr22",)], "SN string")
+    found = gfa.targeted_stats(lines, gfa.split_records(lines), targets, True).first().asDict()
+    assert found == {
+        "lines_read": 12, "paths": 0, "walks": 0, "segments": 4, "links": 5, "segments_missing_sn": 1,
+        "segments_missing_so": 3, "segments_missing_sr": 1, "target_sns": 1, "target_segments": 1,
+        "kept_segment_names": 5, "include_link_neighbors": 1,
+    }

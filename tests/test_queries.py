@@ -133,3 +133,17 @@ def test_queries_on_segments_and_windows_build_no_links(spark, monkeypatch):
     other = SF_DIR + "/"
     for key in ("contig_names", "class_weights_inverse", "covered_segments", "manifest_filter", "shared_contigs"):
         assert contract.queries()[key](spark, other).count()
+
+
+def test_gfa_text_is_written_without_looking_links_up(spark, monkeypatch):
+    from seqbraid.plans import q_index
+
+    monkeypatch.setattr(views, "_graphs", {})
+    # Texts are named by their number; these two leave those of other tests alone.
+    monkeypatch.setattr(q_index, "_texts", dict.fromkeys(range(1000)))
+    plain = sorted(r.value for r in spark.read.text(q_index.gfa_text(spark, SF_DIR)).collect())
+    g = views.graph(spark, SF_DIR)
+    assert not g.has_links
+    assert g.links.count() == sum(line.startswith("L") for line in plain)
+    monkeypatch.setattr(q_index, "_texts", dict.fromkeys(range(1001)))
+    assert sorted(r.value for r in spark.read.text(q_index.gfa_text(spark, SF_DIR)).collect()) == plain
