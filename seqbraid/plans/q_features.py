@@ -106,7 +106,7 @@ def node_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def edge_features_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = slices(spark, sf_dir, "1hop").links.select("slice_id", "link_id", "u", "v")
+    links = slices(spark, sf_dir, "1hop").edges
     table = ft.edge_features(links, _meta(spark, sf_dir), ["slice_id"]).drop("u", "v")
     return _rounded(table, "delta_SO", "delta_SR")
 
@@ -309,7 +309,7 @@ def chrom_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def slice_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = slices(spark, sf_dir, "1hop").links.select("slice_id", "link_id")
+    edges = slices(spark, sf_dir, "1hop").edges.select("slice_id", "link_id")
     return sp.slice_split(edges, ["link_id"], SEED)
 
 
@@ -358,7 +358,7 @@ def covered_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def node_label_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = ix.oriented_nodes(slices(spark, sf_dir, "1hop").links, ("slice_id",))
+    nodes = ix.oriented_nodes(slices(spark, sf_dir, "1hop").edges, ("slice_id",))
     return ft.labels_on_nodes(nodes, labels(spark, sf_dir))
 
 

@@ -147,3 +147,13 @@ def test_gfa_text_is_written_without_looking_links_up(spark, monkeypatch):
     assert g.links.count() == sum(line.startswith("L") for line in plain)
     monkeypatch.setattr(q_index, "_texts", dict.fromkeys(range(1001)))
     assert sorted(r.value for r in spark.read.text(q_index.gfa_text(spark, SF_DIR)).collect()) == plain
+
+
+def test_one_hop_edges_are_the_links_without_building_them(spark):
+    own = q_slices.fresh_slices(spark, SF_DIR, "1hop")
+    edges = sorted(map(tuple, own.edges.collect()))
+    assert "links" not in own.__dict__ and "kept" not in own.__dict__
+    assert own.edges.columns == ["slice_id", "link_id", "u", "v"]
+    assert edges and edges == sorted(map(tuple, own.links.select(*own.edges.columns).collect()))
+    strict = q_slices.fresh_slices(spark, SF_DIR, "strict")
+    assert strict.edges.count() == strict.links.count()
