@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 import random
+from hashlib import md5
 
 import pytest
 from pyspark.sql import functions as F
@@ -281,3 +282,45 @@ def test_a_single_label_is_fitted_where_it_is_allowed(separable, label, method,
     if method == "logistic":
         proof = out["certificate"].first()
         assert proof.max_gradient < 1e-6 and proof.n_pos == label * proof.n_train
+
+
+def test_slice_split_sorts_no_rows_but_those_at_its_marks(spark, monkeypatch):
+    n = {"a": 40_000, "b": 13, "c": 7}
+    edges = spark.createDataFrame([(s, k) for s, m in n.items() for k in range(m)], "slice_id string, k long")
+    sorted_rows = []
+    whole = sp.with_position
+
+    def spy(df, *rest, **named):
+        sorted_rows.append(df.count())
+        return whole(df, *rest, **named)
+
+    monkeypatch.setattr(sp, "with_position", spy)
+    got = {(r.slice_id, r.k): r.split for r in sp.slice_split(edges, ["k"], 5).collect()}
+    assert sum(sorted_rows) < 200
+    want = {}
+    for s, m in n.items():
+        hashed = sorted((int(md5(f"5|{s}|{k}".encode()).hexdigest()[:15], 16), k) for k in range(m))
+        test, val = math.floor(m * 0.2), math.floor(m * 0.1)
+        for rank, (_, k) in enumerate(hashed):
+            want[s, k] = "test" if rank < test else "val" if rank < test + val else "train"
+    assert got == {k: v for k, v in want.items() if k[0] != "c"}
+    # Without a row to train on, the last split ends the slice.
+    ends = sp.slice_split(edges.filter("slice_id = 'b'"), ["k"], 5, 0.5, 0.5, min_train=0)
+    assert ends.groupBy().pivot("split", ["test", "val", "train"]).count().first() == (6, 6, 1)
+    assert sp.slice_split(edges.filter("slice_id = 'c'"), ["k"], 5, 1.0, 0.0, min_train=0).filter("split = 'test'").count() == 7
+
+
+def test_link_scorer_gives_val_pairs_no_features_and_scores_on_demand(spark):
+    meta = spark.createDataFrame(
+        [(o, "c1", 10 * o, 5, 0, 1) for o in range(10)],
+        "oid long, SN string, SO long, LN long, SR int, is_reference int",
+    )
+    degrees = spark.createDataFrame([(o, 1) for o in range(11)], "oid long, degree long")
+    pairs = [("c1" if i % 4 else None, "strict", f"s{i % 3}", i % 9, 1 + i % 10, i % 2, ("train", "test", "val")[i % 3]) for i in range(60)]
+    df = spark.createDataFrame(pairs, "target_sn string, closure string, slice_id string, u long, v long, y int, split string")
+    got = score_links(df, meta, degrees, ["delta_so", "deg", "same_sn"])
+    assert got.table.groupBy("split").count().count() == 2 and "predictions" not in vars(got)
+    # A node without metadata keeps its degree.
+    assert {r.deg for r in got.table.collect()} == {2} and got.table.filter("v = 10").count() > 0
+    want = sorted((str(p[0]), *p[2:6]) for p in pairs if p[6] == "test")
+    assert sorted((str(r.target_sn), r.slice_id, r.u, r.v, r.y) for r in got.predictions.collect()) == want

@@ -296,3 +296,29 @@ def test_matched_draws_are_the_portable_draws(spark):
                 expected.add((s, link, t, u[1], v[1]))
     got = matched_pairs(waiting, ranked, ["slice_id"], F.lit(50), True, 9, range(2, 120))
     assert expected and sorted(map(tuple, got.collect())) == sorted(expected)
+
+
+def test_random_rule_reads_no_feature_of_a_node(spark, monkeypatch):
+    """Anchors and nodes go by ids alone; an end without metadata is no node and its link no anchor."""
+    meta = spark.createDataFrame([(o, "c", 10 * o) for o in range(8)], "oid long, SN string, SO long")
+    links = spark.createDataFrame(
+        [("a", 0, 0, 1), ("a", 1, 2, 3), ("a", 2, 4, 99), ("a", 3, 5, None), ("b", 4, 6, 7), ("b", 5, 7, 6)],
+        "slice_id string, link_id long, u long, v long",
+    )
+    settled = []
+    whole = sm._slice_nodes
+
+    def spy(*given):
+        settled.append(given)
+        return whole(*given)
+
+    monkeypatch.setattr(sm, "_slice_nodes", spy)
+    got = rows(sm.sample_negatives(links.filter("slice_id = 'a'"), meta, sm.NegativeRule("random"), 7))
+    assert sorted(r[1] for r in got) == [0, 1] and not settled
+    assert all(u != v and {u, v} <= {0, 1, 2, 3, 4, 5} and (u, v) not in ((0, 1), (2, 3)) for _, _, u, v in got)
+    for link, u, v in [r[1:] for r in got]:
+        tries = [[int(md5(f"7|a|{link}|{2 * t + k}".encode()).hexdigest()[:15], 16) % 6 for k in (0, 1)] for t in range(80)]
+        assert [u, v] == next(p for p in tries if p[0] != p[1] and tuple(p) not in ((0, 1), (2, 3), (4, 99)))
+    # Both ordered pairs of the other slice are links, so its anchors are settled: none has a pair.
+    both = rows(sm.sample_negatives(links, meta, sm.NegativeRule("random"), 7))
+    assert sorted(both) == sorted(got) and len(settled) == 1
