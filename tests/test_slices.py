@@ -322,3 +322,20 @@ def test_random_rule_reads_no_feature_of_a_node(spark, monkeypatch):
     # Both ordered pairs of the other slice are links, so its anchors are settled: none has a pair.
     both = rows(sm.sample_negatives(links, meta, sm.NegativeRule("random"), 7))
     assert sorted(both) == sorted(got) and len(settled) == 1
+
+
+def test_slice_builder_writes_links_once_and_cores_first(spark, small, monkeypatch):
+    """Rows of links and edges are written with their batch only, and a core is joined once."""
+    index, links = small
+    targets = spark.createDataFrame([("GRCh38#0#chr1",)], "SN string")
+    written = []
+    whole = sl.materialise
+    monkeypatch.setattr(sl, "materialise", lambda df: written.append(df.columns) or whole(df))
+    made = sl.build_slices(index, links, targets, 400, 2, ("strict",), sm.NegativeRule("random"), 1)
+    batches = sum("attempt" in c and "closure" in c and "n_core" in c and c[0] == "slice_id" for c in written) // 2
+    assert sum("link_id" in c for c in written) == batches >= 1
+    assert ["slice_id", "segid"] in written and not any("shuffle_key" in c for c in written)
+    chosen = {r.slice_id for r in made["manifest"].collect()}
+    assert len(chosen) == 2
+    for key in ("slice_segments", "slice_links", "slice_edge_pred"):
+        assert {r.slice_id for r in made[key].select("slice_id").distinct().collect()} == chosen
