@@ -339,3 +339,29 @@ def test_slice_builder_writes_links_once_and_cores_first(spark, small, monkeypat
     assert len(chosen) == 2
     for key in ("slice_segments", "slice_links", "slice_edge_pred"):
         assert {r.slice_id for r in made[key].select("slice_id").distinct().collect()} == chosen
+
+
+def test_blocks_of_links_are_made_once_for_all_their_draws(monkeypatch):
+    import numpy as np
+
+    from seqbraid.operators import draws
+
+    seen = []
+    whole = draws._texts
+    monkeypatch.setattr(draws, "_texts", lambda values: seen.append(len(values)) or whole(values))
+    n = 500
+    nodes = {"SO": np.arange(n) * 7 % 1_000, "degree": 1 + np.arange(n) % 3}
+    ids = np.arange(10_000, 10_300)
+    links = {"link_id": ids, "d_pos": ids % 400, "tolerance": ids % 90, "deg_u_pos": 1 + ids % 3, "deg_v_pos": 1 + ids % 2}
+    found = draws._passed(b"7|s|", links, nodes, range(16, 80), True)
+    assert seen.count(len(ids)) == 1
+    got = sorted(r for part in found for r in zip(*(x.tolist() for x in part), strict=True))
+    want = []
+    for i, link in enumerate(ids.tolist()):
+        for t in range(16, 80):
+            u, v = (int(md5(f"7|s|{link}|{2 * t + k}".encode()).hexdigest()[:15], 16) % n for k in (0, 1))
+            near = abs(abs(int(nodes["SO"][u] - nodes["SO"][v])) - int(links["d_pos"][i])) <= links["tolerance"][i]
+            kinds = sorted((nodes["degree"][u], nodes["degree"][v])) == sorted((links["deg_u_pos"][i], links["deg_v_pos"][i]))
+            if u != v and near and kinds:
+                want.append((link, t, u, v))
+    assert got == sorted(want)
