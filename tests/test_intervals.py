@@ -122,3 +122,27 @@ def test_tasks_share_the_pairs_of_one_spot(spark):
     got = iv.overlap_pairs(a, b, ["chrom"], bin_pairs=100_000)
     tasks = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(tasks) == 4_000_000 and max(tasks) < 800_000
+
+
+@pytest.mark.parametrize("n, m", [(2000, 2000), (100, 4000), (4000, 3)])
+def test_rows_of_a_hot_spot_are_repeated_by_the_root_of_its_pairs(spark, monkeypatch, n, m):
+    a = spark.range(n).selectExpr("'c' as chrom", "id as i", "0L as start", "9L as end")
+    b = spark.range(m).selectExpr("'c' as chrom", "id as j", "0L as start", "9L as end")
+    moved = []
+    whole = iv._pieces
+
+    def spy(*given):
+        moved.append(whole(*given).count())
+        return whole(*given)
+
+    monkeypatch.setattr(iv, "_pieces", spy)
+    got = iv.overlap_pairs(a, b, ["chrom"], bin_pairs=2_000)
+    assert got.select("i", "j").distinct().count() == got.count() == n * m
+    assert sum(moved) <= 2 * (n + m) + 3 * (n * m) / 2_000**0.5
+
+
+def test_a_little_longer_than_a_bin_is_compared_on_bins_little_wider(spark):
+    """Intervals of 1.2 bins meet those of the two bins around them, not of eight."""
+    own = spark.createDataFrame([(0, iv.BIN_WIDTH * 6 // 5)], "start long, end long")
+    level = own.select(iv._level(F.col("start"), F.col("end"), iv.BIN_WIDTH)).first()[0]
+    assert iv.BIN_WIDTH * iv.BIN_STEP**level < 3 * iv.BIN_WIDTH
