@@ -365,3 +365,29 @@ def test_blocks_of_links_are_made_once_for_all_their_draws(monkeypatch):
             if u != v and near and kinds:
                 want.append((link, t, u, v))
     assert got == sorted(want)
+
+
+def test_verifier_counts_ends_before_it_looks_names_up(spark, monkeypatch):
+    """10,000 links of three names: three rows meet the names of the segments, slices by number."""
+    links = spark.range(10_000).selectExpr(
+        "if(id % 2 = 0, 'a', 'b') as slice_id", "'x' as from_seg",
+        "case when id % 5 = 0 then 'gone' when id % 5 = 1 then null else 'y' end as to_seg", "'0M' as overlap",
+    )
+    segs = spark.createDataFrame(
+        [(s, n, "c1", 0, 1, 0) for s in "ab" for n in "xy"], "slice_id string, name string, SN string, SO long, LN long, SR int"
+    )
+    meta = spark.createDataFrame([("a", "c1"), ("b", "c1"), ("none", "c1")], "slice_id string, target_sn string")
+    met = []
+    whole = sl.attach
+
+    def spy(df, lookup, keys, *rest, **named):
+        if "name" in keys:
+            met.append((df.count(), dict(df.dtypes)["slice_id"]))
+        return whole(df, lookup, keys, *rest, **named)
+
+    monkeypatch.setattr(sl, "attach", spy)
+    got = {r.slice_id: r for r in sl.verify_slices(segs, links, meta).collect()}
+    assert met == [(8, "int")]
+    assert got["a"].n_links == got["b"].n_links == 5_000 and got["a"].max_degree == 5_000
+    assert "link endpoints" in got["a"].issues and "link endpoints" not in got["none"].issues
+    assert got["a"].branching_frac_deg_gt_2 == 1.0 and got["none"].n_links == 0
