@@ -9,7 +9,7 @@ from seqbraid.functions.names import segment_of, strand_char
 from seqbraid.operators.metrics import ranking_metrics
 from seqbraid.operators.ordering import with_position
 from seqbraid.operators.skew import attach
-from seqbraid.session import materialise
+from seqbraid.session import materialise, materialise_counted
 
 PRECISION_CUTS = (10, 50, 100, 500, 1000)
 TIE_BREAK = ["slice_id", "u", "v"]
@@ -25,22 +25,29 @@ def comparison_edges(links: DataFrame) -> DataFrame:
     ).distinct()
 
 
+EDGE = ["u_seg", "u_orient", "v_seg", "v_orient"]
+
+
 def candidates(
     scored: DataFrame, index: DataFrame, candidate_label: int = 0, comparison: DataFrame | None = None
 ) -> DataFrame:
     """Scored edges (slice_id, u, v, y, p) of one label, named, with `present_in_comparison`."""
-    rows = scored.filter(F.col("y") == candidate_label)
+    rows = _named(scored.filter(F.col("y") == candidate_label), index)
+    return rows if comparison is None else _compared(rows, comparison)
+
+
+def _named(rows: DataFrame, index: DataFrame) -> DataFrame:
     for end in ("u", "v"):
         side = index.select(F.col("segid").alias(f"_{end}"), F.col("name").alias(f"{end}_seg"))
         rows = attach(rows.withColumn(f"_{end}", segment_of(F.col(end))), side, [f"_{end}"], "inner")
         rows = rows.withColumn(f"{end}_orient", strand_char(F.col(end))).drop(f"_{end}")
-    rows = rows.withColumnRenamed("y", "old_label")
-    if comparison is None:
-        return rows
-    edge = ["u_seg", "u_orient", "v_seg", "v_orient"]
-    known = comparison.select(*edge).distinct().withColumn("_known", F.lit(True))
+    return rows.withColumnRenamed("y", "old_label")
+
+
+def _compared(rows: DataFrame, comparison: DataFrame) -> DataFrame:
+    known = comparison.select(*EDGE).distinct().withColumn("_known", F.lit(True))
     return (
-        attach(rows, known, edge)
+        attach(rows, known, EDGE)
         .withColumn("present_in_comparison", F.coalesce("_known", F.lit(False)))
         .drop("_known")
     )
@@ -51,6 +58,23 @@ def top_candidates(rows: DataFrame, top_k: int = 1000) -> DataFrame:
     return rows.orderBy(F.desc("p"), *TIE_BREAK).limit(top_k)
 
 
+def best_candidates(
+    scored: DataFrame, index: DataFrame, candidate_label: int, comparison: DataFrame, top_k: int = 1000
+) -> DataFrame:
+    """`top_candidates` of `candidates`, naming and comparing only the best edges.
+
+    Scores and ties go by ids, so the best are known before they have names. Only if one of
+    them has an end that `index` does not know, and is no candidate, are all edges named first.
+    """
+    best = top_candidates(scored.filter(F.col("y") == candidate_label), top_k)
+    best, taken = materialise_counted(best)
+    rows, named = materialise_counted(_named(best, index))
+    if named["rows"] < taken["rows"]:
+        return top_candidates(candidates(scored, index, candidate_label, comparison), top_k)
+    near = comparison.select(*EDGE).join(rows.select(*EDGE).distinct(), EDGE, "left_semi")
+    return top_candidates(_compared(rows, near), top_k)
+
+
 def precision_at_k(rows: DataFrame, top_k: int = 1000) -> DataFrame:
     """(k, n_used, precision) at the standard cuts, `top_k` and over all rows (k null)."""
     cuts = sorted({*PRECISION_CUTS, top_k} - {0})

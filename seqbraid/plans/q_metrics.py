@@ -427,10 +427,14 @@ cx as (select cd.*, cmp.from_seg is not null as present_in_comparison from cd
 _CANDIDATE_BASE = (GRAPH_SQL, ONE_HOP_SQL, EDGE_SQL, CANDIDATE_SQL)
 
 
+def _comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = graph(spark, sf_dir).links
+    return rk.comparison_edges(links.filter("cast(substr(from_seg, 2) as bigint) % 5 <> 0"))
+
+
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = graph(spark, sf_dir)
-    other = g.links.filter("cast(substr(from_seg, 2) as bigint) % 5 <> 0")
-    return rk.candidates(scored_edges(spark, sf_dir), g.segments, 0, rk.comparison_edges(other))
+    segments = graph(spark, sf_dir).segments
+    return rk.candidates(scored_edges(spark, sf_dir), segments, 0, _comparison(spark, sf_dir))
 
 
 @query("candidates", oracle(*_CANDIDATE_BASE, "select * replace (round(p, 6) as p) from cx"))
@@ -446,7 +450,10 @@ def all_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def topk_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(rk.top_candidates(candidates(spark, sf_dir), 1000), "p")
+    # The edges are read once, to find the best.
+    scored = _scores(slices(spark, sf_dir, "1hop").found_edges())
+    segments = graph(spark, sf_dir).segments
+    return _rounded(rk.best_candidates(scored, segments, 0, _comparison(spark, sf_dir), 1000), "p")
 
 
 @query(

@@ -324,3 +324,26 @@ def test_link_scorer_gives_val_pairs_no_features_and_scores_on_demand(spark):
     assert {r.deg for r in got.table.collect()} == {2} and got.table.filter("v = 10").count() > 0
     want = sorted((str(p[0]), *p[2:6]) for p in pairs if p[6] == "test")
     assert sorted((str(r.target_sn), r.slice_id, r.u, r.v, r.y) for r in got.predictions.collect()) == want
+
+
+def test_best_candidates_names_the_best_edges_only(spark, monkeypatch):
+    index = spark.range(60).selectExpr("id as segid", "concat('s', id) as name")
+    rng = random.Random(3)
+    data = [(rng.choice("ab"), rng.randrange(120), rng.randrange(120), i % 2, rng.randrange(50) / 50) for i in range(3_000)]
+    scored = spark.createDataFrame(data, "slice_id string, u long, v long, y int, p double")
+    links = scored.selectExpr(
+        "concat('s', u div 2) as from_seg", "if(u % 2 = 0, '+', '-') as from_orient",
+        "concat('s', v div 2) as to_seg", "if(v % 2 = 0, '+', '-') as to_orient", "y",
+    )
+    other = rk.comparison_edges(links.filter("y = 1 or from_orient = '+'"))
+    named = []
+    whole = rk._named
+    monkeypatch.setattr(rk, "_named", lambda df, index: named.append(df.count()) or whole(df, index))
+    want = rows(rk.top_candidates(rk.candidates(scored, index, 0, other), 40))
+    named.clear()
+    got = rk.best_candidates(scored, index, 0, other, 40)
+    assert rows(got) == want and named == [40] and len({r[-1] for r in want}) == 2
+    # Ends that the index does not know are no candidates; the next best take their place.
+    few = index.filter("segid % 3 <> 0")
+    want = rows(rk.top_candidates(rk.candidates(scored, few, 0, other), 40))
+    assert rows(rk.best_candidates(scored, few, 0, other, 40)) == want and len(want) == 40
